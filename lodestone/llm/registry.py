@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing
+from . import decontamination, licenses, mixing, toxicity
 
-QUERIES = {"op2_mixing": mixing.query, "op5_decontamination": decontamination.query}
+QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_mixing": mixing.query,
+    "op5_decontamination": decontamination.query,
+    "op9_licenses": licenses.query,
+}
 ORACLES = {"op2_mixing": mixing.SQL, "op5_decontamination": decontamination.SQL}
