@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, toxicity
+from . import chat, decontamination, licenses, mixing, search, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_mixing": mixing.query,
+    "op4_chat": chat.query,
     "op5_decontamination": decontamination.query,
+    "op6_warc": warc.query,
+    "op7_search": search.query,
     "op9_licenses": licenses.query,
+    "op10_substring": substring.query,
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op5_decontamination": decontamination.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_decontamination": decontamination.SQL, "op6_warc": warc.SQL, "op7_search": search.SQL}
