@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, mixing, search, substring, toxicity, warc
+from . import chat, decontamination, licenses, mixing, ngram_join, search, substring, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_mixing": mixing.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_chat": chat.query,
     "op5_decontamination": decontamination.query,
     "op6_warc": warc.query,
