@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, mixing, ngram_join, search, substring, toxicity, warc
+from . import chat, decontamination, licenses, mixing, ngram_join, search, substring, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_decontamination": decontamination.query,
     "op6_warc": warc.query,
     "op7_search": search.query,
+    "op8_token_counts": token_counts.query,
     "op9_licenses": licenses.query,
     "op10_substring": substring.query,
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op4_chat": chat.SQL, "op5_decontamination": decontamination.SQL, "op6_warc": warc.SQL, "op7_search": search.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat": chat.SQL, "op5_decontamination": decontamination.SQL, "op6_warc": warc.SQL, "op7_search": search.SQL}
