@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import retrieval
+
+FAMILIES = (retrieval,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _family in FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
