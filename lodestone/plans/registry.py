@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import evaluation, retrieval, trajectory
 
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, trajectory, evaluation)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
