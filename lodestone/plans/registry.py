@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval, trajectory
+from . import datasets, evaluation, retrieval, trajectory
 
-FAMILIES = (retrieval, trajectory, evaluation)
+FAMILIES = (retrieval, trajectory, evaluation, datasets)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
