@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, retrieval, trajectory
+from . import datasets, evaluation, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, trajectory, evaluation, datasets)
+FAMILIES = (retrieval, trajectory, evaluation, datasets, sources)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
