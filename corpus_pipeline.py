@@ -28,7 +28,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines and sentences that an earlier document has too are cut out; n_chars is the new length."""
-    cleaned = substring.clean(docs)
+    cleaned = substring.clean(docs, report=False)
     return cleaned.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -89,11 +89,6 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def documents_only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns; missing ones become nulls."""
-    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
-
-
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) links: rows (id, component), component being the smallest id reached.
 

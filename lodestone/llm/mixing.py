@@ -5,7 +5,7 @@ document floor(rate) times plus one hash-seeded Bernoulli copy with probability
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; a source
 whose size is 0 has rate 0; rows that repeat a doc_id draw the same copies; an empty table gives an empty mix;
-other columns pass through, except that ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` are replaced.
+``rates`` reads no other column; ``mix`` passes all through, whatever their names, and numbers the copies in ``copy``.
 """
 
 from __future__ import annotations
@@ -67,30 +67,31 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return table.select("source", "source_size", F.when(above, F.col("cap").cast("double")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
-def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
+def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every document.
 
     The narrow (doc_id, source, size) table is written once; sums combine before the shuffle, so a hot source costs
     one row per task, and the per-source table is broadcast only when its counted rows are few.
     """
-    sized = checkpointed(docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"), *extra))
+    sized = checkpointed(docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size")))
     per = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = (whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")).cast("long")
     joined = sized.join(small(per), F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *extra)
+    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every document as often as its copies say, numbered in ``copy``; one pass over the texts."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "copy")]
-    per = checkpointed(targets(docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size")), weights, cap)).withColumnRenamed("source", "_source")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    per = checkpointed(targets(docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size")), weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate)
-    copies = (whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")).cast("int")
-    joined = docs.join(small(per), F.col("source").eqNullSafe(F.col("_source")), "left").select(*kept, copies.alias("copies"))
-    return joined.filter("copies > 0").select(*[c for c in joined.columns if c != "copies"], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    per = per.select(F.col("source").alias("_lodestone_source"), rate.alias("_lodestone_rate"))
+    rate = F.col("_lodestone_rate")
+    copies = (F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int").alias("_lodestone_copies")
+    joined = docs.join(small(per), F.col("source").eqNullSafe(F.col("_lodestone_source")), "left").select(*kept, copies).filter("_lodestone_copies > 0")
+    return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_lodestone_copies"))).alias("copy"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

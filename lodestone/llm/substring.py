@@ -9,8 +9,8 @@ ranges of the original text.
 
 Defined cases: null and empty texts have no units and stay; a text that repeats within itself keeps the first place;
 documents rank by doc_id, nulls last; rows of one doc_id count as one document and lose nothing to each other; units
-of any length are hashed whole; an empty table gives an empty one; other columns pass through, except that ``clean``
-replaces ``text`` and adds ``removed``, ``units`` and ``chars_before``.
+of any length are hashed whole; an empty table gives an empty one; other columns pass through, whatever their names, with ``text`` replaced; with a
+report, its columns ``removed``, ``units`` and ``chars_before`` take the place of any that are so named.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
 
 
 LAST = 2**63 - 1
+GONE = "_lodestone_gone"
 
 
 def _places(batches):
@@ -111,13 +112,16 @@ def repeats(docs: DataFrame) -> DataFrame:
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def _clean(columns: list[str]):
+REPORT = ("removed", "units", "chars_before")
+
+
+def _clean(columns: list[str], report: bool):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             texts, spans, counts = batch.column("text").to_pylist(), [], []
-            for i, gone in enumerate(batch.column("gone").to_pylist()):
+            for i, gone in enumerate(batch.column(GONE).to_pylist()):
                 text, taken, ranges = texts[i] or "", set(gone or ()), []
                 cut = units(text)
                 out = set()
@@ -132,22 +136,25 @@ def _clean(columns: list[str]):
                     texts[i] = without(text, ranges)
                 counts.append((len(cut), len(text)))
                 spans.append([{"start": a, "end": b} for a, b in ranges])
-            own = {"text": pa.array(texts, pa.string()), "removed": pa.array(spans, span), "units": pa.array([c[0] for c in counts], pa.int64()), "chars_before": pa.array([c[1] for c in counts], pa.int64())}
+            own = {"text": pa.array(texts, pa.string())}
+            if report:
+                own |= {"removed": pa.array(spans, span), "units": pa.array([c[0] for c in counts], pa.int64()), "chars_before": pa.array([c[1] for c in counts], pa.int64())}
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in columns], names=columns)
 
     return run
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The documents with later occurrences cut out of ``text``; ``removed`` has their ranges in the original text.
+def clean(docs: DataFrame, report: bool = True) -> DataFrame:
+    """The documents with later occurrences cut out of ``text``.
 
-    The lists of lost digests are the build side of a hash join, so texts are shuffled once and never sorted.
+    With a report, also ``removed`` (the ranges of the original text), ``units`` and ``chars_before``.  The lists of
+    lost digests are the build side of a hash join, so texts are shuffled once and never sorted.
     """
-    gone = repeats(docs).withColumnRenamed("d", "_d")
-    kept = docs.drop("removed", "units", "chars_before", "gone")
-    both = kept.join(gone.hint("shuffle_hash"), F.coalesce(kept["doc_id"].cast("long"), F.lit(LAST)) == gone["_d"], "left").drop("_d")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    return arrow_map(both, _clean([*kept.columns, "removed", "units", "chars_before"]), ", ".join([*fields, f"removed {SPANS}, units long, chars_before long"]))
+    gone = repeats(docs).select(F.col("d").alias("_lodestone_d"), F.col("gone").alias(GONE))
+    kept = docs.drop(*REPORT) if report else docs
+    both = kept.join(gone.hint("shuffle_hash"), F.coalesce(kept["doc_id"].cast("long"), F.lit(LAST)) == gone["_lodestone_d"], "left").drop("_lodestone_d")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ([f"removed {SPANS}, units long, chars_before long"] if report else [])
+    return arrow_map(both, _clean([*kept.columns, *(REPORT if report else ())], report), ", ".join(fields))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from lodestone.llm import decontamination, mixing, ngram_join, substring, toxicity
+from pyspark.sql import functions as F
 
 
 def fixture(spark, path):
@@ -48,6 +49,21 @@ def test_like_brute_force(spark, tmp_path):
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
 
 
+CLASHES = ("gone", "removed", "units", "size", "target", "copies", "source_size", "n", "key", "k1", "id", "component_id", "score", "items", "label", "level", "cap", "w", "toxic", "_id")
+
+
+def test_clashing_names_pass_through(spark, tmp_path):
+    fixture(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+    for name, stage in cp.STAGES:
+        out, plain = stage(spark, odd, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(odd.columns)] == odd.columns, name
+        assert out.count() == plain.count(), name
+        row = out.filter("doc_id > 0").first()
+        assert [row[c] for c in CLASHES] == list(range(len(CLASHES))), name
+
+
 def test_stages_keep_the_columns_and_bear_empty_tables(spark, tmp_path):
     fixture(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
