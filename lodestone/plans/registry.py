@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, retrieval, sources, trajectory
+from . import datasets, details, evaluation, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, trajectory, evaluation, datasets, sources)
+FAMILIES = (retrieval, trajectory, evaluation, datasets, details, sources)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
