@@ -16,4 +16,4 @@ QUERIES = {
     "op9_licenses": licenses.query,
     "op10_substring": substring.query,
 }
-ORACLES = {"op2_mixing": mixing.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat": chat.SQL, "op5_decontamination": decontamination.SQL, "op6_warc": warc.SQL, "op7_search": search.SQL}
+ORACLES = {"op2_mixing": mixing.SQL, "op3_ngram_join": ngram_join.SQL, "op4_chat": chat.SQL, "op5_decontamination": decontamination.SQL, "op6_warc": warc.SQL, "op7_search": search.SQL, "op10_substring": substring.SQL}

@@ -181,3 +181,21 @@ def brute(rows: list[tuple[int | None, str | None]]) -> list[str | None]:
         if gone:
             out[i] = without(text, removed(text, gone))
     return out
+
+
+SQL = r"""
+WITH p AS (SELECT doc_id, text, string_split(replace(regexp_replace(coalesce(text, ''), '([.?!])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS l FROM documents),
+e AS (SELECT doc_id, u, n FROM (SELECT doc_id, unnest(l) AS u, unnest(range(0, len(l))) AS n FROM p) WHERE u <> ''),
+w AS (SELECT *, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+  sum(length(u)) OVER d - length(u) AS a, coalesce(sum(CAST(ends_with(u, chr(10)) AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+k AS (SELECT *, CASE WHEN len(w) >= 6 THEN array_to_string(w, ' ') END AS k FROM w),
+g AS (SELECT *, CASE WHEN k IS NOT NULL THEN row_number() OVER (PARTITION BY k ORDER BY doc_id, n) > 1 END AS gone FROM k),
+s AS (SELECT *, last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM g),
+o AS (SELECT *, coalesce(gone, (before IS NOT NULL OR after IS NOT NULL) AND coalesce(before, true) AND coalesce(after, true)) AS goes FROM s),
+i AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM o),
+r AS (SELECT doc_id, count(*) AS c, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM (SELECT doc_id, min(a) AS a, max(a + length(u)) AS b FROM i WHERE goes GROUP BY doc_id, island) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS units, coalesce(sum(length(u)) FILTER (WHERE goes), 0) AS size, coalesce(string_agg(u, '' ORDER BY n) FILTER (WHERE NOT goes), '') AS kept FROM o GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, coalesce(units, 0)::BIGINT AS units, coalesce(size, 0)::BIGINT AS removed_chars, coalesce(c, 0)::BIGINT AS n_spans, coalesce(spans, '') AS spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
+"""
