@@ -48,14 +48,20 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def bm25_sums(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(qid, keys, score) of the documents that share a term with the query."""
-    asked = few(query_terms(questions))
-    hits = postings(corpus, keys=keys).join(asked, "token")
-    # the frequency of a term among documents, from the hits alone: each (qid, token) holds all of its postings
-    df = F.count("*").over(Window.partitionBy("qid", "token"))
+    """(qid, keys, score) of the documents that share a term with the query.
+
+    Document frequencies are a partial aggregation over the same postings (one exchange serves both), so a frequent
+    term costs one row per task; like the query's terms they are broadcast only if the terms are counted to be few.
+    """
+    asked = query_terms(questions)
+    hint = F.broadcast if asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else (lambda x: x)
+    # the semi-join moves below the postings' aggregation: only the queries' terms are shuffled
+    posted = postings(corpus, keys=keys).join(hint(asked.select("token").distinct()), "token", "left_semi")
+    often = posted.groupBy("token").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.greatest(F.col("mean"), F.lit(1.0))
     part = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return hits.withColumn("df", df).crossJoin(F.broadcast(length_stats(corpus))).groupBy("qid", *keys).agg(F.sum(part).alias("score"))
+    hits = posted.join(hint(asked), "token").join(hint(often), "token")
+    return hits.crossJoin(F.broadcast(length_stats(corpus))).groupBy("qid", *keys).agg(F.sum(part).alias("score"))
 
 
 def title_boosts(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
