@@ -193,6 +193,12 @@ def _tokens(batches):
             yield from _rows(np.concatenate(sets), ids, n, False, ("token", "id", "n"))
 
 
+def placed(f: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Grams as numbers whose order is that of the trees: by the logarithm of the frequency, frequent first, then by hash."""
+    rare = np.uint64(31) - np.minimum(np.log2(np.maximum(f, 1)).astype(np.uint64), np.uint64(31))
+    return (rare << np.uint64(59)) | (t.astype(np.uint64) >> np.uint64(5))
+
+
 def _ordered(num: int, den: int):
     """Sets by descending frequency with the groups that they belong to; those that can't link are left out."""
 
@@ -205,11 +211,9 @@ def _ordered(num: int, den: int):
                 if rest <= 0:
                     continue
                 order = np.lexsort((t, f))
-                path = np.empty((len(t), 2), "<i8")
-                path[:, 0], path[:, 1] = f[order[::-1]], t[order[::-1]]
                 out["id"].append(i)
                 out["n"].append(n)
-                out["path"].append(path.tobytes())
+                out["path"].append(np.sort(placed(f, t)).tobytes())
                 mixed = t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 out["first"].append([int(t.min()), int(t[np.argmin(mixed)])])
                 out["groups"].append(t[order[:rest]].tolist())
@@ -248,15 +252,9 @@ class Tree:
 
 def tree_links(ids: list[int], sizes: list[int], labels: list[int], paths: list[bytes], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect the components (``labels``) of a group's sets; sides 0 and 1: only pairs across, all 0: within."""
-    pairs = [np.frombuffer(p, "<i8").reshape(-1, 2) for p in paths]
-    both = np.concatenate(pairs)
-    # ranks in the global order: frequent first, then by hash; frequencies and hashes are the same in every group
-    order = np.lexsort((both[:, 1], -both[:, 0]))
-    new = np.concatenate(([True], both[order[1:], 1] != both[order[:-1], 1])) if len(order) else np.empty(0, bool)
-    rank = np.empty(len(both), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    cuts = np.cumsum([len(p) for p in pairs])[:-1]
-    sets = [np.sort(r) for r in np.split(rank, cuts)]
+    grams_of = [np.frombuffer(p, "<u8") for p in paths]
+    _, rank = np.unique(np.concatenate(grams_of), return_inverse=True)
+    sets = np.split(rank, np.cumsum([len(p) for p in grams_of])[:-1])  # sorted, as the paths are
     within = len(set(sides)) == 1
     stored = list(range(len(ids))) if within else [i for i, s in enumerate(sides) if s == 0]
     asking = stored if within else [i for i, s in enumerate(sides) if s == 1]

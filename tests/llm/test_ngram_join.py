@@ -51,7 +51,7 @@ def test_tree_finds_all_links():
             sets.append(s or {universe[0]})
         extra = [r.randrange(3) for _ in sets]
         sizes = [len(s) + e for s, e in zip(sets, extra)]
-        paths = [np.array(sorted(s, key=lambda x: (-x[0], x[1])), "<i8").tobytes() for s in sets]
+        paths = [np.sort(nj.placed(np.array([f for f, _ in s]), np.array([t * 64 for _, t in s]))).tobytes() for s in sets]
         sides = r.choice([[0] * len(sets), [i % 2 for i in range(len(sets))]])
         ids = list(range(len(sets)))
 
