@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, components, small, space_words, written
+from .common import arrow_map, checkpointed, components, space_words, written
 
 #: Sets of one chunk of a group, and equal-prefix rows that a task sums itself.
 CHUNK, HOT = 512, 8
@@ -331,7 +331,8 @@ def linked(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, chunk:
     need = F.greatest(F.lit(1), F.floor((den - num) * F.ceil(F.col("n") * num / den) / den))
     left = checkpointed(classes.filter("named").join(shared, "k1").filter(F.col("shared") >= need).select("id", "k1"))
     # 3. frequencies among the sets left
-    chosen = texts.join(small(left).hint("shuffle_hash") if left.count() > 20_000 else F.broadcast(left), F.col("doc_id") == F.col("id")).select("id", "k1", "text")
+    # one plan at every size: texts are shuffled once, against a hash table of the ids left, and not sorted
+    chosen = texts.join(left.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "k1", "text")
     full = written(arrow_map(chosen, _full_sets(size), "id long, n long, grams binary").dropDuplicates(["id", "grams"]))
     tokens = arrow_map(full, _tokens, "token long, id long, n long")
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
