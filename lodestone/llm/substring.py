@@ -1,13 +1,15 @@
 """Operator 10: substring dedup by hashing units of text.
 
-A text is cut into units: lines, and the sentences of a line.  Units of at least ``LEAST_WORDS`` words are normalised
-and hashed to 128 bits.  Digests are reduced globally, before the shuffle too, to the least and greatest doc_id that
+A text is cut into units: lines, and the sentences of a line.  From each unit that has words on, the shortest run of
+units of at least ``LEAST_WORDS`` words, mostly the unit alone, is normalised and hashed to 128 bits; runs of short units
+go on over sentence and line ends and overlap, so a passage matches wherever it begins.  Digests are reduced globally, before the shuffle too, to the least and greatest doc_id that
 has them, and only digests of several documents are joined back to their documents; a hot digest's documents can be
 split among tasks, since its other side is one row.  Every occurrence but the earliest (by doc_id, then position) is
-removed.  Shorter units go only where the units of the line around them go.  What is removed is kept as character
+removed.  Short units that no such run takes go only where the long units of the line around them go.  What is removed is kept as character
 ranges of the original text.
 
-Defined cases: null and empty texts have no units and stay; a text that repeats within itself keeps the first place;
+Defined cases: null and empty texts have no units and stay; a text that repeats within itself keeps the first place, also where
+its later places overlap it; texts of fewer words in all than ``LEAST_WORDS`` stay;
 documents rank by doc_id, nulls last; rows of one doc_id count as one document and lose nothing to each other; units
 of any length are hashed whole; an empty table gives an empty one; other columns pass through, whatever their names, with ``text`` replaced; with a
 report, its columns ``removed``, ``units`` and ``chars_before`` take the place of any that are so named.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, arrow_map, written
 
-#: Words that a unit has at least to be removed on its own account.
+#: Words that a unit, or a run of units, has at least to be removed on its own account.
 LEAST_WORDS = 6
 #: A unit ends at a line end, or after a full stop, question or exclamation mark before white space.
 UNIT = re.compile(r"[^\n]*?(?:[.?!](?=[ \t])|\n|$)", re.S)
@@ -47,8 +49,24 @@ def digest(unit: str) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= LEAST_WORDS else None
 
 
+def runs(text: str, cut: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
+    """(first unit, last unit, 128 bits of the words) of the shortest run of ``LEAST_WORDS`` words from each unit with words."""
+    words = [text[a:b].encode("utf-8", "surrogatepass").translate(ALNUM).split() for a, b in cut]
+    out, j, n = [], -1, 0
+    for i, own in enumerate(words):
+        while n < LEAST_WORDS and j + 1 < len(words):
+            j += 1
+            n += len(words[j])
+        if n < LEAST_WORDS:
+            break
+        if own:
+            out.append((i, j, hashlib.blake2b(b" ".join([w for x in words[i : j + 1] for w in x]), digest_size=16).digest()))
+        n -= len(own)
+    return out
+
+
 def removed(text: str, gone: set[int]) -> list[tuple[int, int]]:
-    """Character ranges that go: the units of these numbers, and short units of a line between or beside such units.
+    """Character ranges that go: the units of these numbers, and short units of a line between or beside such long units.
 
     A short unit goes if, within its line, the nearest long unit before it and the nearest after it go, a missing
     one being no objection so long as the other is there.
@@ -66,9 +84,8 @@ def removed(text: str, gone: set[int]) -> list[tuple[int, int]]:
             continue
         long = [i for i in line if digest(text[slice(*cut[i])]) is not None]
         for i in line:
-            before = next((j for j in reversed(long) if j < i), None)
-            after = next((j for j in long if j > i), None)
-            if i in gone or i not in long and all(j in gone for j in (before, after) if j is not None):
+            beside = [j for j in (next((j for j in reversed(long) if j < i), None), next((j for j in long if j > i), None)) if j is not None]
+            if i in gone or i not in long and beside and all(j in gone for j in beside):
                 if out and out[-1][1] == cut[i][0]:
                     out[-1] = (out[-1][0], cut[i][1])
                 else:
@@ -94,7 +111,7 @@ def _places(batches):
         ids, hashes = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
-            own = {h for a, b in units(text) if (h := digest(text[a:b])) is not None} if text else ()
+            own = {h for _, _, h in runs(text, units(text))} if text else ()
             ids += [LAST if doc_id is None else doc_id] * len(own)
             hashes += own
         two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
@@ -109,6 +126,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     return places.join(first, ["h1", "h2"]).filter("d > least").groupBy("d").agg(F.collect_set("h1").alias("gone"))
 
 
+def later(own: list[tuple[int, int, bytes]], gone: set[int]) -> set[int]:
+    """The units that go: of runs that an earlier document has, and of repeated runs what lies behind their first place."""
+    out, first = set(), {}
+    for i, j, h in own:
+        h = int.from_bytes(h[:8], "little", signed=True)
+        out.update(range(i if h in gone else max(i, first[h] + 1) if h in first else j + 1, j + 1))
+        first.setdefault(h, j)
+    return out
+
+
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -122,15 +149,9 @@ def _clean(columns: list[str], report: bool):
         for batch in batches:
             texts, spans, counts = batch.column("text").to_pylist(), [], []
             for i, gone in enumerate(batch.column(GONE).to_pylist()):
-                text, taken, ranges = texts[i] or "", set(gone or ()), []
+                text, ranges = texts[i] or "", []
                 cut = units(text)
-                out = set()
-                for n, (a, b) in enumerate(cut):
-                    if (h := digest(text[a:b])) is not None:
-                        h = int.from_bytes(h[:8], "little", signed=True)
-                        if h in taken:
-                            out.add(n)
-                        taken.add(h)
+                out = later(runs(text, cut), set(gone or ()))
                 if out:
                     ranges = removed(text, out)
                     texts[i] = without(text, ranges)
