@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,11 +76,22 @@ def chunks(body: Column, size: int = 220, overlap: int = 32) -> Column:
 
 
 def spans(body: Column, width: int = 800) -> Column:
-    """Paragraph segments of at most ``width`` characters with their offsets: joined by line ends they give the body back."""
-    paras = F.split(body, "\n")
-    starts = F.transform(paras, lambda p, i: F.aggregate(F.slice(paras, 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1))
-    pieces = lambda p, s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(p) / width).cast("int") - 1)), lambda j: F.struct((s + j * width).cast("long").alias("start"), F.least(s + F.length(p), s + (j + 1) * width).cast("long").alias("end")))
-    return F.flatten(F.zip_with(paras, starts, pieces))
+    """Paragraph segments of at most ``width`` characters with their offsets: joined by line ends they give the body back.
+
+    One running sum over the paragraphs, as an Arrow batch function.
+    """
+
+    def cut(bodies: pa.Array) -> pa.Array:
+        out = []
+        for text in bodies.to_pylist():
+            at, own = 0, []
+            for p in text.split("\n") if text is not None else ():
+                own += [(at + j, at + min(len(p), j + width)) for j in range(0, max(1, len(p)), width)]
+                at += len(p) + 1
+            out.append(None if text is None else [{"start": x, "end": y} for x, y in own])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    return F.arrow_udf(cut, "array<struct<start:bigint,end:bigint>>")(body)
 
 
 def blocks(docs: Column, nonce: str) -> Column:

@@ -125,7 +125,7 @@ def chunk_windows(spark, sf):
 
 
 def evidence_spans_800(spark, sf):
-    c = corpus(spark, sf).filter(F.length("text") < 20_000).select("id", "text", D.spans(F.col("text")).alias("s"))
+    c = corpus(spark, sf).select("id", "text", D.spans(F.col("text")).alias("s"))
     piece = F.transform("s", lambda x: F.substring(F.col("text"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
     return c.select("id", F.size("s").cast("long").alias("spans"), F.array_max(F.transform("s", lambda x: x["end"] - x["start"])).alias("longest"), F.md5(F.array_join(piece, "|")).alias("pieces"))
 
