@@ -154,7 +154,7 @@ def bottom_k_per_bucket(spark, sf):
 
 
 def quota_cross_fill(spark, sf):
-    return D.cross_filled(table(spark, sf, "documents").filter("doc_id < 300"), F.col("lang") == "es", "doc_id", "q", 60, 40)
+    return D.cross_filled(table(spark, sf, "documents"), F.col("lang") == "es", "doc_id", "q", 60, 40)
 
 
 def greedy_disjoint_select(spark, sf):

@@ -64,8 +64,8 @@ def best_alias_score(spark, sf):
 
 
 def pairwise_group_f1(spark, sf):
-    """Mean F1 over the unordered pairs of a label's first documents' titles."""
-    d = corpus(spark, sf).select(F.col("id").cast("long").alias("doc"), T.official_words(F.col("title")).alias("w")).filter("doc < 200").withColumn("g", F.col("doc") % 20)
+    """Mean F1 over the unordered pairs of titles of a group; of each 200 documents those of one id modulo 20 are a group, ten at most."""
+    d = corpus(spark, sf).select(F.col("id").cast("long").alias("doc"), T.official_words(F.col("title")).alias("w")).withColumn("g", F.floor(F.col("doc") / 200) * 20 + F.col("doc") % 20)
     j = d.alias("a").join(d.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.doc") < F.col("b.doc")))
     return j.groupBy(F.col("a.g").alias("g")).agg(F.count("*").alias("pairs"), F.round(F.avg(T.token_f1(F.col("a.w"), F.col("b.w"))), 6).alias("mean_f1"))
 
