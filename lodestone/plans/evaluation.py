@@ -111,7 +111,7 @@ def arm_split_cube(spark, sf):
 
 def bootstrap_ci(spark, sf):
     a, b = _arms(spark, sf)
-    units = a.filter("case_id % 20 = 0").select("case_id", F.col("em").alias("x")).join(b.select("case_id", F.col("em").alias("y")), "case_id").select(F.col("case_id").alias("key"), (F.col("y") - F.col("x")).cast("double").alias("delta"))
+    units = a.select("case_id", F.col("em").alias("x")).join(b.select("case_id", F.col("em").alias("y")), "case_id").select(F.col("case_id").alias("key"), (F.col("y") - F.col("x")).cast("double").alias("delta"))
     return S.bootstrap(units)
 
 

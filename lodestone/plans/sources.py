@@ -31,7 +31,7 @@ def tool_messages_corpus(spark, sf):
 
 def call_ledger_budget(spark, sf):
     """Orders of one status as calls against a budget: what each reservation meets."""
-    o = table(spark, sf, "orders").filter("o_orderkey < 400")
+    o = table(spark, sf, "orders")
     calls = o.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 60).cast("string").alias("key"), F.col("o_orderstatus").alias("stage"), F.round("o_totalprice").alias("reserved"), F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 2)).alias("charged"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("status"))
     return sinks.budget_states(calls, 2.0e7, {"F": 1.2e7, "O": 4.0e6, "P": 9.0e6})
 

@@ -28,6 +28,13 @@ CUTS = {
     "span_location": [("doc_id < 30 AND ", "")],
     "support_documents": [(" WHERE doc_id < 300", "")],
     "pairwise_group_f1": [(" WHERE id::BIGINT < 200", ""), ("id::BIGINT % 20 AS g", "id::BIGINT // 200 * 20 + id::BIGINT % 20 AS g")],
+    "vote_reconciliation": [(" WHERE l_orderkey % 10 = 0", "")],
+    "replication_diff": [(" WHERE l_orderkey % 25 = 0", "")],
+    "bootstrap_ci": [(" WHERE a.case_id % 20 = 0", "")],
+    "agreed_splits": [(" WHERE hour(ts) < 1", "")],
+    "masked_keys": [(" WHERE c_custkey < 500", "")],
+    "superseded_decisions": [(" WHERE o_orderkey < 2000", "")],
+    "call_ledger_budget": [(" WHERE o_orderkey < 400", "")],
 }
 
 
