@@ -94,16 +94,45 @@ def spans(body: Column, width: int = 800) -> Column:
     return F.arrow_udf(cut, "array<struct<start:bigint,end:bigint>>")(body)
 
 
+#: Marks of a block's head and what stands for them, undone in reverse order.
+ESCAPES = (("\\", "\\e"), ("|", "\\p"), (">", "\\g"), ("\n", "\\n"))
+#: What stands for a null title, and behind the title for a null text.
+NO_TITLE, NO_TEXT = "\\0", "\\z"
+
+
+def _escaped(x: Column) -> Column:
+    for mark, code in ESCAPES:
+        x = F.replace(x, F.lit(mark), F.lit(code))
+    return x
+
+
+def _unescaped(x: Column) -> Column:
+    for mark, code in reversed(ESCAPES):
+        x = F.replace(x, F.lit(code), F.lit(mark))
+    return x
+
+
 def blocks(docs: Column, nonce: str) -> Column:
-    """Documents (id, title, text) rendered as blocks that a nonce sets off, so that bodies can hold anything else."""
-    one = lambda d: F.concat(F.lit(f"<<{nonce} "), d["id"], F.lit("|"), d["title"], F.lit(">>\n"), d["text"], F.lit(f"\n<</{nonce}>>\n"))
+    """Documents (id, title, text) rendered as blocks that a nonce sets off, so that bodies can hold anything else.
+
+    Ids and titles can hold anything: marks of the head are escaped in them. Null titles and texts come back as nulls.
+    """
+    title = lambda d: F.concat(F.coalesce(_escaped(d["title"]), F.lit(NO_TITLE)), F.when(d["text"].isNull(), NO_TEXT).otherwise(""))
+    one = lambda d: F.concat(F.lit(f"<<{nonce} "), _escaped(d["id"]), F.lit("|"), title(d), F.lit(">>\n"), F.coalesce(d["text"], F.lit("")), F.lit(f"\n<</{nonce}>>\n"))
     return F.array_join(F.transform(docs, one), "")
 
 
 def parse_blocks(rendered: Column, nonce: str) -> Column:
     """The documents of ``blocks`` read back."""
-    heads = F.filter(F.split(rendered, f"<<{nonce} "), lambda x: x != "")
-    return F.transform(heads, lambda b: F.struct(F.substring_index(b, "|", 1).alias("id"), F.regexp_extract(b, r"^[^|]*\|([^>]*)>>\n", 1).alias("title"), F.regexp_extract(b, rf"(?s)^[^\n]*>>\n(.*)\n<</{nonce}>>\n$", 1).alias("text")))
+    heads = F.filter(F.split(rendered, rf"(?:^|(?<=\n<</{nonce}>>\n))<<{nonce} "), lambda x: x != "")
+
+    def one(b: Column) -> Column:
+        raw = F.regexp_extract(b, r"^[^|]*\|([^>]*)>>\n", 1)
+        bare = F.when(F.endswith(raw, F.lit(NO_TEXT)), F.substring(raw, F.lit(1), F.length(raw) - len(NO_TEXT))).otherwise(raw)
+        text = F.when(~F.endswith(raw, F.lit(NO_TEXT)), F.regexp_extract(b, rf"(?s)^[^\n]*>>\n(.*)\n<</{nonce}>>\n$", 1))
+        return F.struct(_unescaped(F.substring_index(b, "|", 1)).alias("id"), F.when(bare != NO_TITLE, _unescaped(bare)).alias("title"), text.alias("text"))
+
+    return F.transform(heads, one)
 
 
 def hash_order(seed: str, key: Column) -> Column:

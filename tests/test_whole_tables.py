@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import datasets as D
 from lodestone.plans import registry
@@ -34,6 +35,7 @@ CUTS = {
     "agreed_splits": [(" WHERE hour(ts) < 1", "")],
     "masked_keys": [(" WHERE c_custkey < 500", "")],
     "superseded_decisions": [(" WHERE o_orderkey < 2000", "")],
+    "normalized_dedup": [(" WHERE lang = 'en'", "")],
     "call_ledger_budget": [(" WHERE o_orderkey < 400", "")],
 }
 
@@ -57,3 +59,18 @@ def test_spans_of_many_paragraphs(spark):
     assert len(spans) == 60_003 and max(b - a for a, b in spans) == 800
     assert hashlib.md5("".join(body[a:b] for a, b in spans).encode()).digest() == hashlib.md5(body.replace("\n", "").encode()).digest()
     assert got[1]["s"] is None and [tuple(x) for x in got[2]["s"]] == [(0, 0)]
+
+
+def test_blocks_of_any_title_and_text(spark, tmp_path):
+    texts = ["a|b > c\\p \\g\\e\\ <<x>> | e f g\nbody << >> | <<b7 ", "\\0 t", "t\\z", "", None, "x>>\n<<y|z>>\n"]
+    rows = [(i * 100, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = registry.QUERIES["block_render_roundtrip"](spark, str(tmp_path)).collect()
+    assert got["n"] == len(texts) and got["same"]
+    (odd,) = spark.createDataFrame([([("1|>", None, "t"), ("2", "a\n>>|", None), ("3", "", "")],)], "d array<struct<id:string,title:string,text:string>>").select((D.parse_blocks(D.blocks(F.col("d"), "q9"), "q9") == F.col("d")).alias("same")).collect()
+    assert odd["same"]
+
+
+def test_blocks_of_the_table(spark):
+    got = registry.QUERIES["block_render_roundtrip"](spark, SF).collect()
+    assert sum(r["n"] for r in got) == 1000 and all(r["same"] for r in got)
