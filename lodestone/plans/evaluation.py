@@ -137,7 +137,7 @@ def variance_probability(spark, sf):
 
 def _arrays(spark, sf):
     """Token log-probabilities of a conversation turn from its words' lengths: current, old and reference."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 40).alias("w"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
     size = F.transform("w", lambda x: F.length(x).cast("double"))
     return c.select("conv_id", "turn", F.transform(size, lambda x: -x / 10).alias("cur"), F.transform(size, lambda x: -(x + x % 3 - 1) / 10).alias("old"), F.transform(size, lambda x: -(x + x % 2) / 10).alias("ref"), F.when(F.col("turn") % 2 == 0, 1.0).otherwise(-0.5).alias("adv"))
 

@@ -35,6 +35,8 @@ CUTS = {
     "agreed_splits": [(" WHERE hour(ts) < 1", "")],
     "masked_keys": [(" WHERE c_custkey < 500", "")],
     "superseded_decisions": [(" WHERE o_orderkey < 2000", "")],
+    "grpo_loss_columns": [("[1:40]", "")],
+    "logprob_comparison": [("[1:40]", "")],
     "normalized_dedup": [(" WHERE lang = 'en'", "")],
     "call_ledger_budget": [(" WHERE o_orderkey < 400", "")],
 }
