@@ -23,6 +23,7 @@ def duck():
 
 #: The parts of a query's statement that leave rows out, and what stands for them here.
 CUTS = {
+    "dense_max_per_doc": [("q.vec_id < 10 ", "q.vec_id % 100 = 0 ")],
     "evidence_spans_800": [(" WHERE length(text) < 20000", " WHERE text IS NOT NULL")],
     "quota_cross_fill": [(" WHERE doc_id < 300", "")],
     "proper_name_counts": [(" WHERE lang = 'en' AND doc_id < 400", "")],
