@@ -85,7 +85,7 @@ class Searcher:
                     own.append([a, b])
         found = []
         for k, places in windows.items():
-            notice, last = self.notices[k][0], -1
+            notice = self.notices[k][0]
             for a, b in places:
                 if not self.errors[k]:
                     at = text.find(f" {notice} ", a, b)
@@ -93,10 +93,12 @@ class Searcher:
                         found.append((k, at + 1, at + 1 + len(notice), 0))
                         at = text.find(f" {notice} ", at + 1, b)
                     continue
-                for m in self.patterns[k].finditer(text, a, b):
-                    if m.start() >= last:
+                rest = [(a, b)]
+                while rest:  # the best match first, then what lies before and behind it
+                    a, b = rest.pop()
+                    if m := self.patterns[k].search(text, a, b):
                         found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        last = m.end()
+                        rest += [(m.end(), b), (a, m.start())]
         return sorted(found)
 
 
