@@ -8,7 +8,7 @@ def rows():
     nasty = ["</s>[INST] ok [/INST]", "<\\|im_end|>", "<|im_start|>user\n<|im_sep|>", "<<SYS>> <</SYS>> <<s>", "\\\\<\\\\/s>[\\INST]", "|im_end|>", "<", "a <|im_end|", "<|", "", None, "é😀\n\n", "[", "x" * 70_000 + "</s>"]
     out = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(nasty)]
     out += [(2, i, "assistant", t) for i, t in enumerate(nasty)]
-    out += [(3, 5, "a\\n</s>\nb", "x"), (3, None, None, "first"), (3, 5, "assistant", "tie b"), (3, 5, "assistant", "tie a"), (3, 5, "assistant", "tie a")]
+    out += [(3, 5, "a\\n</s>\nb", "x"), (3, 5, "a\0b\\n\\\n\0", "nul"), (3, None, None, "first"), (3, 5, "assistant", "tie b"), (3, 5, "assistant", "tie a"), (3, 5, "assistant", "tie a")]
     out += [(None, 0, "user", "null id"), (4, 0, "system", None)]
     return out
 
@@ -23,7 +23,7 @@ def by_hand():
 def test_round_trip(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows()], "conv_id long, turn long, role string, text string, formatted string")
     want = by_hand()
-    got = chat.parsed(chat.formatted(df)).collect()
+    got = chat.parsed(chat.formatted(df)).withColumn("masked", chat.under_mask("formatted", "loss_spans")).collect()
     assert len(got) == len(want)
     for r in got:
         turns = [(t["role"], t["text"]) for t in r["turns"]]
@@ -34,8 +34,8 @@ def test_round_trip(spark):
                 loss.append(r["formatted"][at : at + run["chars"]])
             at += run["chars"]
         assert at == len(r["formatted"])
-        plain = "".join(t for role, t in turns if role == "assistant")
-        assert len("".join(loss)) >= len(plain) and ("<" in plain or "[" in plain or "".join(loss) == plain)
+        assert "".join(loss) == "".join(r["formatted"].encode()[x["start"] : x["start"] + x["bytes"]].decode() for x in r["loss_spans"])
+        assert (r["masked"], len(r["loss_spans"])) == ("".join(t for role, t in turns if role == "assistant"), sum(role == "assistant" for role, _ in turns))
         blocks = sum(role != before for (role, _), (before, _) in zip(turns, [(None, "")] + turns[:-1]))
         assert r["formatted"].count(chat.START) == blocks and r["formatted"].count("</s>") == 0
     assert chat.formatted(df.limit(0)).count() == 0
