@@ -7,8 +7,9 @@ framing: tasks commit through Spark's protocol, so a lost executor leaves no hal
 will do.  Reading parses whole files by Content-Length and joins the revisit records to their responses by record id.
 
 Defined cases: a null html is an empty payload, a null url leaves WARC-Target-URI out; payloads under ``LEAST`` bytes
-are all responses; of rows that repeat the first page_id of a payload one is the response and the others revisit it; a
-null page_id is kept as null and comes last; lines in urls are percent-encoded; an empty table gives archives without
+are all responses; of rows that repeat the first page_id of a payload one is the response and the others revisit it (rows
+that repeat a page_id with its payload are written once with a number, by which reruns know them); a null page_id is kept
+as null and comes last; lines in urls are percent-encoded; an empty table gives archives without
 records; other columns are not read.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _made, arrow_map, checkpointed, scratch, small
+from .common import _made, arrow_map, checkpointed, scratch, small, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
@@ -31,10 +32,22 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
-def headers(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest and a row number, without the payloads."""
+def numbered(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, bytes, sha and row: with page_id and sha it tells rows apart, whenever they are evaluated."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"), F.monotonically_increasing_id().alias("row"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("sha"))
+    again = rows.groupBy("sha", "page_id").agg(F.count("*").alias("c")).filter("c > 1")
+    again = checkpointed(again.select(F.col("sha").alias("a_sha"), F.col("page_id").alias("a_page")))
+    if again.isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    same = (F.col("sha") == F.col("a_sha")) & F.col("page_id").eqNullSafe(F.col("a_page"))
+    repeated = written(rows.join(small(again), same).select(*rows.columns, (F.monotonically_increasing_id() + 1).alias("row")))
+    return rows.join(small(again), same, "left_anti").withColumn("row", F.lit(0).cast("long")).unionByName(repeated)
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest and row of numbered pages, without the payloads."""
+    return rows.select("page_id", "url", F.col("bytes").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "row")
 
 
 def record_id(digest: Column, page: Column, row: Column) -> Column:
@@ -51,13 +64,11 @@ def originals(head: DataFrame, least: int = LEAST) -> DataFrame:
     return found.select(F.col("payload_digest").alias("digest"), F.col("o.page_id").alias("o_page"), F.col("o.row").alias("o_row"), F.col("o.url").alias("o_url"))
 
 
-def records(pages: DataFrame, head: DataFrame, least: int = LEAST) -> DataFrame:
+def records(rows: DataFrame, head: DataFrame, least: int = LEAST) -> DataFrame:
     """One column ``value``: a whole record but for the closing CRLF CRLF.  Payloads are not shuffled if the repeats are few."""
     first = checkpointed(originals(head, least))
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).alias("bytes"), F.sha2(html, 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
     j = rows.join(small(first), F.col("sha") == F.col("digest"), "left")
-    revisit = F.col("digest").isNotNull() & (F.col("row") != F.col("o_row"))
+    revisit = F.col("digest").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("o_page")) & (F.col("row") == F.col("o_row")))
     uri = lambda c: F.replace(F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -75,10 +86,11 @@ def records(pages: DataFrame, head: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = LEAST, compression: str = "none") -> str:
     """Write deduplicated archives into the folder ``path``."""
-    head = checkpointed(headers(pages))
+    rows = numbered(pages)
+    head = checkpointed(headers(rows))
     mean = head.agg(F.avg("payload_bytes")).first()[0] or 0
     per_file = max(1, int(FILE_BYTES // (mean + 600)))
-    records(pages, head, least).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
+    records(rows, head, least).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
     return path
 
 
