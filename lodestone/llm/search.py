@@ -6,13 +6,14 @@ leading components hold most of an inner product.  For a block of queries, a par
 plus the Cauchy-Schwarz bound of the rest says which pairs can still reach a query's k-th score; only those are summed
 exactly, in integers.  As lengths fall, |q||x| alone rules out a whole block and ends the run for a query.
 
-Queries come in blocks of bounded size, each joined with all rows by one narrow pass; no pair is shuffled, only the k
-best of a query for each task, so a query's rows in the last step number at most k for each task.
+Queries come in blocks of bounded size, each joined with all rows by one narrow pass, whose k best are written before
+the next block comes if there are several, so the driver and a task hold one block at a time.  No pair is shuffled, only
+the k best of a query for each task, so a query's rows in the last step number at most k for each task.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; vectors of other
 lengths are padded with zeros; where sums pass 2^53 they are made in Python's integers and scores held to the range of
-a long; ties go to the smaller vec_id; rows that repeat a vec_id are each a candidate, and one query; a query's own rows
-(all with its vec_id) are no candidates; an empty table gives no rows; no other column is read.
+a long; ties go to the smaller vec_id; rows that repeat a vec_id are each a candidate, and one query, with the smallest of
+their vectors (component by component); a query's own rows (all with its vec_id) are no candidates; an empty table gives no rows; no other column is read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map
+from .common import arrow_map, written
 
 SCALE, K, EVERY = 1024, 10, 100
 #: Queries of one pass, and vectors of one block.
 QUERY_ROWS, BLOCK_ROWS = 4096, 1024
+#: Bytes of a task's vectors, on average.
+TASK_BYTES = 32 << 20
 #: Leading rotated components of the partial sums: a share of the dimension.
 LEADING = 0.5
 
@@ -133,35 +136,34 @@ def _best(ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each query; both frames have vec_id and embedding."""
     rows, asked = integers(vectors, scale), integers(queries, scale)
-    width = max(rows.agg(F.max(F.size("v"))).first()[0] or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
+    widest, count = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    width = max(widest or 0, asked.agg(F.max(F.size("v"))).first()[0] or 0)
     schema = "query_id long, vec_id long, score long"
     if not width:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn = rotation(rows, width)
-    longest_first = rows.withColumn("n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).repartition("vec_id").sortWithinPartitions(F.desc("n"), "vec_id").select("vec_id", "v")
-    passes, block = [], []
+    tasks = max(count * width * 8 // TASK_BYTES, min(count // BLOCK_ROWS, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))) + 1
+    # dealt out by turns: a vector or a vec_id that many rows have fills no task
+    longest_first = rows.withColumn("n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).repartition(tasks).sortWithinPartitions(F.desc("n"), "vec_id").select("vec_id", "v")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
 
-    def ask(block):
+    def ask(block: list) -> DataFrame:
         ids = np.array([i for i, _ in block], dtype=np.int64)
         q = np.zeros((len(block), width))
         for i, (_, v) in enumerate(block):
             q[i, : len(v)] = v
-        passes.append(arrow_map(longest_first, _best(ids, q, turn, k), schema))
+        best = arrow_map(longest_first, _best(ids, q, turn, k), schema)
+        return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    for row in asked.dropDuplicates(["vec_id"]).toLocalIterator():
-        block.append((row["vec_id"], row["v"]))
+    found, block = None, []
+    for row in asked.groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator():
         if len(block) == QUERY_ROWS:
-            ask(block)
-            block = []
-    if block:
-        ask(block)
-    if not passes:
+            own = written(ask(block))
+            found, block = own if found is None else found.unionByName(own), []
+        block.append((row["vec_id"], row["v"]))
+    if not block:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = passes[0]
-    for p in passes[1:]:
-        best = best.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ask(block) if found is None else found.unionByName(written(ask(block)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

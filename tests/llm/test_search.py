@@ -8,7 +8,7 @@ from lodestone.llm import search
 def brute(rows, k=10, every=100):
     fine = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q, w in dict(fine[::-1]).items():
+    for q, w in {i: min(v for j, v in fine if j == i) for i, _ in fine}.items():
         if q % every == 0:
             scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, v in fine if i != q)
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
