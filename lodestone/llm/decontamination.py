@@ -4,8 +4,9 @@ One Aho-Corasick automaton over the normalised benchmark windows scans each norm
 word ranges and mapped to character offsets of the original text.
 
 A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.  The
-benchmark comes in blocks of at most ``block_bytes`` of window text, each block being one automaton and one pass over
-the texts, so what is broadcast has a fixed bound whatever the benchmark's size; one block is the normal case.
+benchmark comes in blocks of about ``block_bytes`` of window text and item ids, each block being one automaton and one
+pass over the texts; after ``PASSES`` of them the rows are written, so what the driver holds and sends has a fixed bound
+whatever the benchmark's size.  One block is the normal case.
 
 Defined cases: null and empty texts have no words and no hits; null items have no windows; equal items all count;
 rows that repeat a doc_id are scanned each by itself; other columns are not read, or pass through ``clean``.
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, arrow_map
+from .common import ALNUM, arrow_map, written
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
+#: Passes that one job makes, each with its block.
+PASSES = 4
 
 
 def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
@@ -39,8 +42,7 @@ def blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BY
     block, size = {}, 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         for w in set(windows(row["text"], width)):
-            if w not in block:
-                size += len(w)
+            size += 8 if w in block else len(w) + 8
             block.setdefault(w, []).append(row["item_id"])
         if size >= block_bytes:
             yield block
@@ -139,26 +141,29 @@ def _pass(block: dict[bytes, list[int]], last: bool):
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, word_spans, char_spans (of the original text), items; no shuffle."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = list(blocks(benchmark, width, block_bytes)) or [{}]
-    for k, block in enumerate(every):
-        found = arrow_map(found, _pass(block, k == len(every) - 1), RESULT if k == len(every) - 1 else BETWEEN)
-    return found
+    made, block = 0, {}
+    for after in blocks(benchmark, width, block_bytes):
+        if block:
+            found, made = arrow_map(found, _pass(block, False), BETWEEN), made + 1
+            found = found if made % PASSES else written(found)
+        block = after
+    return arrow_map(found, _pass(block, True), RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any that hold a benchmark window; columns and clean rows unchanged, in one pass."""
-    passes = list(blocks(benchmark, width))
 
     def keep(block):
         def run(batches):
             of = automaton(block)
             for batch in batches:
-                yield batch.filter(pa.array([not t or not scan(t.encode("utf-8", "surrogatepass").translate(ALNUM).split(), of)[0] for t in batch.column("text").to_pylist()], pa.bool_()))
+                texts = batch.column("text").cast(pa.string()).to_pylist()
+                yield batch.filter(pa.array([not t or not scan(t.encode("utf-8", "surrogatepass").translate(ALNUM).split(), of)[0] for t in texts], pa.bool_()))
 
         return run
 
-    for block in passes:
-        docs = arrow_map(docs, keep(block), docs.schema)
+    for made, block in enumerate(blocks(benchmark, width)):
+        docs = arrow_map(docs if made == 0 or made % PASSES else written(docs), keep(block), docs.schema)
     return docs
 
 
