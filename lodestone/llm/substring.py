@@ -10,7 +10,8 @@ ranges of the original text.
 
 Defined cases: null and empty texts have no units and stay; a text that repeats within itself keeps the first place, also where
 its later places overlap it; texts of fewer words in all than ``LEAST_WORDS`` stay;
-documents rank by doc_id, nulls last; rows of one doc_id count as one document and lose nothing to each other; units
+documents rank by doc_id; rows without one rank last, by their texts, each as a document of its own (they take the
+``2**52`` largest numbers, which no doc_id may have then); rows of one doc_id count as one document and lose nothing to each other; units
 of any length are hashed whole; an empty table gives an empty one; other columns pass through, whatever their names, with ``text`` replaced; with a
 report, its columns ``removed``, ``units`` and ``chars_before`` take the place of any that are so named.
 """
@@ -101,26 +102,37 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-LAST = 2**63 - 1
-GONE = "_lodestone_gone"
+#: Documents without an id are numbered from here.
+UNNAMED = 2**63 - 2**52
+GONE, RANK = "_lodestone_gone", "_lodestone_rank"
 
 
 def _places(batches):
     """A row for each digest of a text, as two longs."""
     for batch in batches:
         ids, hashes = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for rank, text in zip(batch.column(RANK).to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
             own = {h for _, _, h in runs(text, units(text))} if text else ()
-            ids += [LAST if doc_id is None else doc_id] * len(own)
+            ids += [rank] * len(own)
             hashes += own
         two = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["d", "h1", "h2"])
 
 
+def ranked(docs: DataFrame) -> DataFrame:
+    """The documents with their rank; those without an id are numbered once, in a written table, so that reruns agree."""
+    unnamed = docs.filter("doc_id is null")
+    named = docs.withColumn(RANK, F.col("doc_id").cast("long"))
+    if unnamed.isEmpty():
+        return named
+    numbered = written(unnamed.orderBy(F.col("text").cast("string")).withColumn(RANK, F.lit(UNNAMED) + F.monotonically_increasing_id()))
+    return named.filter("doc_id is not null").unionByName(numbered)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(d, gone): the digests (first halves) that a document has in common with an earlier one."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(d, gone): the digests (first halves) that a ranked document has in common with an earlier one."""
+    texts = docs.select(RANK, F.col("text").cast("string").alias("text"))
     places = written(arrow_map(texts, _places, "d long, h1 long, h2 long"))
     first = places.groupBy("h1", "h2").agg(F.min("d").alias("least"), F.max("d").alias("most")).filter("least < most").select("h1", "h2", "least")
     return places.join(first, ["h1", "h2"]).filter("d > least").groupBy("d").agg(F.collect_set("h1").alias("gone"))
@@ -171,9 +183,10 @@ def clean(docs: DataFrame, report: bool = True) -> DataFrame:
     With a report, also ``removed`` (the ranges of the original text), ``units`` and ``chars_before``.  The lists of
     lost digests are the build side of a hash join, so texts are shuffled once and never sorted.
     """
-    gone = repeats(docs).select(F.col("d").alias("_lodestone_d"), F.col("gone").alias(GONE))
     kept = docs.drop(*REPORT) if report else docs
-    both = kept.join(gone.hint("shuffle_hash"), F.coalesce(kept["doc_id"].cast("long"), F.lit(LAST)) == gone["_lodestone_d"], "left").drop("_lodestone_d")
+    order = ranked(kept)
+    gone = repeats(order).select(F.col("d").alias("_lodestone_d"), F.col("gone").alias(GONE))
+    both = order.join(gone.hint("shuffle_hash"), order[RANK] == gone["_lodestone_d"], "left").drop("_lodestone_d", RANK)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ([f"removed {SPANS}, units long, chars_before long"] if report else [])
     return arrow_map(both, _clean([*kept.columns, *(REPORT if report else ())], report), ", ".join(fields))
 
@@ -186,19 +199,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def brute(rows: list[tuple[int | None, str | None]]) -> list[str | None]:
-    """For tests: the kept texts, by walking all units in rank order; doc_ids must be distinct."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    seen: set[bytes] = set()
+    """For tests: the kept texts, by walking all runs in rank order; doc_ids must be distinct, but for nulls."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or ""))
+    seen: dict[bytes, tuple[int, int]] = {}  # of each run, the row and the last unit of its first place
     out: list[str | None] = [t for _, t in rows]
     for i in order:
         text, gone = rows[i][1], set()
-        for n, (a, b) in enumerate(units(text) if text else ()):
-            words = text[a:b].encode().translate(ALNUM).split()
-            if len(words) >= LEAST_WORDS:
-                h = b" ".join(words)
-                if h in seen:
-                    gone.add(n)
-                seen.add(h)
+        cut = units(text) if text else []
+        words = [text[a:b].encode().translate(ALNUM).split() for a, b in cut]
+        for a in range(len(cut)):
+            b = next((b for b in range(a, len(cut)) if sum(map(len, words[a : b + 1])) >= LEAST_WORDS), None)
+            if words[a] and b is not None:
+                row, end = seen.setdefault(b" ".join(w for x in words[a : b + 1] for w in x), (i, b))
+                gone |= {n for n in range(a, b + 1) if row != i or n > end}
         if gone:
             out[i] = without(text, removed(text, gone))
     return out
@@ -209,11 +222,17 @@ WITH p AS (SELECT doc_id, text, string_split(replace(regexp_replace(coalesce(tex
 e AS (SELECT doc_id, u, n FROM (SELECT doc_id, unnest(l) AS u, unnest(range(0, len(l))) AS n FROM p) WHERE u <> ''),
 w AS (SELECT *, regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
   sum(length(u)) OVER d - length(u) AS a, coalesce(sum(CAST(ends_with(u, chr(10)) AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
-k AS (SELECT *, CASE WHEN len(w) >= 6 THEN array_to_string(w, ' ') END AS k FROM w),
-g AS (SELECT *, CASE WHEN k IS NOT NULL THEN row_number() OVER (PARTITION BY k ORDER BY doc_id, n) > 1 END AS gone FROM k),
-s AS (SELECT *, last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-  first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM g),
-o AS (SELECT *, coalesce(gone, (before IS NOT NULL OR after IS NOT NULL) AND coalesce(before, true) AND coalesce(after, true)) AS goes FROM s),
+v AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY n) AS c FROM w),
+f AS (SELECT doc_id, n, c, c - len(w) AS b FROM v WHERE len(w) > 0),
+z AS (SELECT s.doc_id, s.n AS i, t.n AS j, s.b, t.c FROM f s ASOF JOIN f t ON s.doc_id = t.doc_id AND s.b + 6 <= t.c),
+y AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS y FROM documents),
+k AS (SELECT z.doc_id, i, j, array_to_string(y[b + 1 : c], ' ') AS k FROM z JOIN y ON z.doc_id = y.doc_id),
+q AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS least, first_value(j) OVER (PARTITION BY k, doc_id ORDER BY i) AS j0 FROM k),
+x AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id > least THEN i ELSE greatest(i, j0 + 1) END, j + 1)) AS n FROM q),
+g AS (SELECT v.*, x.n IS NOT NULL AS gone, CASE WHEN len(w) >= 6 THEN x.n IS NOT NULL END AS long FROM v LEFT JOIN x ON v.doc_id = x.doc_id AND v.n = x.n),
+s AS (SELECT *, last_value(long IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(long IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM g),
+o AS (SELECT *, gone OR (long IS NULL AND (before IS NOT NULL OR after IS NOT NULL) AND coalesce(before, true) AND coalesce(after, true)) AS goes FROM s),
 i AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM o),
 r AS (SELECT doc_id, count(*) AS c, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM (SELECT doc_id, min(a) AS a, max(a + length(u)) AS b FROM i WHERE goes GROUP BY doc_id, island) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS units, coalesce(sum(length(u)) FILTER (WHERE goes), 0) AS size, coalesce(string_agg(u, '' ORDER BY n) FILTER (WHERE NOT goes), '') AS kept FROM o GROUP BY doc_id)
