@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts that a Python worker gets at once.
+#: Rows of whole texts that a Python worker gets at once; Spark itself bounds their bytes (``arrow.maxBytesPerBatch``, 64 MB).
 BATCH_ROWS = 512
 #: Rows up to which a small side is broadcast; beyond, Spark shuffles it.
 BROADCAST_ROWS = 20_000
@@ -36,13 +36,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext
-        at = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or where it is unset, on one machine only, a local one."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at and not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = at or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -55,14 +56,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the written intermediate tables; results that still read them must have been consumed."""
-    while _made:
-        made, path = _made.pop()
+def mark() -> int:
+    """How many intermediate tables there are, for ``since``."""
+    return len(_made)
+
+
+def since(n: int) -> list[tuple[SparkSession, str]]:
+    """The intermediate tables written after the mark, for ``release``."""
+    return _made[n:]
+
+
+def release(spark: SparkSession | None = None, tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete written intermediate tables, all or the given ones; results that still read them must have been consumed."""
+    for made, path in list(_made) if tables is None else tables:
         try:
-            context = (spark or made)._jsc.hadoopConfiguration()
+            if (made, path) in _made:
+                _made.remove((made, path))
             target = made._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context).delete(target, True)
+            target.getFileSystem((spark or made)._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended
             return
 
