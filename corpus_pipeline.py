@@ -1,8 +1,9 @@
 """A training corpus from ``documents`` in five stages, each written as Parquet and read again by the next.
 
-Every stage works on all rows that its predecessor kept.  The first four return the columns of ``documents``; the last
-one repeats rows, numbered in ``copy``.  SQL can't express the learned lexicon of the first stage, so there is no
-statement for the whole; the tests hold it against brute-force versions of the stages.
+Every stage works on all rows that its predecessor kept.  ``run`` deletes a stage's intermediate tables once its
+result is written.  The first four return the columns of ``documents``; the last one repeats rows, numbered in ``copy``.
+SQL can't express the learned lexicon of the first stage, so there is no statement for the whole; the tests hold it
+against brute-force versions of the stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, mixing, ngram_join, substring, toxicity
-from lodestone.llm.common import written
+from lodestone.llm.common import mark, release, since, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = mark()
         docs = written(stage(spark, docs, sf_dir))
+        release(tables=since(before)[:-1])  # all but the result, which was written last
     return docs

@@ -16,8 +16,11 @@ SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder, or a local one where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")).rstrip("/")
+    """The session's shared folder, or where none is set, on one machine only, a local one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (at or "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")).rstrip("/")
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_at_once: int = 1000) -> DataFrame:
