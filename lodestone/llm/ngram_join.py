@@ -48,7 +48,7 @@ CHUNK, HOT = 512, 4
 #: Grams of a bundle, after which it ends, and its sets, which a short number tells apart.
 BUNDLE, BUNDLE_SETS = 1 << 20, 60_000
 #: Bytes of text for each range of grams.
-RANGE_BYTES = 12_000_000
+RANGE_BYTES = 4_000_000
 #: Bits of a gram's hash that are compared.
 BITS = 48
 
@@ -57,7 +57,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
