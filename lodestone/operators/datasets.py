@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..scratch import checkpointed
 
 
 def split_of(key: Column) -> Column:
@@ -44,15 +45,51 @@ def canonical(*columns: tuple[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(columns, key=lambda x: x[0])])), 256)
 
 
+def chained_digests(messages: Column) -> Column:
+    """Digests of a list's prefixes, each made from the one before and the next message: linear in the list."""
+    step = lambda acc, m: F.struct(F.sha2(F.concat(acc["last"], F.to_json(m)), 256).alias("last"), F.array_append(acc["all"], F.sha2(F.concat(acc["last"], F.to_json(m)), 256)).alias("all"))
+    return F.aggregate(messages, F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), step, lambda acc: acc["all"])
+
+
 def prefix_links(turns: DataFrame, key: str) -> DataFrame:
     """Pairs of message lists of one key where one is a proper prefix of the other (columns id, messages).
 
-    Each list is joined to its own prefixes by the prefix's digest, so no pairs of a key are made.
+    Each list is joined to its own prefixes by the prefix's chained digest, so no pairs of a key are made.
+    """
+    lists = turns.select(key, "id", chained_digests(F.col("messages")).alias("digests"))
+    whole = lists.select(key, F.col("id").alias("prefix_id"), F.element_at("digests", -1).alias("digest"))
+    cut = lists.select(key, F.col("id").alias("full_id"), F.posexplode(F.slice("digests", 1, F.size("digests") - 1)).alias("n", "digest"))
+    return cut.join(whole, [key, "digest"]).select(key, "prefix_id", "full_id", (F.col("n") + 1).cast("long").alias("n"))
+
+
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """(src, target, hops, cycle) of redirects (src, dst), one for each src, followed to their ends however long.
+
+    A walk stops where no redirect goes on, or where it comes to a name for the second time: that name is the target
+    then, and cycle is true.  Each round doubles the length of all walks, so there are as many rounds as the logarithm
+    of the longest; walks that outlast the number of redirects stand on a cycle, whose length is the number of its names.
     """
-    whole = turns.select(key, F.col("id").alias("prefix_id"), F.sha2(F.to_json("messages"), 256).alias("digest"))
-    cut = turns.select(key, F.col("id").alias("full_id"), "messages", F.explode(F.sequence(F.lit(1), F.greatest(F.size("messages") - 1, F.lit(1)))).alias("n")).filter(F.col("n") < F.size("messages"))
-    cut = cut.select(key, "full_id", "n", F.sha2(F.to_json(F.slice("messages", 1, F.col("n"))), 256).alias("digest"))
-    return cut.join(whole, [key, "digest"]).select(key, "prefix_id", "full_id", F.col("n").cast("long").alias("n"))
+    n = redirects.count()
+
+    def walked(edges: DataFrame) -> DataFrame:
+        s, span = checkpointed(edges.select("src", F.col("dst").alias("at"), F.lit(1).cast("long").alias("hops"), F.least("src", "dst").alias("low"))), 1
+        while span <= n and not s.join(s.select(F.col("src").alias("at")), "at", "left_semi").isEmpty():
+            on = s.select(F.col("src").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("low").alias("lower"))
+            s = s.join(on, "at", "left").select("src", F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.least("low", "lower").alias("low"))
+            s, span = checkpointed(s), span * 2
+        return s
+
+    s = walked(redirects)
+    endless = checkpointed(s.join(s.select(F.col("src").alias("at")), "at", "left_semi").select("src", "at", "low"))
+    ended = s.join(endless.select("src"), "src", "left_anti").select("src", F.col("at").alias("target"), "hops", F.lit(False).alias("cycle"))
+    if endless.isEmpty():
+        return ended
+    round_ = endless.join(endless.select(F.col("at").alias("src")).distinct(), "src", "left_semi").select("src", "low")
+    length = round_.groupBy("low").agg(F.count("*").alias("length"))
+    round_ = checkpointed(round_.join(length, "low").select("src", "length"))
+    tails = walked(redirects.join(endless.select("src"), "src", "left_semi").join(round_.select("src"), "src", "left_anti"))
+    tails = tails.join(round_.withColumnRenamed("src", "at"), "at").select("src", F.col("at").alias("target"), (F.col("hops") + F.col("length")).alias("hops"))
+    return ended.unionByName(tails.unionByName(round_.select("src", F.col("src").alias("target"), F.col("length").alias("hops"))).withColumn("cycle", F.lit(True)))
 
 
 def manifest_join(manifest: DataFrame, results: DataFrame, key: str, payload: Column) -> DataFrame:
@@ -69,10 +106,14 @@ def overlay(base: DataFrame, corrections: DataFrame, key: str, value: str, order
 
 
 def chunks(body: Column, size: int = 220, overlap: int = 32) -> Column:
-    """[start, end) token windows that cover a token array to its end; one window for an empty body."""
-    n, stride = F.size(body).cast("long"), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("long")
-    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct((i * stride).alias("start"), F.least(n, i * stride + size).alias("end")))
+    """[start, end) token windows that cover a token array to its end; one window for an empty body.
+
+    The windows are laid over an array of the one length, so the body's expression is evaluated once and not for each window.
+    """
+    stride = size - overlap
+    last = lambda n: F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("long")
+    windows = lambda n: F.transform(F.sequence(F.lit(0).cast("long"), last(n)), lambda i: F.struct((i * stride).alias("start"), F.least(n, i * stride + size).alias("end")))
+    return F.get(F.transform(F.array(F.size(body).cast("long")), windows), F.lit(0))
 
 
 def spans(body: Column, width: int = 800) -> Column:
@@ -112,24 +153,34 @@ def _unescaped(x: Column) -> Column:
     return x
 
 
-def blocks(docs: Column, nonce: str) -> Column:
+def fresh_nonce(docs: Column, tries: int = 8) -> Column:
+    """The first of some nonces made from the documents' ids that no text holds; an error if all are held."""
+    ids = F.array_join(F.transform(docs, lambda d: d["id"]), ",")
+    candidates = F.array(*[F.substring(F.md5(F.concat(ids, F.lit(f":{i}"))), 1, 8) for i in range(tries)])
+    free = F.filter(candidates, lambda c: ~F.exists(docs, lambda d: F.coalesce(F.contains(d["text"], c), F.lit(False))))
+    return F.coalesce(F.get(free, F.lit(0)), F.raise_error(F.lit("every nonce is held")).cast("string"))
+
+
+def blocks(docs: Column, nonce: str | Column) -> Column:
     """Documents (id, title, text) rendered as blocks that a nonce sets off, so that bodies can hold anything else.
 
     Ids and titles can hold anything: marks of the head are escaped in them. Null titles and texts come back as nulls.
     """
     title = lambda d: F.concat(F.coalesce(_escaped(d["title"]), F.lit(NO_TITLE)), F.when(d["text"].isNull(), NO_TEXT).otherwise(""))
-    one = lambda d: F.concat(F.lit(f"<<{nonce} "), _escaped(d["id"]), F.lit("|"), title(d), F.lit(">>\n"), F.coalesce(d["text"], F.lit("")), F.lit(f"\n<</{nonce}>>\n"))
+    nonce = F.lit(nonce) if isinstance(nonce, str) else nonce
+    one = lambda d: F.concat(F.lit("<<"), nonce, F.lit(" "), _escaped(d["id"]), F.lit("|"), title(d), F.lit(">>\n"), F.coalesce(d["text"], F.lit("")), F.lit("\n<</"), nonce, F.lit(">>\n"))
     return F.array_join(F.transform(docs, one), "")
 
 
-def parse_blocks(rendered: Column, nonce: str) -> Column:
-    """The documents of ``blocks`` read back."""
-    heads = F.filter(F.split(rendered, rf"(?:^|(?<=\n<</{nonce}>>\n))<<{nonce} "), lambda x: x != "")
+def parse_blocks(rendered: Column, nonce: str | Column) -> Column:
+    """The documents of ``blocks`` read back; a nonce has letters and digits only."""
+    nonce = F.lit(nonce) if isinstance(nonce, str) else nonce
+    heads = F.filter(F.split(rendered, F.concat(F.lit(r"(?:^|(?<=\n<</"), nonce, F.lit(r">>\n))<<"), nonce, F.lit(" "))), lambda x: x != "")
 
     def one(b: Column) -> Column:
         raw = F.regexp_extract(b, r"^[^|]*\|([^>]*)>>\n", 1)
         bare = F.when(F.endswith(raw, F.lit(NO_TEXT)), F.substring(raw, F.lit(1), F.length(raw) - len(NO_TEXT))).otherwise(raw)
-        text = F.when(~F.endswith(raw, F.lit(NO_TEXT)), F.regexp_extract(b, rf"(?s)^[^\n]*>>\n(.*)\n<</{nonce}>>\n$", 1))
+        text = F.when(~F.endswith(raw, F.lit(NO_TEXT)), F.call_function("regexp_extract", b, F.concat(F.lit(r"(?s)^[^\n]*>>\n(.*)\n<</"), nonce, F.lit(r">>\n$")), F.lit(1)))
         return F.struct(_unescaped(F.substring_index(b, "|", 1)).alias("id"), F.when(bare != NO_TITLE, _unescaped(bare)).alias("title"), text.alias("text"))
 
     return F.transform(heads, one)
@@ -162,7 +213,7 @@ def cross_filled(df: DataFrame, is_first: Column, key: str, seed: str, first: in
     return chosen.select(key, "bucket", F.col("spare").cast("long").alias("spare"))
 
 
-def greedy_disjoint(df: DataFrame, shard: str, order: str, sets: str, key: str, most: int = 1_000_000) -> DataFrame:
+def greedy_disjoint(df: DataFrame, shard: str, order: str, sets: str, key: str, most: int | None = None) -> DataFrame:
     """Rows accepted in order if they share no element with an accepted one of their shard.
 
     Acceptance depends on all earlier rows of the shard, so a shard is one task by the operator's meaning: the shard key
@@ -174,7 +225,7 @@ def greedy_disjoint(df: DataFrame, shard: str, order: str, sets: str, key: str,
         keep = []
         for r in rows.sort_values(list(dict.fromkeys([order, key]))).itertuples(index=False):
             own = set(getattr(r, sets))
-            if own and not own & seen and len(keep) < most:
+            if own and not own & seen and (most is None or len(keep) < most):
                 seen |= own
                 keep.append((getattr(r, shard), getattr(r, key)))
         return pd.DataFrame(keep, columns=[shard, key])

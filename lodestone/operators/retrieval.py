@@ -1,17 +1,22 @@
 """Ranked retrieval: postings, BM25 and its variants, dense search, fusion, reranking, evaluation.
 
-Postings are one explode and one partial aggregation; a search joins the few query terms with them (the terms are
-broadcast behind a count), sums per (query, document) and keeps the best by a ranked window, which Spark limits before
-the shuffle.  Scores are rounded after ranking.
+A search reads and tokenises the corpus once: postings of the queries' terms (broadcast behind a count) and one marker
+for each document, which carries its length, are written; document frequencies, the mean length and the scores come from
+that table.  A ranked window keeps the best, which Spark limits before the shuffle.  Scores are rounded after ranking.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..scratch import written
 
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 EXACT_TITLE, WITHIN_TITLE = 10.0, 4.0
@@ -21,7 +26,7 @@ QUERY_ROWS = 50_000
 
 
 def few(df: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it is counted to be small."""
+    """The frame with a broadcast hint if it is counted to be small; the count runs what isn't stored, so that should be cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -30,38 +35,36 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def postings(corpus: DataFrame, title_weight: int = TITLE_WEIGHT, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(keys, token, tf, dl): term frequencies with the title counted ``title_weight`` times, and the length."""
+def postings(corpus: DataFrame, asked: DataFrame, title_weight: int = TITLE_WEIGHT, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, token, tf, dl), written: frequencies of the asked tokens, the title counted ``title_weight`` times, and a row of a null token for every document."""
     every = F.concat(F.flatten(F.array_repeat(T.tokens(F.col("title")), title_weight)), T.tokens(F.col("text")))
-    docs = corpus.select(*keys, every.alias("t")).withColumn("dl", F.size("t").cast("long"))
-    return docs.select(*keys, "dl", F.explode("t").alias("token")).groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf"))
-
-
-def length_stats(corpus: DataFrame, title_weight: int = TITLE_WEIGHT) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    size = title_weight * F.size(T.tokens(F.col("title"))) + F.size(T.tokens(F.col("text")))
-    return corpus.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"))
+    docs = corpus.select(*keys, every.alias("t")).select(*keys, F.size("t").cast("long").alias("dl"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("token"))
+    wanted = asked.select("token").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("token"))).withColumnRenamed("token", "wanted")
+    inside = docs.join(few(wanted), docs["token"].eqNullSafe(F.col("wanted")), "left_semi")
+    return written(inside.groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf")))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
 
 
-def bm25_sums(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(qid, keys, score) of the documents that share a term with the query.
+def bm25_sums(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",), only: DataFrame | None = None) -> DataFrame:
+    """(qid, keys, score) of the documents that share a term with the query; with ``only``, of its (qid, id) alone.
 
-    Document frequencies are a partial aggregation over the same postings (one exchange serves both), so a frequent
-    term costs one row per task; like the query's terms they are broadcast only if the terms are counted to be few.
+    Document frequencies are a partial aggregation over the postings, so a frequent term costs one row per task.
     """
     asked = query_terms(questions)
+    every = postings(corpus, asked, keys=keys)
+    posted = every.filter("token is not null")
+    stats = every.filter("token is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
     hint = F.broadcast if asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else (lambda x: x)
-    # the semi-join moves below the postings' aggregation: only the queries' terms are shuffled
-    posted = postings(corpus, keys=keys).join(hint(asked.select("token").distinct()), "token", "left_semi")
     often = posted.groupBy("token").agg(F.count("*").alias("df"))
     n, mean = F.col("n"), F.greatest(F.col("mean"), F.lit(1.0))
     part = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     hits = posted.join(hint(asked), "token").join(hint(often), "token")
-    return hits.crossJoin(F.broadcast(length_stats(corpus))).groupBy("qid", *keys).agg(F.sum(part).alias("score"))
+    if only is not None:
+        hits = hits.join(few(only.select("qid", "id")), ["qid", "id"], "left_semi")
+    return hits.crossJoin(F.broadcast(stats)).groupBy("qid", *keys).agg(F.sum(part).alias("score"))
 
 
 def title_boosts(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -88,11 +91,11 @@ def bm25_search(corpus: DataFrame, questions: DataFrame, k: int = 3, boost: bool
     return top(bm25_scores(corpus, questions, boost), k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def bm25_paragraphs(paragraphs: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
-    """The best paragraph of each title, then the k best titles."""
+def bm25_paragraphs(paragraphs: DataFrame, titles: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """The best paragraph of each title (id, title), then the k best titles."""
     keys = ("id", "paragraph_index")
-    titles = paragraphs.select(*keys, T.token_norm(F.col("title")).alias("title_key"))
-    scored = bm25_scores(paragraphs, questions, True, keys).join(titles, list(keys)).withColumn("s", F.round("score", 9))
+    titles = titles.select("id", T.token_norm(F.col("title")).alias("title_key"))
+    scored = bm25_scores(paragraphs, questions, True, keys).join(titles, "id").withColumn("s", F.round("score", 9))
     order = (F.desc("s"), F.col("title_key"), F.col("paragraph_index"), F.col("id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid", "title_key").orderBy(*order))).filter("r = 1")
     return top(best, k, *order).select("qid", "rank", *keys, F.round("score", 6).alias("score"))
@@ -100,9 +103,9 @@ def bm25_paragraphs(paragraphs: DataFrame, questions: DataFrame, k: int = 3) ->
 
 def page_then_paragraph(corpus: DataFrame, paragraphs: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """Rank whole pages, then the best paragraph of each by the same terms without a title boost."""
-    pages = bm25_search(corpus, questions, k).withColumnRenamed("score", "page_score")
+    pages = written(bm25_search(corpus, questions, k).withColumnRenamed("score", "page_score"))
     body = paragraphs.withColumn("title", F.lit(""))
-    found = bm25_sums(body, questions, ("id", "paragraph_index")).join(few(pages), ["qid", "id"])
+    found = bm25_sums(body, questions, ("id", "paragraph_index"), pages).join(few(pages), ["qid", "id"])
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.desc(F.round("score", 9)), "paragraph_index"))).filter("r = 1")
     return best.select("qid", "rank", "id", "page_score", "paragraph_index", F.round("score", 6).alias("body_score"))
 
@@ -110,27 +113,101 @@ def page_then_paragraph(corpus: DataFrame, paragraphs: DataFrame, questions: Dat
 def keyword_search(corpus: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """Sum of substring counts of the distinct terms over title and text; documents without any are dropped.
 
-    A term lies within one run of the text, so terms are matched with the vocabulary of runs once, and the runs'
-    frequencies carry the counts to the documents.
+    A term lies within one run of the text, so terms are matched with the vocabulary of runs once: a run's pieces of the
+    terms' lengths meet the terms by an equi-join, and the runs' frequencies carry the counts to the documents.
     """
     runs = F.regexp_extract_all(T.fold(F.concat_ws(" ", "title", "text")), F.lit(f"({T.TOKEN})"), 1)
-    posted = corpus.select("id", F.explode(runs).alias("run")).groupBy("id", "run").agg(F.count("*").alias("tf"))
+    posted = written(corpus.select("id", F.explode(runs).alias("run")).groupBy("id", "run").agg(F.count("*").alias("tf")))
     asked = questions.select("qid", F.explode(T.terms(F.col("question"))).alias("term"))
-    inside = posted.select("run").distinct().crossJoin(few(asked.select("term").distinct())).filter(F.contains("run", "term"))
+    terms = asked.select("term").distinct()
+    lengths = terms.agg(F.coalesce(F.collect_set(F.length("term")), F.array().cast("array<int>")).alias("lengths"))  # no more than the longest term has characters
+    cut = F.flatten(F.transform("lengths", lambda n: F.when(n <= F.length("run"), F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring("run", i, n))).otherwise(F.array().cast("array<string>"))))
+    pieces = posted.select("run").distinct().crossJoin(F.broadcast(lengths)).select("run", F.explode(F.array_distinct(cut)).alias("term"))
+    inside = pieces.join(few(terms), "term")
     weight = inside.select("run", "term", T.occurrences(F.col("run"), F.col("term")).alias("times")).join(few(asked), "term").groupBy("qid", "run").agg(F.sum("times").alias("times"))
     scored = posted.join(weight, "run").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("score"))
     return top(scored, k, F.desc("score"), F.col("id")).select("qid", "rank", "id", "score")
 
 
-def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+def holding(docs: DataFrame, passages: DataFrame, most: int = 20_000) -> DataFrame:
+    """(qid, id) of documents (id, body) that hold a passage (qid, passage) verbatim: one automaton of up to ``most`` passages over each text, else a search for each."""
+    stated = passages.filter("passage is not null").select("qid", "passage")
+    block = stated.limit(most + 1).collect()
+    if len(block) > most:
+        return docs.join(stated, F.contains("body", "passage")).select("qid", "id")
+    held: dict[str, list] = {}
+    for qid, passage in block:
+        held.setdefault(passage, []).append(qid)
+    everywhere = held.pop("", [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for passage, qids in held.items():
+            found.add_word(passage, qids)
+        found.make_automaton()
+        for batch in batches:
+            rows = []
+            for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if body is not None:
+                    own = set(everywhere).union(*(q for _, q in found.iter(body))) if held else everywhere
+                    rows += [(q, i) for q in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], kinds[1])], names=["qid", "id"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(stated.schema["qid"].dataType), to_arrow_type(docs.schema["id"].dataType)]
+    return docs.select("id", "body").mapInArrow(run, f"qid {stated.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}")
+
+
+def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 4096) -> DataFrame:
     """(qid, rank, id, score): inner product, best chunk of each document, k best documents.
 
-    chunks: id, vector; queries: qid, vector.
+    chunks: id, vector; queries: qid, vector.  Queries come in blocks; a task keeps the k best documents of each query
+    by its own chunks, among which every document of the k best is by its best chunk, so no pair is shuffled.
     """
-    asked = few(queries.select("qid", F.col("vector").alias("q")))
-    dot = F.aggregate(F.zip_with("vector", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    best = chunks.crossJoin(asked).select("qid", "id", dot.alias("s")).groupBy("qid", "id").agg(F.max("s").alias("score"))
-    return top(best, k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [queries.schema["qid"].dataType, chunks.schema["id"].dataType]
+    kinds = [to_arrow_type(f) for f in fields]
+    schema = f"qid {fields[0].simpleString()}, id {fields[1].simpleString()}, s double"
+    rows = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+
+    def best(block):
+        qids = [q for q, _ in block]
+        asked = np.array([v for _, v in block], dtype=np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: list[dict] = [{} for _ in qids]
+            for batch in batches:
+                ids, v = batch.column("id").to_pylist(), batch.column("v")
+                if not ids:
+                    continue
+                scores = asked @ v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T
+                for own, line in zip(kept, scores, strict=True):
+                    floor = min(own.values()) if len(own) >= k else -np.inf
+                    for at in np.flatnonzero(line >= floor - 1e-9):
+                        own[ids[at]] = max(own.get(ids[at], -np.inf), line[at])
+                    if len(own) > 4 * k:  # ties at the rounded k-th score stay
+                        least = sorted(own.values(), reverse=True)[k - 1] - 1e-8
+                        for i in [i for i, x in own.items() if x < least]:
+                            del own[i]
+            out = [(q, i, s) for q, own in zip(qids, kept, strict=True) for i, s in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kinds[0]), pa.array([r[1] for r in out], kinds[1]), pa.array([float(r[2]) for r in out], pa.float64())], names=["qid", "id", "s"])
+
+        found = rows.mapInArrow(run, schema).groupBy("qid", "id").agg(F.max("s").alias("score"))
+        return top(found, k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+    found, block = None, []
+    for row in queries.select("qid", F.col("vector").cast("array<double>").alias("v")).filter("v is not null").toLocalIterator():
+        if len(block) == block_rows:
+            own = written(best(block))
+            found, block = own if found is None else found.unionByName(own), []
+        block.append((row["qid"], row["v"]))
+    if found is None:
+        return best(block) if block else chunks.sparkSession.createDataFrame([], f"qid {fields[0].simpleString()}, rank long, id {fields[1].simpleString()}, score double")
+    return found.unionByName(written(best(block)))
 
 
 def fuse(lists: DataFrame, k: int = 3, rrf_k: int = RRF_K) -> DataFrame:
@@ -160,18 +237,20 @@ def rerank(candidates: DataFrame, bodies: DataFrame, questions: DataFrame, width
     """
     words = bodies.select("id", T.tokens(F.col("text")).alias("t"))
     asked = questions.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("q"))
-    joined = words.join(few(candidates.select("qid", "rank", "id")), "id").join(few(asked), "qid")
-    starts = window_starts(F.size("t"), width, stride, most)
-    scores = F.transform(starts, lambda s: F.size(F.array_intersect(F.slice(F.col("t"), (s + 1).cast("int"), width), F.col("q"))))
-    scored = joined.select("qid", "id", F.col("rank").alias("old_rank"), F.array_max(scores).cast("long").alias("score"))
+    listed = written(candidates.select("qid", "rank", "id"))
+    joined = words.join(few(listed), "id").join(few(asked), "qid")
+    # over an array of one token array, so that tokens are made once and not for each window
+    score = lambda t: F.array_max(F.transform(window_starts(F.size(t), width, stride, most), lambda s: F.size(F.array_intersect(F.slice(t, (s + 1).cast("int"), width), F.col("q")))))
+    scored = joined.select("qid", "id", F.col("rank").alias("old_rank"), F.get(F.transform(F.array("t"), score), F.lit(0)).cast("long").alias("score"))
     return top(scored, 10**6, F.desc("score"), F.col("old_rank")).select("qid", "rank", "id", "old_rank", "score")
 
 
 def linked_hop(first: DataFrame, corpus: DataFrame) -> DataFrame:
     """Second hop: documents whose normalised title of at least two tokens is the start of a line of a document found first, and that are new."""
+    first = written(first.select("qid", "id"))
     titles = corpus.select(F.col("id").alias("linked_id"), T.token_norm(F.array_join(F.slice(F.split("title", " "), 1, 3), " ")).alias("key")).filter("key like '% %'")
     lines = corpus.join(few(first.select("qid", "id")), "id").select("qid", "id", F.explode(F.split("text", "\n")).alias("line"))
     keys = lines.select("qid", "id", T.token_norm(F.array_join(F.slice(F.split("line", " "), 1, 3), " ")).alias("key")).filter("key <> ''").distinct()
-    found = titles.join(few(keys, 200_000), "key").filter("linked_id <> id").select("qid", "linked_id", "key").distinct()
+    found = titles.join(few(written(keys), 200_000), "key").filter("linked_id <> id").select("qid", "linked_id", "key").distinct()
     new = found.join(few(first.select("qid", F.col("id").alias("linked_id"))), ["qid", "linked_id"], "left_anti")
     return top(new, 1, F.col("key"), F.col("linked_id")).select("qid", "linked_id", "key")

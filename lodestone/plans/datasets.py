@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import datasets as D
+from ..operators.retrieval import few
 from ..session import table
 from ..tables import CORPUS, QUESTIONS, corpus, questions
 from .retrieval import tok
@@ -94,7 +95,7 @@ def citation_validation(spark, sf):
     """Quotes (an item's words 3 to 8) against the documents cited for them: unknown document, empty quote, not verbatim."""
     b = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 3, F.when(F.col("item_id") % 9 == 0, 0).otherwise(6)), " ").alias("quote"))
     cites = b.select("item_id", "quote", F.explode(F.array((F.col("item_id") * 17 % 1100).cast("long"), F.col("item_id"))).alias("doc_id"))
-    docs = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(cites.select("doc_id").distinct()), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(few(cites.select("doc_id").distinct()), "doc_id")
     code = F.when(F.col("text").isNull(), "unknown_document").when(F.col("quote") == "", "empty_quote").when(F.contains("text", "quote"), "ok").otherwise("not_verbatim")
     return cites.join(docs, "doc_id", "left").select("item_id", "doc_id", code.alias("code"))
 
@@ -113,10 +114,8 @@ def ledger_running_budget(spark, sf):
 
 
 def redirect_chain(spark, sf):
-    """Redirects between suppliers (each to a smaller one by a rule, some in a cycle) followed to their ends, at most 20 hops."""
-    table(spark, sf, "supplier").selectExpr("s_suppkey AS src", "CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 1 WHEN s_suppkey % 10 = 8 THEN s_suppkey + 1 WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey - 1 END AS dst").filter("dst IS NOT NULL").createOrReplaceTempView("lodestone_redirects")
-    return spark.sql("""WITH RECURSIVE chain(src, at, hops) AS (SELECT src, dst, 1 FROM lodestone_redirects UNION ALL SELECT c.src, r.dst, c.hops + 1 FROM chain c JOIN lodestone_redirects r ON c.at = r.src WHERE c.hops < 20)
-SELECT src, max_by(at, hops) AS target, CAST(max(hops) AS BIGINT) AS hops, max(hops) = 20 AS cycle FROM chain GROUP BY src""")
+    """Redirects between suppliers (each to a smaller one by a rule, some in a cycle) followed to their ends."""
+    return D.redirect_ends(table(spark, sf, "supplier").selectExpr("s_suppkey AS src", "CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 1 WHEN s_suppkey % 10 = 8 THEN s_suppkey + 1 WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey - 1 END AS dst").filter("dst IS NOT NULL"))
 
 
 def chunk_windows(spark, sf):
@@ -130,14 +129,12 @@ def evidence_spans_800(spark, sf):
     return c.select("id", F.size("s").cast("long").alias("spans"), F.array_max(F.transform("s", lambda x: x["end"] - x["start"])).alias("longest"), F.md5(F.array_join(piece, "|")).alias("pieces"))
 
 
-NONCE = "b7f3"
-
-
 def block_render_roundtrip(spark, sf):
-    docs = corpus(spark, sf).withColumn("g", F.col("id").cast("long") % 100)
-    g = docs.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "title", "text"))).alias("docs"))
-    r = g.withColumn("rendered", D.blocks(F.col("docs"), NONCE))
-    return r.select("g", F.size("docs").cast("long").alias("n"), F.length("rendered").cast("long").alias("length"), F.md5("rendered").alias("digest"), (D.parse_blocks(F.col("rendered"), NONCE) == F.col("docs")).alias("same"))
+    """Each hundred documents rendered as blocks behind a nonce that none of them holds, and read back."""
+    docs = corpus(spark, sf).withColumn("g", F.floor(F.col("id").cast("long") / 100))
+    g = docs.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "title", "text"))).alias("docs")).withColumn("nonce", D.fresh_nonce(F.col("docs")))
+    r = g.withColumn("rendered", D.blocks(F.col("docs"), F.col("nonce")))
+    return r.select("g", F.size("docs").cast("long").alias("n"), "nonce", F.length("rendered").cast("long").alias("length"), F.md5("rendered").alias("digest"), (D.parse_blocks(F.col("rendered"), F.col("nonce")) == F.col("docs")).alias("same"))
 
 
 def context_budget_ladder(spark, sf):
@@ -176,7 +173,17 @@ def question_ngrams(spark, sf):
 RISKS = {
     "relation": "who|whose|wrote|directed|founded|member|played|parent|spouse|married|born in|sister|brother",
     "time": "year|when|date|century|before|after|during|older|younger|first released|formed in",
-    "scope": "both|among|between|only|all|same|largest|smallest|first|last",
+    "measurement": "how many|how much|long|length|height|population|area|duration|kilomet|miles?|meters?|years old|percent",
+    "scope": "both|among|between|only|all|same|largest|smallest|first|last|in which country|in what country|which state|which city|which county",
+}
+#: Words of a question that has to be looked at again, and words of a question's class.
+PRONOUNS = "this|that|these|those|it|they|he|she|his|her|their"
+NOW = "current|currently|now|today|latest|newest"
+CATEGORIES = {
+    "occupation": "occupation|profession|job|career|vocation",
+    "entity_type": "type|kind|category|classification|genre|species|class",
+    "affiliation": "member|membership|belong|party|affiliation|group",
+    "origin": "nationality|country|origin|native|born|from",
 }
 _ASK = ["who is the oldest member of", "in which year was", "name both of", "what does he do now at", "tell me", "is the largest"]
 
@@ -199,7 +206,7 @@ def risk_tags(spark, sf):
 def wording_screen(spark, sf):
     q = F.lower(F.trim("question"))
     word = lambda p: F.regexp_like(q, F.lit(rf"(^|[^a-z])({p})([^a-z]|$)"))
-    issue = F.when((F.length(q) < 24) | ~q.endswith("?") | (F.length(F.regexp_replace(q, r"[^?]", "")) != 1), "malformed_question").when(word("this|that|these|those|it|they|he|she|his|her|their"), "unresolved_pronoun_screen").when(word("current|currently|now|today|latest|newest"), "unanchored_time_screen")
+    issue = F.when((F.length(q) < 24) | ~q.endswith("?") | (F.length(F.regexp_replace(q, r"[^?]", "")) != 1), "malformed_question").when(word(PRONOUNS), "unresolved_pronoun_screen").when(word(NOW), "unanchored_time_screen")
     return _asked(spark, sf).select("qid", issue.alias("issue"))
 
 
@@ -207,7 +214,7 @@ def question_category(spark, sf):
     """The first matching class of a question."""
     q = F.lower("question")
     word = lambda p: F.regexp_like(q, F.lit(rf"(^|[^a-z])({p})([^a-z]|$)"))
-    c = F.when(word("occupation|profession|job|career|vocation"), "occupation").when(word("type|kind|category|classification|genre|species|class"), "entity_type").when(word("member|membership|belong|party|affiliation|group"), "affiliation").when(word("nationality|country|origin|native|born|from"), "origin").otherwise("unclassified_common_attribute")
+    c = F.coalesce(*[F.when(word(p), k) for k, p in CATEGORIES.items()], F.lit("unclassified_common_attribute"))
     return _asked(spark, sf).groupBy(c.alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -291,11 +298,11 @@ def _word(p: str) -> str:
 _TITLE2 = tok("array_to_string(string_split(title, ' ')[1:2], ' ')")
 ORACLES = {
     "hash_split_70_15_15": f"WITH {CORPUS} SELECT {_split('title')} AS split, count(*) AS n, count(DISTINCT title) AS titles FROM corpus GROUP BY 1",
-    "agreed_splits": f"WITH s AS (SELECT user_id, {_split('''event_type || ':' || (user_id % 2) || ':' || hour(ts)''')} AS split FROM events WHERE hour(ts) < 1) SELECT user_id, min(split) AS split FROM s GROUP BY user_id HAVING min(split) = max(split)",
+    "agreed_splits": f"WITH s AS (SELECT user_id, {_split('''event_type || ':' || (user_id % 2) || ':' || hour(ts)''')} AS split FROM events) SELECT user_id, min(split) AS split FROM s GROUP BY user_id HAVING min(split) = max(split)",
     "split_leakage_audit": f"""WITH s AS (SELECT DISTINCT {_split('doc_id::VARCHAR')} AS split, string_split(text, chr(10))[1] AS line FROM documents)
 SELECT a.split AS "left", b.split AS "right", count(*) AS shared FROM s a JOIN s b ON a.line = b.line AND a.split < b.split GROUP BY ALL""",
     "exact_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents GROUP BY text",
-    "normalized_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE lang = 'en' GROUP BY array_to_string({tok('text')}, ' ')",
+    "normalized_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY array_to_string({tok('text')}, ' ')",
     "lineage_join": "SELECT a.conv_id, count(*) AS matches, string_agg(b.conv_id || '/' || b.turn, ',' ORDER BY b.conv_id || '/' || b.turn) AS copies FROM conversations a JOIN conversations b ON a.role = b.role AND a.text = b.text AND a.turn = 0 AND b.conv_id % 3 = 0 GROUP BY a.conv_id",
     "prefix_link_pairs": """WITH l AS (SELECT * FROM (SELECT conv_id, turn AS id, role, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM conversations) WHERE role = 'assistant')
 SELECT a.conv_id, a.id AS prefix_id, b.id AS full_id, len(a.m)::BIGINT AS n FROM l a JOIN l b ON a.conv_id = b.conv_id AND len(a.m) < len(b.m) AND b.m[1:len(a.m)] = a.m""",
@@ -303,7 +310,7 @@ SELECT a.conv_id, a.id AS prefix_id, b.id AS full_id, len(a.m)::BIGINT AS n FROM
 SELECT c_custkey AS task_id, c_mktsegment, CASE WHEN n IS NULL THEN 'missing' WHEN k > 1 THEN 'conflict' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status, CASE WHEN k = 1 THEN a END AS answer FROM customer LEFT JOIN g ON c_custkey = o_custkey""",
     "amendment_overlay": """WITH f AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS v, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
 SELECT c_custkey AS k, coalesce(v, c_mktsegment) AS v, coalesce(n, 0) AS corrections FROM customer LEFT JOIN f ON c_custkey = o_custkey""",
-    "vote_reconciliation": """WITH g AS (SELECT l_orderkey, count(*) AS n, CAST(max(l_returnflag) <> min(l_returnflag) AS INT) + CAST(max(l_linestatus) <> min(l_linestatus) AS INT) AS d FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1)
+    "vote_reconciliation": """WITH g AS (SELECT l_orderkey, count(*) AS n, CAST(max(l_returnflag) <> min(l_returnflag) AS INT) + CAST(max(l_linestatus) <> min(l_linestatus) AS INT) AS d FROM lineitem GROUP BY 1)
 SELECT CASE WHEN n = 1 THEN 'one_review' WHEN d = 0 THEN 'agreed' WHEN d = 1 THEN 'corrected' ELSE 'dispute' END AS status, count(*) AS n, min(l_orderkey) AS first FROM g GROUP BY 1""",
     "constraint_report": """WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), v AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IS NULL) AS id_present, count(*) FILTER (WHERE NOT coalesce(trim(text) <> '', false)) AS text_not_blank,
 count(*) FILTER (WHERE NOT coalesce(n_chars = length(text), false)) AS n_chars_right, count(*) FILTER (WHERE quality IS NULL) AS labelled, count(*) FILTER (WHERE NOT coalesce(lang IN ('en', 'fr', 'de', 'es'), false)) AS language_known, count(*) FILTER (WHERE coalesce(toxic, 0) <> 0) AS not_toxic FROM d)
@@ -313,23 +320,26 @@ SELECT item_id, c.doc_id, CASE WHEN text IS NULL THEN 'unknown_document' WHEN qu
     "usage_daily_cost": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, l_returnflag, count(*) AS requests, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS cost FROM lineitem GROUP BY ALL",
     "ledger_running_budget": "SELECT o_custkey, o_orderkey, charged, charged > 100000000 AS over FROM (SELECT o_custkey, o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS charged FROM orders)",
     "redirect_chain": """WITH RECURSIVE r AS (SELECT * FROM (SELECT s_suppkey AS src, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 1 WHEN s_suppkey % 10 = 8 THEN s_suppkey + 1 WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey - 1 END AS dst FROM supplier) WHERE dst IS NOT NULL),
-chain AS (SELECT src, dst AS pos, 1 AS hops FROM r UNION ALL SELECT c.src, r.dst, c.hops + 1 FROM chain c JOIN r ON c.pos = r.src WHERE c.hops < 20)
-SELECT src, arg_max(pos, hops) AS target, max(hops)::BIGINT AS hops, max(hops) = 20 AS cycle FROM chain GROUP BY src""",
+chain AS (SELECT src, dst AS pos, 1 AS hops, [src] AS seen FROM r UNION ALL SELECT c.src, r.dst, c.hops + 1, list_append(c.seen, c.pos) FROM chain c JOIN r ON c.pos = r.src WHERE NOT list_contains(c.seen, c.pos))
+SELECT src, arg_max(pos, hops) AS target, max(hops)::BIGINT AS hops, arg_max(list_contains(seen, pos), hops) AS cycle FROM chain GROUP BY src""",
     "chunk_windows": f"""WITH {CORPUS}, t AS (SELECT id, len({tok('text')}) AS n FROM corpus), c AS (SELECT id, n, unnest(range(0, CAST(greatest(0, ceil((n - 220) / 188)) AS BIGINT) + 1)) AS chunk FROM t)
 SELECT id, chunk, chunk * 188 AS start, least(n, chunk * 188 + 220) AS "end" FROM c""",
-    "evidence_spans_800": f"""WITH {CORPUS}, p AS (SELECT id, k, unnest(string_split(text, chr(10))) AS para, unnest(range(0, k)) AS i FROM (SELECT id, text, len(string_split(text, chr(10))) AS k FROM corpus WHERE length(text) < 20000)),
-s AS (SELECT id, i, j, substr(para, CAST(j * 800 + 1 AS BIGINT), 800) AS piece FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(para) / 800) AS BIGINT)))) AS j FROM p))
-SELECT id, count(*) AS spans, max(length(piece)) AS longest, md5(string_agg(piece, '|' ORDER BY i, j)) AS pieces FROM s GROUP BY id""",
-    "block_render_roundtrip": f"""WITH {CORPUS}, d AS (SELECT *, id::BIGINT % 100 AS g FROM corpus WHERE NOT contains(text, '<<') AND NOT contains(title, '>') AND NOT contains(title, '|')),
-r AS (SELECT g, count(*) AS n, string_agg('<<{NONCE} ' || id || '|' || title || '>>' || chr(10) || text || chr(10) || '<</{NONCE}>>' || chr(10), '' ORDER BY id) AS rendered FROM d GROUP BY g)
-SELECT g, n, length(rendered) AS length, md5(rendered) AS digest, true AS same FROM r""",
+    "evidence_spans_800": f"""WITH {CORPUS}, p AS (SELECT id, k, unnest(string_split(text, chr(10))) AS para, unnest(range(0, k)) AS i FROM (SELECT id, text, len(string_split(text, chr(10))) AS k FROM corpus)),
+s AS (SELECT id, i, j, substr(para, CAST(j * 800 + 1 AS BIGINT), 800) AS piece FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(para) / 800) AS BIGINT)))) AS j FROM p)),
+g AS (SELECT id, count(*) AS spans, max(length(piece)) AS longest, md5(string_agg(piece, '|' ORDER BY i, j)) AS pieces FROM s GROUP BY id)
+SELECT c.id, spans, longest, pieces FROM corpus c LEFT JOIN g ON c.id = g.id""",
+    "block_render_roundtrip": rf"""WITH {CORPUS}, d AS (SELECT *, id::BIGINT // 100 AS g FROM corpus),
+k AS (SELECT g, string_agg(id, ',' ORDER BY id) AS ids, string_agg(text, chr(10)) AS body FROM d GROUP BY g),
+m AS (SELECT g, list_filter(list_transform(range(0, 8), lambda i: substr(md5(ids || ':' || i), 1, 8)), lambda c: NOT contains(body, c))[1] AS nonce FROM k),
+r AS (SELECT g, nonce, count(*) AS n, string_agg('<<' || nonce || ' ' || id || '|' || coalesce(replace(replace(replace(replace(title, '\', '\e'), '|', '\p'), '>', '\g'), chr(10), '\n'), '\0') || CASE WHEN text IS NULL THEN '\z' ELSE '' END || '>>' || chr(10) || coalesce(text, '') || chr(10) || '<</' || nonce || '>>' || chr(10), '' ORDER BY id) AS rendered FROM d JOIN m USING (g) GROUP BY g, nonce)
+SELECT g, n, nonce, length(rendered) AS length, md5(rendered) AS digest, true AS same FROM r""",
     "context_budget_ladder": """WITH t AS (SELECT conv_id AS id, list(length(text)) AS d, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'system'), 0) AS BIGINT) AS fixed FROM conversations GROUP BY 1),
 r AS (SELECT id, fixed, cap, fixed + list_sum(list_transform(d, lambda x: least(x, cap))) AS length FROM t, (SELECT unnest([4000, 2000, 1000, 500, 250, 120, 60]) AS cap)),
 b AS (SELECT id, max(cap) FILTER (WHERE length <= 1500) AS cap, max(fixed) AS fixed FROM r GROUP BY id)
 SELECT b.id, b.cap::BIGINT AS cap, CAST(r.length AS BIGINT) AS length, CASE WHEN b.cap IS NULL THEN CASE WHEN b.fixed > 1500 THEN 'mandatory_too_long' ELSE 'documents_too_long' END END AS failure FROM b LEFT JOIN r ON b.id = r.id AND b.cap = r.cap""",
     "round_robin_balance": "WITH t AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('rr:' || doc_id), doc_id) AS turn FROM documents), o AS (SELECT row_number() OVER (ORDER BY turn, lang) AS place, lang, doc_id FROM t) SELECT * FROM o WHERE place <= 100",
     "bottom_k_per_bucket": "SELECT * FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('bk:' || doc_id), doc_id) AS rank FROM documents) WHERE rank <= 5",
-    "quota_cross_fill": """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'first' ELSE 'other' END AS bucket, sha256('q:' || doc_id) AS h FROM documents WHERE doc_id < 300), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, doc_id) AS r FROM d),
+    "quota_cross_fill": """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'first' ELSE 'other' END AS bucket, sha256('q:' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, doc_id) AS r FROM d),
 s AS (SELECT doc_id, bucket, h, CASE WHEN r <= CASE WHEN bucket = 'first' THEN 60 ELSE 40 END THEN 0 ELSE 1 END::BIGINT AS spare FROM r) SELECT doc_id, bucket, spare FROM s ORDER BY spare, h, doc_id LIMIT 100""",
     "batch_packing": """WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS n FROM (SELECT l_suppkey AS shard, l_orderkey AS seq, count(*) AS states FROM lineitem GROUP BY 1, 2)),
 p AS (SELECT shard, seq, states, n, 0::BIGINT AS batch, states AS used FROM g WHERE n = 1
@@ -338,9 +348,8 @@ SELECT shard, seq, states, batch FROM p""",
     "question_ngrams": f"WITH {QUESTIONS}, t AS (SELECT qid, {tok('question')} AS t FROM questions) SELECT DISTINCT qid, array_to_string(t[i : i + n - 1], ' ') AS ngram FROM (SELECT qid, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, (SELECT unnest([2, 3, 4]) AS n))",
     "risk_tags": f"WITH {QUESTIONS}, {_ASKED}, q AS (SELECT qid, lower(question) AS q FROM asked), t AS (SELECT qid, list_filter([" + ", ".join(f"CASE WHEN {_word(p)} THEN '{k}' END" for k, p in RISKS.items()) + "], lambda x: x IS NOT NULL) AS t FROM q) SELECT qid, CASE WHEN len(t) = 0 THEN 'relation' ELSE array_to_string(t, ',') END AS tags FROM t",
     "wording_screen": f"""WITH {QUESTIONS}, {_ASKED}, q AS (SELECT qid, lower(trim(question)) AS q FROM asked) SELECT qid, CASE WHEN length(q) < 24 OR NOT ends_with(q, '?') OR length(regexp_replace(q, '[^?]', '', 'g')) <> 1 THEN 'malformed_question'
-WHEN {_word('this|that|these|those|it|they|he|she|his|her|their')} THEN 'unresolved_pronoun_screen' WHEN {_word('current|currently|now|today|latest|newest')} THEN 'unanchored_time_screen' END AS issue FROM q""",
-    "question_category": f"""WITH {QUESTIONS}, {_ASKED}, q AS (SELECT lower(question) AS q FROM asked) SELECT CASE WHEN {_word('occupation|profession|job|career|vocation')} THEN 'occupation' WHEN {_word('type|kind|category|classification|genre|species|class')} THEN 'entity_type'
-WHEN {_word('member|membership|belong|party|affiliation|group')} THEN 'affiliation' WHEN {_word('nationality|country|origin|native|born|from')} THEN 'origin' ELSE 'unclassified_common_attribute' END AS category, count(*) AS n FROM q GROUP BY 1""",
+WHEN {_word(PRONOUNS)} THEN 'unresolved_pronoun_screen' WHEN {_word(NOW)} THEN 'unanchored_time_screen' END AS issue FROM q""",
+    "question_category": f"""WITH {QUESTIONS}, {_ASKED}, q AS (SELECT lower(question) AS q FROM asked) SELECT CASE {' '.join(f"WHEN {_word(p)} THEN '{k}'" for k, p in CATEGORIES.items())} ELSE 'unclassified_common_attribute' END AS category, count(*) AS n FROM q GROUP BY 1""",
     "repeated_reason_invalidates": "WITH t AS (SELECT conv_id, turn, lower(string_split(text, ' ')[1]) AS reason FROM conversations WHERE role = 'assistant'), b AS (SELECT reason FROM t GROUP BY reason HAVING count(DISTINCT conv_id) > 1) SELECT conv_id, turn, reason IN (SELECT reason FROM b) AS invalid FROM t",
     "facts_visible": """WITH t AS (SELECT conv_id, turn, text, lower(string_split(text, ' ')[1]) AS w FROM conversations), n AS (SELECT DISTINCT conv_id, w FROM t WHERE turn < 2)
 SELECT n.conv_id, bool_and(EXISTS (SELECT 1 FROM t WHERE t.conv_id = n.conv_id AND t.turn >= 2 AND contains(lower(t.text), n.w))) AS visible FROM n GROUP BY n.conv_id""",

@@ -203,7 +203,7 @@ _A, _B = "a", "b"
 _F1 = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(len(a) = 0 AND len(b) = 0 AS DOUBLE) WHEN c = 0 THEN 0.0 ELSE 2.0 * (c / len(a)) * (c / len(b)) / (c / len(a) + c / len(b)) END"
 _SCORED = f"s AS (SELECT *, coalesce({_common('a', 'b')}, 0)::DOUBLE AS c FROM (SELECT *, {_plain('said')} AS a, {_plain('gold')} AS b FROM pairs))"
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
-_ARR = """w AS (SELECT conv_id, turn, string_split(text, ' ')[1:40] AS w FROM conversations), z AS (SELECT conv_id, turn, list_transform(w, lambda x: length(x)::DOUBLE) AS s FROM w),
+_ARR = """w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), z AS (SELECT conv_id, turn, list_transform(w, lambda x: length(x)::DOUBLE) AS s FROM w),
 t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS adv, unnest(list_transform(s, lambda x: {'c': -x / 10, 'o': -(x + x % 3 - 1) / 10, 'r': -(x + x % 2) / 10})) AS x FROM z)"""
 ORACLES = {
     "token_f1_pairs": f"""WITH {_PAIRS}, {_SCORED} SELECT case_id, round({_F1}, 6) AS f1, round(CASE WHEN array_to_string(b, ' ') IN ('yes', 'no') THEN CAST(a = b AS DOUBLE) ELSE {_F1} END, 6) AS reward_f1,
@@ -214,7 +214,7 @@ e AS (SELECT case_id, pos, {_plain('said')} AS a, {_plain("CASE pos WHEN 0 THEN
 c AS (SELECT *, coalesce({_common('a', 'b')}, 0)::DOUBLE AS c FROM e),
 s AS (SELECT case_id, pos, round({_F1}, 6) AS f1, a = b AS exact, round(CASE WHEN len(a) > 0 THEN c / len(a) ELSE 0 END, 6) AS p, round(CASE WHEN len(b) > 0 THEN c / len(b) ELSE 0 END, 6) AS r FROM c)
 SELECT case_id, f1, p, r, pos AS alias, anyx AS exact FROM (SELECT *, bool_or(exact) OVER (PARTITION BY case_id) AS anyx, row_number() OVER (PARTITION BY case_id ORDER BY f1 DESC, exact DESC, pos) AS n FROM s) WHERE n = 1""",
-    "pairwise_group_f1": f"""WITH {CORPUS}, d AS (SELECT id::BIGINT AS doc, id::BIGINT % 20 AS g, {_plain('title')} AS w FROM corpus WHERE id::BIGINT < 200),
+    "pairwise_group_f1": f"""WITH {CORPUS}, d AS (SELECT id::BIGINT AS doc, id::BIGINT // 200 * 20 + id::BIGINT % 20 AS g, {_plain('title')} AS w FROM corpus),
 j AS (SELECT x.g, x.w AS a, y.w AS b FROM d x JOIN d y ON x.g = y.g AND x.doc < y.doc), s AS (SELECT *, coalesce({_common('a', 'b')}, 0)::DOUBLE AS c FROM j)
 SELECT g, count(*) AS pairs, round(avg({_F1}), 6) AS mean_f1 FROM s GROUP BY g""",
     "distribution_metrics": """WITH e AS (SELECT event_type, CASE WHEN event_id % 17 <> 0 THEN value END AS v FROM events) SELECT event_type, count(v) AS count, count(*) - count(v) AS missing, round(sum(v), 4) AS sum, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max,
@@ -224,13 +224,13 @@ round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90,
 SELECT count(*) FILTER (WHERE l AND r) AS pairs, count(*) FILTER (WHERE NOT r) AS before_only, count(*) FILTER (WHERE NOT l) AS after_only, count(*) FILTER (WHERE NOT (l AND r)) = 0 AS identical_case_sets, count(*) FILTER (WHERE d > 0) AS gains, count(*) FILTER (WHERE d < 0) AS losses, count(*) FILTER (WHERE d = 0) AS unchanged, round(avg(d), 6) AS mean_delta FROM j""",
     "paired_changes": f"WITH {_ARMS} SELECT a.stratum, count(*) FILTER (WHERE a.em < b.em) AS gains, count(*) FILTER (WHERE a.em > b.em) AS losses, round(sum(a.em * b.em) / greatest(sum(a.em), 1), 6) AS retention FROM a JOIN b ON a.case_id = b.case_id GROUP BY a.stratum",
     "arm_split_cube": f"WITH {_ARMS}, u AS (SELECT 'a' AS arm, * FROM a UNION ALL SELECT 'b', * FROM b) SELECT arm, stratum, count(*) AS n, round(avg(em), 6) AS accuracy, CAST(sum(n) AS BIGINT) AS lines FROM u GROUP BY CUBE (arm, stratum)",
-    "bootstrap_ci": f"""WITH {_ARMS}, u AS (SELECT row_number() OVER (ORDER BY a.case_id) - 1 AS pos, (b.em - a.em)::DOUBLE AS delta FROM a JOIN b ON a.case_id = b.case_id WHERE a.case_id % 20 = 0), n AS (SELECT count(*) AS n FROM u),
+    "bootstrap_ci": f"""WITH {_ARMS}, u AS (SELECT row_number() OVER (ORDER BY a.case_id) - 1 AS pos, (b.em - a.em)::DOUBLE AS delta FROM a JOIN b ON a.case_id = b.case_id), n AS (SELECT count(*) AS n FROM u),
 g AS (SELECT r, CAST(('0x' || substr(md5('42:' || r || ':' || i), 1, 8)) AS BIGINT) % n AS pos FROM (SELECT n, r, unnest(range(0, n)) AS i FROM n, range(0, 200) t(r))),
 m AS (SELECT r, avg(delta) AS m FROM g JOIN u USING (pos) GROUP BY r) SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m""",
     "clustered_delta": f"""WITH {_ARMS}, c AS (SELECT o_custkey, avg(a.em) AS before, avg(b.em) AS after, avg(b.em - a.em) AS delta FROM a JOIN b ON a.case_id = b.case_id JOIN orders ON o_orderkey = a.case_id GROUP BY o_custkey)
 SELECT count(*) AS clusters, round(avg(before), 6) AS before, round(avg(after), 6) AS after, round(avg(delta), 6) AS delta FROM c""",
     "outcome_entropy": f"{_BASE}, c AS (SELECT group_id, count(*) AS c FROM rollouts GROUP BY group_id, reason) SELECT group_id, CAST(sum(c) AS BIGINT) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS entropy FROM c GROUP BY group_id",
-    "pearson_guarded": "SELECT event_type, round(corr(value, CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS value_k, NULL::DOUBLE AS value_one FROM events GROUP BY event_type",
+    "pearson_guarded": "SELECT event_type, round(corr(value, CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS value_k, CASE WHEN stddev_pop(one) > 1e-12 AND stddev_pop(value) > 1e-12 THEN round(corr(value, one), 6) END AS value_one FROM (SELECT *, 1.0::DOUBLE AS one FROM events) GROUP BY event_type",
     "variance_probability": f"{_BASE}, c AS (SELECT group_id, count(*)::DOUBLE AS c FROM rollouts GROUP BY group_id, reason), n AS (SELECT *, sum(c) OVER (PARTITION BY group_id) AS n FROM c) SELECT group_id, " + ", ".join(f"round(1 - sum(pow(c / n, {g})), 6) + 0.0 AS p_{g}" for g in (2, 4, 8)) + " FROM n GROUP BY group_id",
     "grpo_loss_columns": f"""WITH {_ARR}, e AS (SELECT conv_id, turn, adv, exp(x.c - x.o) AS ratio, x.c - x.r AS d FROM t)
 SELECT conv_id, turn, round(avg(-least(ratio * adv, greatest(0.9, least(1.1, ratio)) * adv)) + 0.02 * avg(exp(-d) + d - 1), 6) AS loss, round(avg(exp(-d) + d - 1), 6) AS kl, round(avg(CAST(ratio < 0.9 OR ratio > 1.1 AS INT)), 6) AS clip_fraction, round(max(ratio), 6) AS ratio_max FROM e GROUP BY conv_id, turn""",

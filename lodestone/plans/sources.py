@@ -67,7 +67,7 @@ ORACLES = {
     "jsonl_torn_tail": """WITH s AS (SELECT event_id, CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id) AND user_id % 3 = 0 THEN 'torn' WHEN event_id % 101 = 0 THEN CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id) THEN 'torn' ELSE 'corrupt' END WHEN event_id % 97 = 0 THEN 'blank' ELSE 'ok' END AS status FROM events)
 SELECT status, count(*) AS n, count(*) FILTER (WHERE status = 'ok') AS parsed, CAST(sum(event_id) FILTER (WHERE status = 'ok') AS BIGINT) AS ids FROM s GROUP BY status""",
     "tool_messages_corpus": """SELECT id, title, text FROM (SELECT (turn * 7 + length(text) % 20)::VARCHAR AS id, substr(text, 1, 20) AS title, conv_id || '/' || turn AS text, row_number() OVER (PARTITION BY turn * 7 + length(text) % 20 ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n = 1""",
-    "call_ledger_budget": """WITH c AS (SELECT o_orderkey AS seq, (o_custkey % 60)::VARCHAR AS key, o_orderstatus AS stage, round(o_totalprice) AS reserved, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 2) END AS charged, o_orderstatus <> 'P' AS done FROM orders WHERE o_orderkey < 400),
+    "call_ledger_budget": """WITH c AS (SELECT o_orderkey AS seq, (o_custkey % 60)::VARCHAR AS key, o_orderstatus AS stage, round(o_totalprice) AS reserved, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 2) END AS charged, o_orderstatus <> 'P' AS done FROM orders),
 w AS (SELECT *, bool_or(done) OVER k AS seen_done, bool_or(NOT done) OVER k AS seen_open, coalesce(sum(coalesce(charged, reserved)) OVER s, 0) AS stage_spent, coalesce(sum(coalesce(charged, reserved)) OVER a, 0) AS spent FROM c
   WINDOW k AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY stage ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT seq, key, stage, CASE WHEN seen_done THEN 'cached' WHEN seen_open THEN 'pending' WHEN stage_spent + reserved > CASE stage WHEN 'F' THEN 1.2e7 WHEN 'O' THEN 4.0e6 ELSE 9.0e6 END THEN 'over_stage' WHEN spent + reserved > 2.0e7 THEN 'over_total' ELSE 'accepted' END AS verdict FROM w""",

@@ -22,6 +22,12 @@ def session(app: str = "lodestone", cores: str | int = "*", **conf: str) -> Spar
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many parts as the session has cores: a table of few files or row groups is dealt out once, a large one is left."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .session import table
+from .operators.retrieval import holding
+from .session import spread, table
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents: id, title (the first six words), text."""
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array_join(F.slice(F.split("text", "[ \n]"), 1, 6), " ").alias("title"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    return docs.select("id", F.array_join(F.slice(F.split("text", "[ \n]", 7), 1, 6), " ").alias("title"), "text")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +25,7 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold an item's text verbatim: the items are the stated set of passages that every document is scanned for."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"))
-    return docs.join(F.broadcast(items) if items.count() <= 20_000 else items, F.contains("body", "passage")).select("qid", "id").distinct()
+    return holding(spread(docs), items).distinct()
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
