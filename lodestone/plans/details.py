@@ -210,9 +210,9 @@ def rl_signal_audit(spark, sf):
 
 
 def environment_fingerprint(spark, sf):
-    """Digests of the tables that make an environment, in key order."""
-    one = lambda t, k, *c: X.fingerprint(table(spark, sf, t), k, *c).withColumn("part", F.lit(t))
-    return one("benchmark", "item_id", "item_id", "text").unionByName(one("nation", "n_nationkey", "n_nationkey", "n_name")).unionByName(one("region", "r_regionkey", "r_regionkey", "r_name"))
+    """Digests of the tables that make an environment."""
+    one = lambda t, *c: X.row_sums(table(spark, sf, t), *c).withColumn("part", F.lit(t))
+    return one("benchmark", "item_id", "text").unionByName(one("documents", "doc_id", "text")).unionByName(one("nation", "n_nationkey", "n_name")).unionByName(one("region", "r_regionkey", "r_name"))
 
 
 def context_sweep(spark, sf):
@@ -356,7 +356,8 @@ SELECT item_id, coalesce(string_agg(CASE WHEN gold <> '' AND {_PLAIN.format(x='o
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
     "rl_signal_audit": f"""{_RB}, a AS (SELECT group_id, reward, correct, searches, (reward - avg(reward) OVER w) / (coalesce(stddev_pop(reward) OVER w, 0) + 1e-8) AS adv FROM rollouts WINDOW w AS (PARTITION BY group_id)),
 g AS (SELECT group_id, avg(adv) AS m, count(*) AS n FROM a GROUP BY group_id) SELECT count(*) AS groups, count(*) FILTER (WHERE abs(m) > 1e-6) AS mean_not_zero, 0::BIGINT AS not_finite, 0::BIGINT AS sums_differ, count(*) FILTER (WHERE n < 2) AS single FROM g""",
-    "environment_fingerprint": " UNION ALL ".join(f"SELECT '{t}' AS part, sha256(string_agg(sha256({k}::VARCHAR || chr(1) || {c}), '' ORDER BY {k})) AS fingerprint, count(*) AS rows FROM {t}" for t, k, c in (("benchmark", "item_id", "text"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))),
+    "environment_fingerprint": " UNION ALL ".join(f"""SELECT '{t}' AS part, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) || '-' || count(*) AS fingerprint, count(*) AS rows
+FROM (SELECT sha256({k}::VARCHAR || chr(1) || coalesce({c}, chr(2))) AS h FROM {t})""" for t, k, c in (("benchmark", "item_id", "text"), ("documents", "doc_id", "text"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))),
     "context_sweep": """WITH s AS (SELECT conv_id, sum(length(text)) AS size FROM conversations GROUP BY 1), g AS (SELECT budget::BIGINT AS budget, count(*) AS cases, round(avg(CAST(size > budget AS INT)), 6) AS truncated FROM s, (SELECT unnest([8000, 4000, 3000, 2000, 1000, 500]) AS budget) GROUP BY 1),
 p AS (SELECT *, truncated <= 0.4 AS passed, coalesce(sum(CASE WHEN truncated <= 0.4 THEN 0 ELSE 1 END) OVER (ORDER BY budget DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM g) SELECT budget, cases, truncated, passed FROM p WHERE f = 0""",
     "query_history": f"WITH {STEPS}, f AS (SELECT rollout_id, query, min(step) AS s FROM steps WHERE action = 'search' GROUP BY ALL) SELECT rollout_id, string_agg(query::VARCHAR, ',' ORDER BY s) AS queries FROM f GROUP BY rollout_id HAVING count(*) >= 2",
