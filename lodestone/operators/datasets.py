@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.json import is_object
 from ..scratch import checkpointed
 
 
@@ -298,7 +299,7 @@ def ngrams(words: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
 def parsed_action(raw: Column) -> dict[str, Column]:
     """Strict action parse: code fence off, exactly one JSON object, search with a query or answer with an answer, not blank."""
     body = F.trim(F.regexp_replace(F.trim(raw), r"(?s)^```[^\n]*\n(.*)\n```$", "$1"))
-    shaped = F.regexp_like(body, F.lit(r"(?s)^\{[^{}]*\}$"))
+    shaped = is_object(body)
     get = lambda k: F.trim(F.get_json_object(body, f"$.{k}"))
     action = F.when(shaped, get("action"))
     query, answer = F.coalesce(get("query"), get("text")), get("answer")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import md5_mod
 
@@ -29,11 +32,36 @@ def distribution(df: DataFrame, column: str, *by: str) -> DataFrame:
 
 
 def percentile_conventions(df: DataFrame, column: str, by: str, q: float = 0.95) -> DataFrame:
-    """One percentile three ways: linear, by floor index of (n - 1) q, by nearest rank ceil(q n)."""
-    s = df.groupBy(by).agg(F.sort_array(F.collect_list(column)).alias("s"), F.percentile(column, q).alias("linear"))
-    n = F.size("s")
-    floor, nearest = F.get("s", F.floor((n - 1) * q).cast("int")), F.get("s", (F.ceil(n * q) - 1).cast("int"))
-    return s.select(by, F.round("linear", 6).alias("linear"), floor.alias("floor_index"), nearest.alias("nearest_rank"))
+    """One percentile three ways: linear, by floor index of (n - 1) q, by nearest rank ceil(q n).
+
+    Equal values are counted first and the rest is found by running counts, so a group's rows never meet in one row.
+    """
+    c = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(by).orderBy(column)
+    c = c.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
+    place = (F.col("n") - 1) * q
+    g = c.groupBy(by).agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), at(F.ceil(F.col("n") * q) - 1).alias("nearest_rank"), F.max(place - F.floor(place)).alias("part"))
+    return g.select(by, F.round(F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part"), 6).alias("linear"), F.col("low").alias("floor_index"), "nearest_rank")
+
+
+def order_statistics(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(by, p50, p95): the value at (n - 1) div 2 and by nearest rank, over running counts of equal values."""
+    c = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("c"))
+    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
+    return c.groupBy(by).agg(at(F.floor((F.col("n") - 1) / 2)).alias("p50"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
+
+
+def compared_probes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs of frozen cases (case_id, task_id, condition, signature, em, f1) by condition; same_cases is false if a case lacks its partner."""
+    b = right.select("case_id", F.col("signature").alias("signature_b"), F.col("em").alias("em_b"), F.col("f1").alias("f1_b"), F.col("condition").alias("condition_b"))
+    j = left.join(b, "case_id", "full_outer").withColumn("condition", F.coalesce("condition", "condition_b"))
+    moved = F.col("signature") != F.col("signature_b")
+    return j.groupBy("condition").agg(
+        F.count("*").alias("cases"), F.count_distinct("task_id").alias("questions"), F.count_if(moved).alias("changed"), F.count_if(moved & F.startswith("signature", F.lit("search:"))).alias("queries_changed"),
+        F.round(F.avg(F.col("em_b") - F.col("em")), 6).alias("em_delta"), F.round(F.avg(F.col("f1_b") - F.col("f1")), 6).alias("f1_delta"), (F.count_if(F.col("signature").isNull() | F.col("signature_b").isNull()) == 0).alias("same_cases"),
+    )
 
 
 def paired(before: DataFrame, after: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -54,19 +82,73 @@ def paired_report(pairs: DataFrame, metric: str) -> DataFrame:
     )
 
 
-def bootstrap(units: DataFrame, draws: int = 200, seed: str = "42", confidence: float = 0.95) -> DataFrame:
-    """(mean, low, high) of the mean of ``delta`` by resampling units (key, delta).
+#: How much of 2^16 a Poisson variable of mean 1 is at most 0, 1, 2, ...
+POISSON = tuple(int(2**16 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
 
-    Draw i of resample r takes the unit at index md5(seed:r:i) mod n, units being numbered by key.  Units are counted
-    and numbered once; each (resample, draw) row meets its unit by an equi-join on that number.
+
+def resampled(units: DataFrame, draws: int = 200, seed: str = "42", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, m): the mean of ``delta`` in each resample r of units (key, delta).
+
+    A unit comes into resample r as often as a Poisson variable of mean 1 says that a part of md5(seed:r div 8:key)
+    draws: weights are made where the unit is and summed in place, so no unit is numbered or joined, and only the units
+    are dealt out.
     """
-    ranked = units.withColumn("at", F.expr("row_number() over (order by key) - 1").cast("long")).select("at", "delta")
-    n = ranked.agg(F.count("*").alias("n"))
-    grid = units.sparkSession.range(draws).select(F.col("id").alias("r")).crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    picked = grid.select("r", md5_mod(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string")), F.col("n")).alias("at"))
-    means = picked.join(ranked, "at").groupBy("r").agg(F.avg("delta").alias("m"))
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # evenly: each row makes as many as there are draws
+    blocks = units.repartition(tasks).select(*by, "key", F.col("delta").cast("double").alias("delta"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 8))).alias("block"))
+    h = blocks.select(*by, "block", "delta", F.md5(F.concat_ws(":", F.lit(seed), F.col("block").cast("string"), F.col("key").cast("string"))).alias("h"))
+    u = h.select(*by, "block", "delta", *[F.conv(F.substring("h", 1 + 4 * j, 4), 16, 10).cast("int").alias(f"u{j}") for j in range(8)])
+    w = u.select(*by, "block", "delta", *[sum(((F.col(f"u{j}") >= t).cast("int") for t in POISSON), F.lit(0)).alias(f"w{j}") for j in range(8)])
+    sums = w.groupBy(*by, "block").agg(*[x for j in range(8) for x in (F.sum(F.col(f"w{j}") * F.col("delta")).alias(f"s{j}"), F.sum(f"w{j}").alias(f"n{j}"))])
+    means = F.inline(F.array(*[F.struct((F.col("block") * 8 + j).alias("r"), (F.col(f"s{j}") / F.nullif(F.col(f"n{j}"), F.lit(0))).alias("m")) for j in range(8)]))
+    return sums.select(*by, means).filter((F.col("r") < draws) & F.col("m").isNotNull())  # a resample of no unit has no mean
+
+
+def bootstrap(units: DataFrame, draws: int = 200, seed: str = "42", confidence: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean, low, high, draws) of the mean of ``delta`` by resampling units (key, delta); interval ends by linear percentiles."""
+    tail = (1 - confidence) / 2
+    return resampled(units, draws, seed, by).groupBy(*by).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", tail), 6).alias("low"), F.round(F.percentile("m", 1 - tail), 6).alias("high"), F.count("*").alias("draws"))
+
+
+def interval_conventions(units: DataFrame, draws: int = 200, seed: str = "42", confidence: float = 0.95) -> DataFrame:
+    """The interval's ends by four conventions over the sorted resamples, which are as many as ``draws``: before the index, held to the last, the index, linear."""
     tail = (1 - confidence) / 2
-    return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", tail), 6).alias("low"), F.round(F.percentile("m", 1 - tail), 6).alias("high"), F.count("*").alias("draws"))
+    s = resampled(units, draws, seed).agg(F.array_sort(F.collect_list("m")).alias("s"), F.percentile("m", tail).alias("linear_low"), F.percentile("m", 1 - tail).alias("linear_high"))
+    n = F.size("s")
+    low, high = F.floor(n * tail + 1e-9).cast("int"), F.floor(n * (1 - tail) + 1e-9).cast("int")
+    at = lambda i: F.round(F.get("s", i), 6)
+    ends = {"before_low": at(low), "before_high": at(high - 1), "held_low": at(low), "held_high": at(F.least(n - 1, high)), "index_low": at(low), "index_high": at(high)}
+    return s.select(*[v.alias(k) for k, v in ends.items()], F.round("linear_low", 6).alias("linear_low"), F.round("linear_high", 6).alias("linear_high"))
+
+
+def clustered_units(df: DataFrame, cluster: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Units of a clustered bootstrap: the mean of each cluster."""
+    return df.groupBy(*by, F.col(cluster).alias("key")).agg(F.avg(value).alias("delta"))
+
+
+def varied_forecast(df: DataFrame, group: str, value: str, sizes: tuple[int, ...] = (2, 4, 8), simulations: int = 100, seed: str = "f") -> DataFrame:
+    """Per size: the expected number of groups whose draws of a value vary, and the 5 %, middle and 95 % count of simulations.
+
+    A group is its values with running counts, so a draw is one hash and one search, whatever the group's rows.
+    """
+    c = df.groupBy(group, value).agg(F.count("*").alias("c"))
+    g = c.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "c"))).alias("v"), F.sum("c").alias("n"))
+    sums = F.transform("v", lambda x, i: F.aggregate(F.slice("v", 1, i + 1), F.lit(0).cast("long"), lambda s, y: s + y["c"]))
+    g = g.select(group, "n", "v", sums.alias("sums"))
+    trials = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"), F.lit(0).alias("_")).select("*", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("size"))
+    draw = lambda i: md5_mod(F.concat_ws(":", F.lit(seed), F.col(group).cast("string"), F.col("sim").cast("string"), F.col("size").cast("string"), i.cast("string")), F.col("n"))
+    picked = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.size(F.filter("sums", lambda s: s <= draw(i))))
+    varied = trials.withColumn("varied", (F.size(F.array_distinct(picked)) > 1).cast("long"))
+    counts = varied.groupBy("size", "sim").agg(F.sum("varied").alias("k")).groupBy("size").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    same = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x["c"] / F.col("n"), F.col("size").cast("double")))
+    expected = g.select("*", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("size")).groupBy("size").agg(F.round(F.sum(1 - same), 6).alias("expected"))
+    at = lambda i: F.get("k", F.lit(i))
+    return counts.join(expected, "size").select(F.col("size").cast("long").alias("size"), "expected", at(int(0.05 * simulations)).alias("p05"), at(simulations // 2).alias("median"), at(int(0.95 * simulations)).alias("p95"))
+
+
+def efficiency(df: DataFrame, wall: str, tokens_in: str, tokens_out: str, *by: str) -> DataFrame:
+    """Questions a minute and tokens a second of each group; null where no time passed."""
+    t = F.sum(wall)
+    return df.groupBy(*by).agg(F.count("*").alias("questions"), F.round(rate(60 * F.count("*"), t), 6).alias("per_minute"), F.round(rate(F.sum(tokens_in), t), 6).alias("in_per_second"), F.round(rate(F.sum(tokens_out), t), 6).alias("out_per_second"))
 
 
 def clustered(df: DataFrame, cluster: str, *values: str) -> DataFrame:

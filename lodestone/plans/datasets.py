@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators.retrieval import few
+from ..operators.selection import disjoint_rounds
 from ..session import table
 from ..tables import CORPUS, QUESTIONS, corpus, questions
 from .retrieval import tok
@@ -155,8 +156,10 @@ def quota_cross_fill(spark, sf):
 
 
 def greedy_disjoint_select(spark, sf):
-    d = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority", "o_orderkey").agg(F.collect_set(F.col("l_suppkey")).alias("titles"))
-    return D.greedy_disjoint(d, "o_orderpriority", "o_orderkey", "titles", "o_orderkey")
+    """Orders accepted in key order if no order of their priority accepted before has a supplier of theirs."""
+    own = F.concat_ws("/", "o_orderpriority", F.col("l_suppkey").cast("string"))
+    d = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority", "o_orderkey").agg(F.collect_set(own).alias("titles"))
+    return disjoint_rounds(d.withColumn("at", F.col("o_orderkey")), "o_orderkey", "at", "titles")
 
 
 def batch_packing(spark, sf):

@@ -11,6 +11,7 @@ from ..operators import datasets as D
 from ..operators import retrieval as R
 from ..session import table
 from ..tables import CORPUS, QUESTIONS, ROLLOUTS, STEPS, corpus, questions, rollouts, steps
+from .evaluation import _F1, _common, _plain
 from .retrieval import _BASE as _BM25
 from .retrieval import tok
 
@@ -369,6 +370,9 @@ SELECT needs, rollout_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY n
 SELECT CASE WHEN b = 'uncertain' THEN 'uncertain' WHEN a = b THEN 'agreed_' || a ELSE 'disputed' END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "paired_change_tags": """WITH p AS (SELECT arg_min(event_type, (ts, event_id)) AS t1, arg_max(event_type, (ts, event_id)) AS t2, arg_min(value, (ts, event_id)) AS v1, arg_max(value, (ts, event_id)) AS v2 FROM events GROUP BY user_id, ts::DATE HAVING count(*) > 1)
 SELECT tag, count(*) AS n FROM (SELECT unnest(CASE WHEN t1 = t2 AND v2 <= v1 THEN ['none'] ELSE list_filter([CASE WHEN t1 <> t2 THEN 'type' END, CASE WHEN v2 > v1 THEN 'up' END, CASE WHEN v2 > 2 * v1 THEN 'doubled' END], lambda x: x IS NOT NULL) END) AS tag FROM p) GROUP BY tag""",
+    "policy_counterfactual": f"""WITH {_W}, g AS (SELECT array_to_string(w[1:3], ' ') AS gold, unnest([{{'p': 'original', 'a': array_to_string(w[1:3], ' ')}}, {{'p': 'shorter', 'a': array_to_string(w[1:2], ' ')}}, {{'p': 'shifted', 'a': array_to_string(w[2:4], ' ')}}, {{'p': 'empty', 'a': ''}}]) AS x FROM w),
+s AS (SELECT x.p AS policy, x.a AS said, gold, {_plain('x.a')} AS a, {_plain('gold')} AS b FROM g), c AS (SELECT *, coalesce({_common('a', 'b')}, 0)::DOUBLE AS c FROM s)
+SELECT policy, count(*) AS n, round(avg(CASE WHEN a <> b AND (array_to_string(a, ' ') IN ('yes', 'no', 'noanswer') OR array_to_string(b, ' ') IN ('yes', 'no', 'noanswer')) THEN 0.0 WHEN c = 0 THEN 0.0 ELSE {_F1} END), 6) AS f1, count(*) FILTER (WHERE said = gold) AS exact FROM c GROUP BY policy""",
     "stratified_clusters": "SELECT l_returnflag, count(*) AS questions, round(avg(x), 6) AS mean FROM (SELECT l_returnflag, l_suppkey, avg(x) AS x FROM (SELECT l_returnflag, l_suppkey, l_linestatus, avg(l_discount) AS x FROM lineitem GROUP BY ALL) GROUP BY ALL) GROUP BY l_returnflag",
     "review_batches": "SELECT source, batch, count(*) AS n, min(doc_id) AS least FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY sha256('rb:' || doc_id), doc_id) - 1) // 10 AS batch FROM documents) GROUP BY ALL",
     "support_documents": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS pos FROM l)

@@ -115,6 +115,28 @@ def bootstrap_ci(spark, sf):
     return S.bootstrap(units)
 
 
+def bootstrap_conventions(spark, sf):
+    """The interval of a difference between arms, customers being the units, by four conventions."""
+    a, b = _arms(spark, sf)
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey")
+    j = a.select("case_id", F.col("em").alias("x")).join(b.select("case_id", F.col("em").alias("y")), "case_id").join(o, "case_id").withColumn("d", (F.col("y") - F.col("x")).cast("double"))
+    return S.interval_conventions(S.clustered_units(j, "o_custkey", "d"))
+
+
+def stratified_bootstrap(spark, sf):
+    """Per condition: means over seeds within a question, then intervals over resampled questions."""
+    seeds = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey", "l_linestatus").agg(F.avg("l_discount").alias("x"))
+    return S.bootstrap(S.clustered_units(seeds, "l_suppkey", "x", ("l_returnflag",)), by=("l_returnflag",))
+
+
+def varied_forecast(spark, sf):
+    return S.varied_forecast(rollouts(spark, sf), "group_id", "reason")
+
+
+def efficiency_metrics(spark, sf):
+    return S.efficiency(table(spark, sf, "lineitem"), "l_quantity", "l_partkey", "l_suppkey", "l_returnflag")
+
+
 def clustered_delta(spark, sf):
     a, b = _arms(spark, sf)
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey")
@@ -197,7 +219,7 @@ def arm_ranking(spark, sf):
     return gated.withColumn("place", F.row_number().over(Window.orderBy(F.desc("accuracy"), "cost", "arm")).cast("long")).select("arm", "n", "accuracy", "cost", "place")
 
 
-QUERIES = {f.__name__: f for f in (token_f1_pairs, official_f1_pairs, best_alias_score, pairwise_group_f1, distribution_metrics, percentile_conventions, paired_delta, paired_changes, arm_split_cube, bootstrap_ci, clustered_delta, outcome_entropy, pearson_guarded, variance_probability, grpo_loss_columns, logprob_comparison, weighted_mean_loss, conditional_accuracy_bounds, source_coverage_micro_macro, evaluation_summary, probe_gate, arm_ranking)}
+QUERIES = {f.__name__: f for f in (token_f1_pairs, official_f1_pairs, best_alias_score, pairwise_group_f1, distribution_metrics, percentile_conventions, paired_delta, paired_changes, arm_split_cube, bootstrap_ci, bootstrap_conventions, stratified_bootstrap, varied_forecast, efficiency_metrics, clustered_delta, outcome_entropy, pearson_guarded, variance_probability, grpo_loss_columns, logprob_comparison, weighted_mean_loss, conditional_accuracy_bounds, source_coverage_micro_macro, evaluation_summary, probe_gate, arm_ranking)}
 
 _A, _B = "a", "b"
 _F1 = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(len(a) = 0 AND len(b) = 0 AS DOUBLE) WHEN c = 0 THEN 0.0 ELSE 2.0 * (c / len(a)) * (c / len(b)) / (c / len(a) + c / len(b)) END"
@@ -205,6 +227,15 @@ _SCORED = f"s AS (SELECT *, coalesce({_common('a', 'b')}, 0)::DOUBLE AS c FROM (
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
 _ARR = """w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations), z AS (SELECT conv_id, turn, list_transform(w, lambda x: length(x)::DOUBLE) AS s FROM w),
 t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS adv, unnest(list_transform(s, lambda x: {'c': -x / 10, 'o': -(x + x % 3 - 1) / 10, 'r': -(x + x % 2) / 10})) AS x FROM z)"""
+
+
+def _draws(by: str = "") -> str:
+    """CTE m (by, r, m): the resampled means of u (by, key, delta)."""
+    weight = " + ".join(f"(x >= {t})::INT" for t in S.POISSON)
+    return f"""d AS (SELECT *, CAST('0x' || substr(md5('42:' || r // 8 || ':' || key), 1 + 4 * (r % 8), 4) AS BIGINT) AS x FROM u, range(0, 200) t(r)), w AS (SELECT *, {weight} AS w FROM d),
+m AS (SELECT {by}r, sum(w * delta) / sum(w) AS m FROM w WHERE w > 0 GROUP BY {by}r)"""
+
+
 ORACLES = {
     "token_f1_pairs": f"""WITH {_PAIRS}, {_SCORED} SELECT case_id, round({_F1}, 6) AS f1, round(CASE WHEN array_to_string(b, ' ') IN ('yes', 'no') THEN CAST(a = b AS DOUBLE) ELSE {_F1} END, 6) AS reward_f1,
 trim(regexp_replace(lower(said), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(gold), '\\s+', ' ', 'g')) AS exact, array_to_string(a, ' ') = array_to_string(b, ' ') AS normalized_exact FROM s""",
@@ -224,9 +255,19 @@ round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90,
 SELECT count(*) FILTER (WHERE l AND r) AS pairs, count(*) FILTER (WHERE NOT r) AS before_only, count(*) FILTER (WHERE NOT l) AS after_only, count(*) FILTER (WHERE NOT (l AND r)) = 0 AS identical_case_sets, count(*) FILTER (WHERE d > 0) AS gains, count(*) FILTER (WHERE d < 0) AS losses, count(*) FILTER (WHERE d = 0) AS unchanged, round(avg(d), 6) AS mean_delta FROM j""",
     "paired_changes": f"WITH {_ARMS} SELECT a.stratum, count(*) FILTER (WHERE a.em < b.em) AS gains, count(*) FILTER (WHERE a.em > b.em) AS losses, round(sum(a.em * b.em) / greatest(sum(a.em), 1), 6) AS retention FROM a JOIN b ON a.case_id = b.case_id GROUP BY a.stratum",
     "arm_split_cube": f"WITH {_ARMS}, u AS (SELECT 'a' AS arm, * FROM a UNION ALL SELECT 'b', * FROM b) SELECT arm, stratum, count(*) AS n, round(avg(em), 6) AS accuracy, CAST(sum(n) AS BIGINT) AS lines FROM u GROUP BY CUBE (arm, stratum)",
-    "bootstrap_ci": f"""WITH {_ARMS}, u AS (SELECT row_number() OVER (ORDER BY a.case_id) - 1 AS pos, (b.em - a.em)::DOUBLE AS delta FROM a JOIN b ON a.case_id = b.case_id), n AS (SELECT count(*) AS n FROM u),
-g AS (SELECT r, CAST(('0x' || substr(md5('42:' || r || ':' || i), 1, 8)) AS BIGINT) % n AS pos FROM (SELECT n, r, unnest(range(0, n)) AS i FROM n, range(0, 200) t(r))),
-m AS (SELECT r, avg(delta) AS m FROM g JOIN u USING (pos) GROUP BY r) SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m""",
+    "bootstrap_ci": f"""WITH {_ARMS}, u AS (SELECT a.case_id AS key, (b.em - a.em)::DOUBLE AS delta FROM a JOIN b ON a.case_id = b.case_id), {_draws()}
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m""",
+    "bootstrap_conventions": f"""WITH {_ARMS}, u AS (SELECT o_custkey AS key, avg((b.em - a.em)::DOUBLE) AS delta FROM a JOIN b ON a.case_id = b.case_id JOIN orders ON o_orderkey = a.case_id GROUP BY 1), {_draws()},
+s AS (SELECT list_sort(list(m)) AS s, quantile_cont(m, 0.025) AS l, quantile_cont(m, 0.975) AS h FROM m)
+SELECT round(s[6], 6) AS before_low, round(s[195], 6) AS before_high, round(s[6], 6) AS held_low, round(s[196], 6) AS held_high, round(s[6], 6) AS index_low, round(s[196], 6) AS index_high, round(l, 6) AS linear_low, round(h, 6) AS linear_high FROM s""",
+    "stratified_bootstrap": f"""WITH x AS (SELECT l_returnflag, l_suppkey, l_linestatus, avg(l_discount) AS x FROM lineitem GROUP BY ALL), u AS (SELECT l_returnflag, l_suppkey AS key, avg(x) AS delta FROM x GROUP BY ALL), {_draws('l_returnflag, ')}
+SELECT l_returnflag, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM m GROUP BY l_returnflag""",
+    "varied_forecast": f"""{_BASE}, c AS (SELECT group_id, reason, count(*) AS c FROM rollouts GROUP BY ALL), v AS (SELECT *, sum(c) OVER (PARTITION BY group_id ORDER BY reason) AS upto, sum(c) OVER (PARTITION BY group_id) AS n FROM c),
+g AS (SELECT group_id, max(n)::BIGINT AS n, list(upto::BIGINT ORDER BY reason) AS sums FROM v GROUP BY group_id), z AS (SELECT unnest([2, 4, 8]) AS size),
+t AS (SELECT size, sim, CAST(sum(CASE WHEN len(list_distinct(list_transform(range(0, size), lambda i: len(list_filter(sums, lambda s: s <= CAST('0x' || substr(md5('f:' || group_id || ':' || sim || ':' || size || ':' || i), 1, 8) AS BIGINT) % n))))) > 1 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM g, z, range(0, 100) r(sim) GROUP BY ALL),
+k AS (SELECT size, list(k ORDER BY k) AS k FROM t GROUP BY size), e AS (SELECT size, round(sum(1 - same), 6) AS expected FROM (SELECT size, group_id, sum(pow(c / n, size)) AS same FROM v, z GROUP BY ALL) GROUP BY size)
+SELECT size::BIGINT AS size, expected, k[6] AS p05, k[51] AS median, k[96] AS p95 FROM k JOIN e USING (size)""",
+    "efficiency_metrics": "SELECT l_returnflag, count(*) AS questions, round(60 * count(*) / nullif(sum(l_quantity), 0), 6) AS per_minute, round(sum(l_partkey) / nullif(sum(l_quantity), 0), 6) AS in_per_second, round(sum(l_suppkey) / nullif(sum(l_quantity), 0), 6) AS out_per_second FROM lineitem GROUP BY 1",
     "clustered_delta": f"""WITH {_ARMS}, c AS (SELECT o_custkey, avg(a.em) AS before, avg(b.em) AS after, avg(b.em - a.em) AS delta FROM a JOIN b ON a.case_id = b.case_id JOIN orders ON o_orderkey = a.case_id GROUP BY o_custkey)
 SELECT count(*) AS clusters, round(avg(before), 6) AS before, round(avg(after), 6) AS after, round(avg(delta), 6) AS delta FROM c""",
     "outcome_entropy": f"{_BASE}, c AS (SELECT group_id, count(*) AS c FROM rollouts GROUP BY group_id, reason) SELECT group_id, CAST(sum(c) AS BIGINT) AS n, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) + 0.0 AS entropy FROM c GROUP BY group_id",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, dense, details, evaluation, retrieval, sources, trajectory
+from . import datasets, dense, details, evaluation, protocol, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources)
+FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:

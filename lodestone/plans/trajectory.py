@@ -65,9 +65,14 @@ def reward_counterfactual(spark, sf):
     """Two reward versions over the same rollouts: order inversions within groups between wrong and right answers, and margins."""
     f = _facts(spark, sf)
     both = J.reward_parts(f).select("group_id", "rollout_id", "correct", F.round("total", 6).alias("old")).join(J.reward_parts(f, over=0.0).select("rollout_id", F.round("total", 6).alias("new")), "rollout_id")
-    wrong = both.filter(~F.col("correct")).select("group_id", F.col("old").alias("old_w"), F.col("new").alias("new_w"))
-    pairs = both.filter("correct").join(wrong, "group_id")
-    return pairs.groupBy("group_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("old") < F.col("old_w")).alias("old_inversions"), F.count_if(F.col("new") < F.col("new_w")).alias("new_inversions"), F.round(F.min(F.col("new") - F.col("new_w")), 6).alias("least_margin"))
+    def inversions(total: str, name: str):
+        """Pairs of a right answer and a wrong one above it, by running counts of equal totals: no pair is made."""
+        c = both.groupBy("group_id", total).agg(F.count_if("correct").alias("good"), F.count_if(~F.col("correct")).alias("bad"))
+        above = F.coalesce(F.sum("bad").over(Window.partitionBy("group_id").orderBy(F.desc(total)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return c.withColumn("above", above).groupBy("group_id").agg(F.sum(F.col("good") * F.col("above")).alias(name))
+
+    g = both.groupBy("group_id").agg((F.count_if("correct") * F.count_if(~F.col("correct"))).alias("pairs"), F.round(F.min(F.when(F.col("correct"), F.col("new"))) - F.max(F.when(~F.col("correct"), F.col("new"))), 6).alias("least_margin")).filter("pairs > 0")
+    return g.join(inversions("old", "old_inversions"), "group_id").join(inversions("new", "new_inversions"), "group_id")
 
 
 def coverage_buckets(spark, sf):
