@@ -69,13 +69,13 @@ def prefix_link_pairs(spark, sf):
 
 def manifest_left_join(spark, sf):
     m = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), "c_mktsegment")
-    r = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("task_id"), "o_orderstatus")
+    r = table(spark, sf, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderstatus")
     return D.manifest_join(m, r, "task_id", F.col("o_orderstatus")).select("task_id", "c_mktsegment", "status", "answer")
 
 
 def amendment_overlay(spark, sf):
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
-    fixes = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    fixes = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
     return D.overlay(base, fixes, "k", "v", "seq")
 
 
@@ -238,7 +238,7 @@ def facts_visible(spark, sf):
 
 
 def quote_repair(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace(F.substring("text", 20, 60), "th", "ht").alias("quote"), F.col("text").alias("body"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.regexp_replace(F.expr("substring(text, length(text) div 2 + 1)"), "th", "ht").alias("quote"), F.col("text").alias("body"))
     return D.quote_repairs(b)
 
 
@@ -309,9 +309,9 @@ SELECT a.split AS "left", b.split AS "right", count(*) AS shared FROM s a JOIN s
     "lineage_join": "SELECT a.conv_id, count(*) AS matches, string_agg(b.conv_id || '/' || b.turn, ',' ORDER BY b.conv_id || '/' || b.turn) AS copies FROM conversations a JOIN conversations b ON a.role = b.role AND a.text = b.text AND a.turn = 0 AND b.conv_id % 3 = 0 GROUP BY a.conv_id",
     "prefix_link_pairs": """WITH l AS (SELECT * FROM (SELECT conv_id, turn AS id, role, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM conversations) WHERE role = 'assistant')
 SELECT a.conv_id, a.id AS prefix_id, b.id AS full_id, len(a.m)::BIGINT AS n FROM l a JOIN l b ON a.conv_id = b.conv_id AND len(a.m) < len(b.m) AND b.m[1:len(a.m)] = a.m""",
-    "manifest_left_join": """WITH g AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS k, min(o_orderstatus) AS a FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1)
+    "manifest_left_join": """WITH g AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS k, min(o_orderstatus) AS a FROM orders GROUP BY 1)
 SELECT c_custkey AS task_id, c_mktsegment, CASE WHEN n IS NULL THEN 'missing' WHEN k > 1 THEN 'conflict' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status, CASE WHEN k = 1 THEN a END AS answer FROM customer LEFT JOIN g ON c_custkey = o_custkey""",
-    "amendment_overlay": """WITH f AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS v, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+    "amendment_overlay": """WITH f AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS v, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey AS k, coalesce(v, c_mktsegment) AS v, coalesce(n, 0) AS corrections FROM customer LEFT JOIN f ON c_custkey = o_custkey""",
     "vote_reconciliation": """WITH g AS (SELECT l_orderkey, count(*) AS n, CAST(max(l_returnflag) <> min(l_returnflag) AS INT) + CAST(max(l_linestatus) <> min(l_linestatus) AS INT) AS d FROM lineitem GROUP BY 1)
 SELECT CASE WHEN n = 1 THEN 'one_review' WHEN d = 0 THEN 'agreed' WHEN d = 1 THEN 'corrected' ELSE 'dispute' END AS status, count(*) AS n, min(l_orderkey) AS first FROM g GROUP BY 1""",

@@ -148,10 +148,10 @@ def local_timestamps(spark, sf):
 
 
 def fake_policy_rollouts(spark, sf):
-    """The deterministic policy: search with the question, answer with the start of the best document; correct if the item's own start comes back."""
+    """The deterministic policy: search with the question, answer with the best document's text; correct if it holds the question."""
     c, q = corpus(spark, sf), questions(spark, sf)
-    top = R.bm25_search(c, q, 1, boost=False).join(c.select("id", F.substring("text", 1, 40).alias("answer")), "id")
-    return q.join(top, "qid", "left").select("qid", F.coalesce("id", F.lit("none")).alias("source"), F.coalesce(F.startswith("question", F.substring("answer", 1, 8)), F.lit(False)).alias("correct"))
+    top = R.bm25_search(c, q, 1, boost=False).join(c.select("id", F.col("text").alias("answer")), "id")
+    return q.join(top, "qid", "left").select("qid", F.coalesce("id", F.lit("none")).alias("source"), F.coalesce(F.contains(F.replace("answer", F.lit("\n"), F.lit(" ")), "question"), F.lit(False)).alias("correct"))
 
 
 def probe_classification(spark, sf):
@@ -340,8 +340,8 @@ SELECT b.item_id, h.id, h.start FROM b LEFT JOIN h ON b.item_id = h.item_id AND
     "masked_keys": """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN right(c_name, 1) = '1' ELSE substr(c_name, 10, 7) = '0000000' END AS match FROM customer""",
     "json_field_order": 'SELECT event_type, count(*) FILTER (WHERE event_id % 3 = 0) AS in_order, count(*) FILTER (WHERE event_id % 3 <> 0) AS "not" FROM events GROUP BY event_type',
     "local_timestamps": "WITH e AS (SELECT strftime(date_trunc('second', ts) + INTERVAL 8 HOURS, '%Y-%m-%dT%H:%M:%S') AS iso FROM events) SELECT left(iso, 10) AS day, count(*) AS n, min(iso) AS first FROM e GROUP BY 1",
-    "fake_policy_rollouts": f"""{_BM25}, t AS (SELECT r.qid, r.id, substr(text, 1, 40) AS answer FROM ranked r JOIN corpus USING (id) WHERE rank = 1)
-SELECT q.qid, coalesce(id, 'none') AS source, coalesce(starts_with(question, substr(answer, 1, 8)), false) AS correct FROM questions q LEFT JOIN t ON q.qid = t.qid""",
+    "fake_policy_rollouts": f"""{_BM25}, t AS (SELECT r.qid, r.id, text AS answer FROM ranked r JOIN corpus USING (id) WHERE rank = 1)
+SELECT q.qid, coalesce(id, 'none') AS source, coalesce(contains(replace(answer, chr(10), ' '), question), false) AS correct FROM questions q LEFT JOIN t ON q.qid = t.qid""",
     "probe_classification": f"""WITH {STEPS}, l AS (SELECT rollout_id, arg_max(action, step) AS action, arg_max(query, step) AS query, max(step) AS m FROM steps GROUP BY rollout_id),
 h AS (SELECT l.rollout_id, l.action, count(DISTINCT s.query) AS n, coalesce(bool_or(s.query = l.query), false) AS seen FROM l LEFT JOIN steps s ON s.rollout_id = l.rollout_id AND s.step < m AND s.action = 'search' GROUP BY ALL)
 SELECT CASE WHEN action = 'answer' THEN 'answer' WHEN action = 'search' AND seen THEN 'repeated' WHEN action = 'search' THEN 'search' ELSE 'invalid' END AS kind, count(*) AS n, CAST(sum(n) AS BIGINT) AS queries_before FROM h GROUP BY 1""",

@@ -52,12 +52,12 @@ def bm25_title_boost(spark, sf):
 
 
 def _titled(spark, sf):
-    """Benchmark questions, and the titles of documents divisible by 50 as questions of their own."""
-    own = corpus(spark, sf).filter(F.col("id").cast("long") % 50 == 0).select((F.col("id").cast("long") + 1_000_000).alias("qid"), F.concat_ws(" ", F.lit("about"), "title").alias("question"))
+    """Benchmark questions, and the titles of documents divisible by 100 as questions of their own."""
+    own = corpus(spark, sf).filter(F.col("id").cast("long") % 100 == 0).select((F.col("id").cast("long") + 1_000_000).alias("qid"), F.concat_ws(" ", F.lit("about"), "title").alias("question"))
     return questions(spark, sf).unionByName(own)
 
 
-_TITLED = QUESTIONS.replace("questions AS (", "questions AS (SELECT id::BIGINT + 1000000 AS qid, 'about ' || title AS question FROM corpus WHERE id::BIGINT % 50 = 0 UNION ALL ")
+_TITLED = QUESTIONS.replace("questions AS (", "questions AS (SELECT id::BIGINT + 1000000 AS qid, 'about ' || title AS question FROM corpus WHERE id::BIGINT % 100 = 0 UNION ALL ")
 
 
 def bm25_paragraph_distinct(spark, sf):

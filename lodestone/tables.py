@@ -17,8 +17,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions: the first twelve words of each benchmark item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", "[ \n]"), 1, 12), " ").alias("question"))
+    """Questions: the whole text of each benchmark item, in one line."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("question"))
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CORPUS = "corpus AS (SELECT doc_id::VARCHAR AS id, array_to_string(regexp_split_to_array(text, '[ \\n]')[1:6], ' ') AS title, text FROM documents)"
-QUESTIONS = "questions AS (SELECT item_id AS qid, array_to_string(regexp_split_to_array(text, '[ \\n]')[1:12], ' ') AS question FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS qid, replace(text, chr(10), ' ') AS question FROM benchmark)"
 QRELS = "qrels AS (SELECT DISTINCT item_id AS qid, doc_id::VARCHAR AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 PARAGRAPHS = "paragraphs AS (SELECT id, title, p - 1 AS paragraph_index, lines[p] AS text FROM (SELECT id, title, lines, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT id, title, string_split(text, chr(10)) AS lines FROM corpus)) WHERE lines[p] <> '')"
 STEPS = """steps AS (SELECT user_id AS group_id, rollout_id, row_number() OVER (PARTITION BY rollout_id ORDER BY ts, event_id) AS step, event_id,
