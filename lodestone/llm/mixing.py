@@ -5,7 +5,8 @@ document floor(rate) times plus one hash-seeded Bernoulli copy with probability
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, last in order; a source
 whose size is 0 has rate 0; rows that repeat a doc_id draw the same copies; an empty table gives an empty mix;
-``rates`` reads no other column; ``mix`` passes all through, whatever their names, and numbers the copies in ``copy``.
+``rates`` reads no other column; ``mix`` passes all through, whatever their names, but that ``copy``, the number of the
+copy, takes the place of one so named, and that names with ``_lodestone_`` in front are its own.
 """
 
 from __future__ import annotations
