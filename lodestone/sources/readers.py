@@ -33,16 +33,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(guarded(path))
 
 
+def read_prefix(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` records of line files in file order, blank lines not counted; 0 or None: all."""
+    lines = spark.read.text(guarded(path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value").filter(F.trim("value") != "")
+    rows = lines.select("file", "block", "n", F.from_json("value", schema).alias("row"))
+    return (rows.orderBy("file", "block", "n").limit(limit) if limit else rows).select("row.*")
+
+
+def load_environment(spark: SparkSession, path: str, task_limit: int | None = None, corpus_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tasks, corpus) of trajectory records (messages, metadata): the first tasks in file order, and the last version of each document of the first records."""
+    message = "struct<role:string,content:string>"
+    schema = f"messages array<{message}>, metadata struct<task_id:string,gold_answer:string,difficulty:string>"
+    asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    tasks = read_prefix(spark, path, schema, task_limit).select(F.col("metadata.task_id").alias("id"), asked.alias("question"), F.col("metadata.gold_answer").alias("answer"), F.col("metadata.difficulty").alias("difficulty"))
+    records = read_prefix(spark, path, schema, corpus_limit).select(F.monotonically_increasing_id().alias("id"), "messages")
+    return tasks, latest_documents(records)
+
+
 def parse_lines(lines: DataFrame, schema: str, order: str = "line_no", value: str = "value", file: str = "file") -> DataFrame:
     """Parsed rows of numbered lines with a status: ok, blank, torn (a broken last line of its file) or corrupt (any other).
 
     The parser accepts text behind a complete object, so a line must also end as an object does.
     """
-    last = F.max(order).over(Window.partitionBy(file))
+    ends = lines.groupBy(file).agg(F.max(order).alias("_last"))  # a maximum per file, so no file's lines meet in one task
+    lines = lines.join(ends, file)
     body = F.trim(F.col(value))
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
     whole = F.regexp_like(body, F.lit(r"(?s)^\{.*\}$")) & F.get_json_object(body, "$").isNotNull()
-    status = F.when(body == "", "blank").when(whole, "ok").when(F.col(order) == last, "torn").otherwise("corrupt")
+    status = F.when(body == "", "blank").when(whole, "ok").when(F.col(order) == F.col("_last"), "torn").otherwise("corrupt")
     return lines.select(file, order, status.alias("status"), F.when(status == "ok", parsed).alias("row"))
 
 
@@ -71,9 +89,21 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     raise ValueError(f"unknown format: {path}")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of whole files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(guarded(path)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, path: str, most: int = 1 << 30, block: int = 1 << 20) -> DataFrame:
+    """(path, length, sha256) of whole files; a file without bytes has no row, as Spark's reader skips it.
+
+    Files of up to ``most`` bytes are hashed where they are read; longer ones, which no row can hold, in blocks of one
+    stream each through the session's file system.
+    """
+    files = spark.read.format("binaryFile").load(guarded(path))
+    conf, jvm, long = spark._jsc.hadoopConfiguration(), spark._jvm, []
+    for row in files.filter(F.col("length") > most).select("path", "length").toLocalIterator():
+        place, digest = jvm.org.apache.hadoop.fs.Path(row["path"]), jvm.java.security.MessageDigest.getInstance("SHA-256")
+        stream = jvm.java.security.DigestInputStream(place.getFileSystem(conf).open(place), digest)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), block, True)
+        long.append((row["path"], row["length"], bytes(digest.digest()).hex()))
+    own = files.filter(F.col("length") <= most).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return own.unionByName(spark.createDataFrame(long, "path string, length long, sha256 string")) if long else own
 
 
 def latest_documents(records: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import written
 from .readers import guarded
 
 
@@ -14,29 +19,72 @@ def write_once(df: DataFrame, path: str, format: str = "parquet") -> None:
     df.write.format(format).mode("errorifexists").option("header", True).save(guarded(path))
 
 
-def append_events(df: DataFrame, path: str, key: str = "id") -> int:
-    """Append rows whose key is new; rows that are there already make an error, as a primary key would."""
+def _batches(spark: SparkSession, path: str) -> int:
+    """How many batches a folder of numbered batches holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(s.getPath().getName().startswith("batch-") for s in fs.listStatus(place)) if fs.exists(place) else 0
+
+
+def _publish(df: DataFrame, path: str, number: int) -> None:
+    """The rows as one numbered batch: written beside its place and moved there whole; an error if another writer took the number."""
     spark = df.sparkSession
-    try:
-        clash = spark.read.parquet(path).join(df.select(key), key, "left_semi").limit(1).count()
-    except Exception as x:
-        if "PATH_NOT_FOUND" not in str(x) and "UNABLE_TO_INFER_SCHEMA" not in str(x):
-            raise
-        clash = 0
-    if clash or df.groupBy(key).count().filter("count > 1").limit(1).count():
+    staging = f"{path}/.building-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, f"{path}/batch-{number:08d}"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
+        raise FileExistsError(f"batch {number} is there already")
+
+
+def _every(spark: SparkSession, path: str) -> DataFrame:
+    """All batches with their numbers."""
+    parts = [spark.read.parquet(f"{path}/batch-{n:08d}").withColumn("_seq", F.lit(n).cast("long")) for n in range(_batches(spark, path))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def append_events(df: DataFrame, path: str, key: str = "id") -> int:
+    """Append rows whose key is new, as one batch; rows that are there already, or twice, make an error, as a primary key would.
+
+    The input is written once and then checked and counted; a second writer of the same batch number fails.
+    """
+    spark, path = df.sparkSession, guarded(path)
+    number, rows = _batches(spark, path), written(df)
+    if number and not _every(spark, path).join(rows.select(key), key, "left_semi").isEmpty() or not rows.groupBy(key).count().filter("count > 1").isEmpty():
         raise ValueError(f"{key} is there already")
-    df.write.mode("append").parquet(path)
-    return df.count()
+    _publish(rows, path, number)
+    return rows.count()
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    """The appended rows of all batches."""
+    return _every(spark, path).drop("_seq")
 
 
 def upsert(df: DataFrame, path: str) -> None:
-    """Insert or replace: rows are appended with a time, and ``latest`` shows the last of each key."""
-    df.withColumn("_seq", F.expr("unix_micros(current_timestamp())")).write.mode("append").parquet(guarded(path))
+    """Insert or replace: rows are appended as a numbered batch with their places, and ``latest`` shows the last of each key."""
+    path = guarded(path)
+    _publish(df.withColumn("_row", F.monotonically_increasing_id()), path, _batches(df.sparkSession, path))
 
 
 def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
-    return spark.read.parquet(path).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_seq")
+    """The last row of each key, by batch and then by place in it; both are stored, so reruns agree."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("_seq"), F.desc("_row"))
+    return _every(spark, path).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_seq", "_row")
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A report as one indented JSON file, with its folders; UTF-8, keys as given, an existing one replaced whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(guarded(path))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside, True)
+    stream.write(json.dumps(report, ensure_ascii=False, indent=2).encode())
+    stream.close()
+    fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"{path} could not be put in place")
 
 
 def export_trajectories(rollouts: DataFrame, groups: DataFrame, transitions: DataFrame, path: str) -> None:
