@@ -1,13 +1,16 @@
-"""Ranked retrieval: postings, BM25 and its variants, dense search, fusion, reranking, evaluation.
+"""Ranked retrieval: BM25 and its variants, keyword and dense search, fusion, reranking, evaluation.
 
-A search reads and tokenises the corpus once: postings of the queries' terms (broadcast behind a count) and one marker
-for each document, which carries its length, are written; document frequencies, the mean length and the scores come from
-that table.  A ranked window keeps the best, which Spark limits before the shuffle.  Scores are rounded after ranking.
+A search takes its questions in blocks of bounded size.  One pass over the corpus counts the block's terms, one narrow
+row for each document; document frequencies and the mean length are partial aggregates of those rows.  A second pass
+over them scores each document for all questions at once and keeps the best of each question in its task, so no
+posting and no pair of question and document is shuffled.  Scores are rounded after ranking.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,10 @@ from ..scratch import written
 K1, B, TITLE_WEIGHT = 1.5, 0.75, 3
 EXACT_TITLE, WITHIN_TITLE = 10.0, 4.0
 RRF_K, CANDIDATES = 60, 20
-#: Query rows up to which the query side is broadcast.
-QUERY_ROWS = 50_000
+#: Query rows up to which the query side is broadcast; questions of a block; (question, document) pairs that a pass carries.
+QUERY_ROWS, BLOCK, PAIRS = 50_000, 4096, 200_000
+#: Scores as close as this to the last one kept are kept too, since ranks go by rounded scores.
+NEAR = 1e-8
 
 
 def few(df: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
@@ -35,77 +40,191 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def postings(corpus: DataFrame, asked: DataFrame, title_weight: int = TITLE_WEIGHT, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(keys, token, tf, dl), written: frequencies of the asked tokens, the title counted ``title_weight`` times, and a row of a null token for every document."""
-    every = F.concat(F.flatten(F.array_repeat(T.tokens(F.col("title")), title_weight)), T.tokens(F.col("text")))
-    docs = corpus.select(*keys, every.alias("t")).select(*keys, F.size("t").cast("long").alias("dl"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("token"))
-    wanted = asked.select("token").distinct().unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("string").alias("token"))).withColumnRenamed("token", "wanted")
-    inside = docs.join(few(wanted), docs["token"].eqNullSafe(F.col("wanted")), "left_semi")
-    return written(inside.groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf")))
+def _kind(df: DataFrame, column: str) -> tuple[pa.DataType, str]:
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = df.schema[column].dataType
+    return to_arrow_type(kind), kind.simpleString()
 
-def query_terms(questions: DataFrame) -> DataFrame:
-    return questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("token"))
 
+def in_blocks(questions: DataFrame, value: Column, search: Callable[[list], DataFrame], size: int | None = None) -> DataFrame | None:
+    """The union of a search over blocks of (qid, value); each block's result is written before the next comes, if there are several."""
+    found, block = None, []
+    for row in questions.select("qid", value.alias("v")).toLocalIterator():
+        if len(block) == (size or BLOCK):
+            own = written(search(block))
+            found, block = own if found is None else found.unionByName(own), []
+        block.append((row["qid"], row["v"]))
+    if not block:
+        return None
+    return search(block) if found is None else found.unionByName(written(search(block)))
+
+
+class Best:
+    """A task's best rows of each question: those whose group is among its k best so far, ties by rounding included; all of them without k."""
+
+    def __init__(self, questions: int, k: int | None):
+        self.k, self.rows = k, [{} for _ in range(questions)]  # group -> [(score, row)]
+        self.floor = np.full(questions, -np.inf)
+
+    def offer(self, q: int, score: float, group, row) -> None:
+        own = self.rows[q].get(group)
+        if own is None or self.k is None:
+            self.rows[q].setdefault(group, []).append((score, row))
+        elif score > own[0][0] + NEAR:
+            self.rows[q][group] = [(score, row)]
+        elif score >= own[0][0] - NEAR:
+            own.append((score, row))
+            own.sort(key=lambda x: -x[0])
+        if self.k is not None and len(self.rows[q]) >= 4 * self.k:
+            least = sorted((x[0][0] for x in self.rows[q].values()), reverse=True)[self.k - 1] - NEAR
+            self.rows[q] = {g: x for g, x in self.rows[q].items() if x[0][0] >= least}
+            self.floor[q] = least
+
+    def __iter__(self):
+        for q, groups in enumerate(self.rows):
+            for rows in groups.values():
+                for score, row in rows:
+                    yield q, score, row
+
+
+def counted(corpus: DataFrame, terms: dict[str, int], keys: tuple[str, ...], title_weight: int = TITLE_WEIGHT) -> DataFrame:
+    """(keys, dl, terms, tfs), written, one row for each document: its length, and the numbers and frequencies of the terms that it has; a title counts ``title_weight`` times."""
+    folded = corpus.select(*keys, T.fold(F.coalesce("title", F.lit(""))).alias("_title"), T.fold(F.coalesce("text", F.lit(""))).alias("_text"))
 
-def bm25_sums(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",), only: DataFrame | None = None) -> DataFrame:
-    """(qid, keys, score) of the documents that share a term with the query; with ``only``, of its (qid, id) alone.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, stop = re.compile(T.TOKEN), frozenset(T.STOPWORDS)
+        words = lambda x: [t for t in token.findall(x) if t not in stop and (len(t) > 1 or ord(t) > 127)]
+        for batch in batches:
+            dl, own, tfs = [], [], []
+            for title, text in zip(batch.column("_title").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                head, body = words(title), words(text)
+                dl.append(title_weight * len(head) + len(body))
+                count = Counter(n for n in map(terms.get, body) if n is not None)
+                for n in map(terms.get, head if title_weight else ()):
+                    if n is not None:
+                        count[n] += title_weight
+                own.append(list(count))
+                tfs.append(list(count.values()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(dl, pa.int64()), pa.array(own, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=[*keys, "dl", "terms", "tfs"])
+
+    kinds = dict(folded.dtypes)
+    return written(folded.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keys], "dl long, terms array<int>, tfs array<int>"])))
+
+
+def bm25_rows(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",), k: int | None = None, also: DataFrame | None = None, group: str | None = None, title_weight: int = TITLE_WEIGHT) -> DataFrame:
+    """(qid, keys, score), a superset of each question's k best documents (or of the best of its k best ``group``s; without k all that share a term), and all of ``also`` (qid, id), whatever their score."""
+    q_kind, fields = _kind(questions, "qid"), [(c, *_kind(corpus, c)) for c in keys]
+    schema = ", ".join([f"qid {q_kind[1]}", *[f"{c} {name}" for c, _, name in fields], "score double"])
+
+    def search(block: list) -> DataFrame:
+        terms: dict[str, int] = {}
+        asking: list[list[int]] = []
+        for q, (_, own) in enumerate(block):
+            for t in own:
+                n = terms.setdefault(t, len(terms))
+                if n == len(asking):
+                    asking.append([])
+                asking[n].append(q)
+        rows = counted(corpus, terms, keys, title_weight)
+        n, mean = rows.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+        df = np.zeros(len(terms) or 1)
+        for t, c in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect():  # no more than the block's terms
+            df[t] = c
+        idf, mean = np.log(1.0 + (n - df + 0.5) / (df + 0.5)), max(mean, 1.0)
+        lists = [np.array(x, np.int64) for x in asking]
+        wanted: dict = {}
+        if also is not None:
+            number = {qid: q for q, (qid, _) in enumerate(block)}
+            for qid, i in also.select("qid", "id").filter(F.col("qid").isin(list(number))).collect():
+                wanted.setdefault(i, []).append(number[qid])
 
-    Document frequencies are a partial aggregation over the postings, so a frequent term costs one row per task.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, out = Best(len(block), k), []
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in keys]
+                ids, groups = batch.column("id").to_pylist(), batch.column(group).to_pylist() if group else None
+                sizes, owns, tfs = batch.column("dl").to_pylist(), batch.column("terms"), batch.column("tfs")
+                for r, size in enumerate(sizes):
+                    t, tf, row = owns[r].values.to_numpy(), tfs[r].values.to_numpy(), tuple(c[r] for c in cols)
+                    extra = wanted.get(ids[r], ())
+                    if not len(t):
+                        out += [(q, 0.0, row) for q in extra]
+                        continue
+                    weight = idf[t] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / mean))
+                    own = [lists[x] for x in t]
+                    score = np.bincount(np.concatenate(own), np.repeat(weight, [len(x) for x in own]), len(block))
+                    for q in np.flatnonzero((score > 0) & (score >= best.floor)) if k != 0 else ():
+                        best.offer(int(q), float(score[q]), groups[r] if group else row, row)
+                    out += [(q, float(score[q]), row) for q in extra]
+            rows = [*best, *out]
+            yield pa.RecordBatch.from_arrays([pa.array([block[q][0] for q, _, _ in rows], q_kind[0]), *[pa.array([row[c] for _, _, row in rows], fields[c][1]) for c in range(len(keys))], pa.array([x for _, x, _ in rows], pa.float64())], names=["qid", *keys, "score"])
+
+        return rows.mapInArrow(run, schema).groupBy("qid", *keys).agg(F.max("score").alias("score"))
+
+    found = in_blocks(questions, F.array_distinct(T.tokens(F.col("question"))), search)
+    return corpus.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def title_boosts(corpus: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id, boost): a title that is the query, or part of it.
+
+    The queries' pieces of eight characters (and shorter ones) say where a title can start, so a title looks at few places.
     """
-    asked = query_terms(questions)
-    every = postings(corpus, asked, keys=keys)
-    posted = every.filter("token is not null")
-    stats = every.filter("token is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
-    hint = F.broadcast if asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else (lambda x: x)
-    often = posted.groupBy("token").agg(F.count("*").alias("df"))
-    n, mean = F.col("n"), F.greatest(F.col("mean"), F.lit(1.0))
-    part = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    hits = posted.join(hint(asked), "token").join(hint(often), "token")
-    if only is not None:
-        hits = hits.join(few(only.select("qid", "id")), ["qid", "id"], "left_semi")
-    return hits.crossJoin(F.broadcast(stats)).groupBy("qid", *keys).agg(F.sum(part).alias("score"))
-
-
-def title_boosts(corpus: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """(qid, keys, boost): a title that is the query, or part of it; candidates by the title's first token, a token of the query or the end of one."""
-    titles = corpus.select(*keys, T.token_norm(F.col("title")).alias("title_key")).filter("title_key <> ''")
-    asked = questions.select("qid", T.token_norm(F.col("question")).alias("query_key")).filter("query_key <> ''")
-    # every start of a possible containment: a title lies inside the query from one of its characters on
-    starts = asked.select("qid", "query_key", F.explode(F.sequence(F.lit(1), F.length("query_key"))).alias("at"))
-    size = titles.select(F.length("title_key").alias("len")).distinct()
-    parts = starts.crossJoin(few(size)).filter("at + len - 1 <= length(query_key)").select("qid", "query_key", F.expr("substring(query_key, at, len)").alias("title_key")).distinct()
-    return titles.join(few(parts, 200_000), "title_key").select("qid", *keys, F.when(F.col("title_key") == F.col("query_key"), EXACT_TITLE).otherwise(WITHIN_TITLE).alias("boost"))
-
-
-def bm25_scores(corpus: DataFrame, questions: DataFrame, boost: bool = True, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    sums = bm25_sums(corpus, questions, keys)
-    if boost:
-        extra = title_boosts(corpus, questions, keys)
-        sums = sums.join(extra, ["qid", *keys], "full_outer").select("qid", *keys, (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score"))
-    return sums.filter("score > 0")
+    q_kind, i_kind = _kind(questions, "qid"), _kind(corpus, "id")
+    titles = corpus.select("id", T.token_norm(F.col("title")).alias("title_key")).filter("title_key <> ''")
+    schema = f"qid {q_kind[1]}, id {i_kind[1]}, boost double"
+
+    def search(block: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts: dict[str, list[tuple[int, int]]] = {}
+            for q, (_, key) in enumerate(block):
+                for at in range(len(key)):
+                    for n in range(1, min(8, len(key) - at) + 1):
+                        starts.setdefault(key[at : at + n], []).append((q, at))
+            for batch in batches:
+                out = []
+                for i, title in zip(batch.column("id").to_pylist(), batch.column("title_key").to_pylist(), strict=True):
+                    own = {q for q, at in starts.get(title[:8], ()) if block[q][1].startswith(title, at)}
+                    out += [(block[q][0], i, EXACT_TITLE if block[q][1] == title else WITHIN_TITLE) for q in own]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], q_kind[0]), pa.array([x[1] for x in out], i_kind[0]), pa.array([x[2] for x in out], pa.float64())], names=["qid", "id", "boost"])
+
+        return titles.mapInArrow(run, schema)
+
+    found = in_blocks(questions, T.token_norm(F.col("question")), search)
+    return corpus.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def bm25_scores(corpus: DataFrame, questions: DataFrame, k: int, boost: bool = True, keys: tuple[str, ...] = ("id",), titles: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """(qid, keys, score > 0), a superset of the k best: a boosted document is scored with its boost, and any other of the k best is so without boosts too."""
+    if not boost:
+        return bm25_rows(corpus, questions, keys, k, group=group)
+    extra = written(title_boosts(corpus if titles is None else titles, questions).distinct())
+    many = len(extra.limit(PAIRS + 1).select(F.lit(1)).collect()) > PAIRS
+    sums = bm25_rows(corpus, questions, keys, None if many else k, None if many else extra, group)
+    kept = sums.join(extra, ["qid", "id"], "left") if not many else sums.join(extra.join(corpus.select(*keys), "id"), ["qid", *keys], "full_outer")
+    return kept.select("qid", *keys, (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score")).filter("score > 0")
 
 
 def bm25_search(corpus: DataFrame, questions: DataFrame, k: int = 3, boost: bool = True) -> DataFrame:
     """(qid, rank, id, score): the k best documents, ties to the smaller id as a string."""
-    return top(bm25_scores(corpus, questions, boost), k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    return top(bm25_scores(corpus, questions, k, boost), k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def bm25_paragraphs(paragraphs: DataFrame, titles: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """The best paragraph of each title (id, title), then the k best titles."""
-    keys = ("id", "paragraph_index")
-    titles = titles.select("id", T.token_norm(F.col("title")).alias("title_key"))
-    scored = bm25_scores(paragraphs, questions, True, keys).join(titles, "id").withColumn("s", F.round("score", 9))
+    keys = ("id", "paragraph_index", "title_key")
+    keyed = paragraphs.withColumn("title_key", T.token_norm(F.col("title")))
+    scored = bm25_scores(keyed, questions, k, True, keys, titles, "title_key").withColumn("s", F.round("score", 9))
     order = (F.desc("s"), F.col("title_key"), F.col("paragraph_index"), F.col("id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid", "title_key").orderBy(*order))).filter("r = 1")
-    return top(best, k, *order).select("qid", "rank", *keys, F.round("score", 6).alias("score"))
+    return top(best, k, *order).select("qid", "rank", "id", "paragraph_index", F.round("score", 6).alias("score"))
 
 
 def page_then_paragraph(corpus: DataFrame, paragraphs: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """Rank whole pages, then the best paragraph of each by the same terms without a title boost."""
     pages = written(bm25_search(corpus, questions, k).withColumnRenamed("score", "page_score"))
-    body = paragraphs.withColumn("title", F.lit(""))
-    found = bm25_sums(body, questions, ("id", "paragraph_index"), pages).join(few(pages), ["qid", "id"])
+    found = bm25_rows(paragraphs, questions, ("id", "paragraph_index"), 0, pages, title_weight=0).filter("score > 0").join(few(pages), ["qid", "id"])
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid", "id").orderBy(F.desc(F.round("score", 9)), "paragraph_index"))).filter("r = 1")
     return best.select("qid", "rank", "id", "page_score", "paragraph_index", F.round("score", 6).alias("body_score"))
 
@@ -113,19 +232,46 @@ def page_then_paragraph(corpus: DataFrame, paragraphs: DataFrame, questions: Dat
 def keyword_search(corpus: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """Sum of substring counts of the distinct terms over title and text; documents without any are dropped.
 
-    A term lies within one run of the text, so terms are matched with the vocabulary of runs once: a run's pieces of the
-    terms' lengths meet the terms by an equi-join, and the runs' frequencies carry the counts to the documents.
+    One automaton of a block's terms over each text; a task keeps the k best documents of each question.
     """
-    runs = F.regexp_extract_all(T.fold(F.concat_ws(" ", "title", "text")), F.lit(f"({T.TOKEN})"), 1)
-    posted = written(corpus.select("id", F.explode(runs).alias("run")).groupBy("id", "run").agg(F.count("*").alias("tf")))
-    asked = questions.select("qid", F.explode(T.terms(F.col("question"))).alias("term"))
-    terms = asked.select("term").distinct()
-    lengths = terms.agg(F.coalesce(F.collect_set(F.length("term")), F.array().cast("array<int>")).alias("lengths"))  # no more than the longest term has characters
-    cut = F.flatten(F.transform("lengths", lambda n: F.when(n <= F.length("run"), F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring("run", i, n))).otherwise(F.array().cast("array<string>"))))
-    pieces = posted.select("run").distinct().crossJoin(F.broadcast(lengths)).select("run", F.explode(F.array_distinct(cut)).alias("term"))
-    inside = pieces.join(few(terms), "term")
-    weight = inside.select("run", "term", T.occurrences(F.col("run"), F.col("term")).alias("times")).join(few(asked), "term").groupBy("qid", "run").agg(F.sum("times").alias("times"))
-    scored = posted.join(weight, "run").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("times")).alias("score"))
+    q_kind, i_kind = _kind(questions, "qid"), _kind(corpus, "id")
+    bodies = corpus.select("id", T.fold(F.concat_ws(" ", "title", "text")).alias("body"))
+    schema = f"qid {q_kind[1]}, id {i_kind[1]}, score long"
+
+    def search(block: list) -> DataFrame:
+        asking: dict[str, list[int]] = {}
+        for q, (_, own) in enumerate(block):
+            for t in own:
+                asking.setdefault(t, []).append(q)
+        terms, lists = list(asking), [np.array(x, np.int64) for x in asking.values()]
+        overlapping = {n for n, t in enumerate(terms) if any(t[i:] == t[:-i] for i in range(1, len(t)))}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for n, t in enumerate(terms):
+                found.add_word(t, n)
+            found.make_automaton()
+            best = Best(len(block), k)
+            for batch in batches if terms else ():
+                for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                    count = Counter(n for _, n in found.iter(body))
+                    for n in overlapping & count.keys():
+                        count[n] = body.count(terms[n])  # occurrences that don't overlap
+                    if not count:
+                        continue
+                    own = [lists[n] for n in count]
+                    score = np.bincount(np.concatenate(own), np.repeat(list(count.values()), [len(x) for x in own]), len(block))
+                    for q in np.flatnonzero((score > 0) & (score >= best.floor)):
+                        best.offer(int(q), float(score[q]), i, i)
+            rows = list(best)
+            yield pa.RecordBatch.from_arrays([pa.array([block[q][0] for q, _, _ in rows], q_kind[0]), pa.array([i for _, _, i in rows], i_kind[0]), pa.array([int(x) for _, x, _ in rows], pa.int64())], names=["qid", "id", "score"])
+
+        return bodies.mapInArrow(run, schema).groupBy("qid", "id").agg(F.max("score").alias("score"))
+
+    scored = in_blocks(questions, T.terms(F.col("question")), search)
+    scored = corpus.sparkSession.createDataFrame([], schema) if scored is None else scored
     return top(scored, k, F.desc("score"), F.col("id")).select("qid", "rank", "id", "score")
 
 
@@ -155,59 +301,41 @@ def holding(docs: DataFrame, passages: DataFrame, most: int = 20_000) -> DataFra
                     rows += [(q, i) for q in own]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], kinds[1])], names=["qid", "id"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = [to_arrow_type(stated.schema["qid"].dataType), to_arrow_type(docs.schema["id"].dataType)]
-    return docs.select("id", "body").mapInArrow(run, f"qid {stated.schema['qid'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}")
+    (q_kind, q_name), (i_kind, i_name) = _kind(stated, "qid"), _kind(docs, "id")
+    kinds = (q_kind, i_kind)
+    return docs.select("id", "body").mapInArrow(run, f"qid {q_name}, id {i_name}")
 
 
-def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = 4096) -> DataFrame:
+def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = BLOCK) -> DataFrame:
     """(qid, rank, id, score): inner product, best chunk of each document, k best documents.
 
     chunks: id, vector; queries: qid, vector.  Queries come in blocks; a task keeps the k best documents of each query
     by its own chunks, among which every document of the k best is by its best chunk, so no pair is shuffled.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [queries.schema["qid"].dataType, chunks.schema["id"].dataType]
-    kinds = [to_arrow_type(f) for f in fields]
-    schema = f"qid {fields[0].simpleString()}, id {fields[1].simpleString()}, s double"
+    q_kind, i_kind = _kind(queries, "qid"), _kind(chunks, "id")
+    schema = f"qid {q_kind[1]}, id {i_kind[1]}, s double"
     rows = chunks.select("id", F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
 
-    def best(block):
-        qids = [q for q, _ in block]
+    def search(block: list) -> DataFrame:
         asked = np.array([v for _, v in block], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[dict] = [{} for _ in qids]
+            best = Best(len(block), k)
             for batch in batches:
-                ids, v = batch.column("id").to_pylist(), batch.column("v")
-                if not ids:
-                    continue
-                scores = asked @ v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T
-                for own, line in zip(kept, scores, strict=True):
-                    floor = min(own.values()) if len(own) >= k else -np.inf
-                    for at in np.flatnonzero(line >= floor - 1e-9):
-                        own[ids[at]] = max(own.get(ids[at], -np.inf), line[at])
-                    if len(own) > 4 * k:  # ties at the rounded k-th score stay
-                        least = sorted(own.values(), reverse=True)[k - 1] - 1e-8
-                        for i in [i for i, x in own.items() if x < least]:
-                            del own[i]
-            out = [(q, i, s) for q, own in zip(qids, kept, strict=True) for i, s in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kinds[0]), pa.array([r[1] for r in out], kinds[1]), pa.array([float(r[2]) for r in out], pa.float64())], names=["qid", "id", "s"])
+                ids = batch.column("id").to_pylist()
+                if ids:
+                    scores = asked @ batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T
+                    for q, at in zip(*np.nonzero(scores >= best.floor[:, None]), strict=True):
+                        if scores[q, at] >= best.floor[q]:
+                            best.offer(int(q), float(scores[q, at]), ids[at], ids[at])
+            out = list(best)
+            yield pa.RecordBatch.from_arrays([pa.array([block[q][0] for q, _, _ in out], q_kind[0]), pa.array([i for _, _, i in out], i_kind[0]), pa.array([x for _, x, _ in out], pa.float64())], names=["qid", "id", "s"])
 
         found = rows.mapInArrow(run, schema).groupBy("qid", "id").agg(F.max("s").alias("score"))
         return top(found, k, F.desc(F.round("score", 9)), F.col("id")).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
-    found, block = None, []
-    for row in queries.select("qid", F.col("vector").cast("array<double>").alias("v")).filter("v is not null").toLocalIterator():
-        if len(block) == block_rows:
-            own = written(best(block))
-            found, block = own if found is None else found.unionByName(own), []
-        block.append((row["qid"], row["v"]))
-    if found is None:
-        return best(block) if block else chunks.sparkSession.createDataFrame([], f"qid {fields[0].simpleString()}, rank long, id {fields[1].simpleString()}, score double")
-    return found.unionByName(written(best(block)))
+    found = in_blocks(queries.filter(F.col("vector").isNotNull()), F.col("vector").cast("array<double>"), search, block_rows)
+    return chunks.sparkSession.createDataFrame([], f"qid {q_kind[1]}, rank long, id {i_kind[1]}, score double") if found is None else found
 
 
 def fuse(lists: DataFrame, k: int = 3, rrf_k: int = RRF_K) -> DataFrame:
