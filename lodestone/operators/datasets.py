@@ -58,7 +58,7 @@ def prefix_links(turns: DataFrame, key: str) -> DataFrame:
     Each list is joined to its own prefixes by the prefix's chained digest, so no pairs of a key are made.
     """
     lists = turns.select(key, "id", chained_digests(F.col("messages")).alias("digests"))
-    whole = lists.select(key, F.col("id").alias("prefix_id"), F.element_at("digests", -1).alias("digest"))
+    whole = lists.select(key, F.col("id").alias("prefix_id"), F.try_element_at("digests", F.lit(-1)).alias("digest"))
     cut = lists.select(key, F.col("id").alias("full_id"), F.posexplode(F.slice("digests", 1, F.size("digests") - 1)).alias("n", "digest"))
     return cut.join(whole, [key, "digest"]).select(key, "prefix_id", "full_id", (F.col("n") + 1).cast("long").alias("n"))
 

@@ -56,6 +56,29 @@ def balanced(df: DataFrame, key: str, labels: str, seed: str, count: int, minima
     return near.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda part: choose(part), f"place long, {key} {dict(df.dtypes)[key]}")
 
 
+def smallest_cohort(df: DataFrame, key: str, labels: str, seed: str, gates: dict[str, int], sizes: range) -> DataFrame | None:
+    """The balanced choice of the least size whose rows reach every gate (rows of each label); None if no size does.  Each try is a bounded choice."""
+    for size in sizes:
+        chosen = checkpointed(balanced(df, key, labels, seed, size, gates))
+        have = {r["l"]: r["c"] for r in chosen.join(df.select(key, F.explode(labels).alias("l")), key).filter(F.col("l").isin(*gates)).groupBy("l").agg(F.count_distinct(key).alias("c")).collect()}
+        if chosen.count() == size and all(have.get(label, 0) >= n for label, n in gates.items()):
+            return chosen
+    return None
+
+
+def bounded_scan(df: DataFrame, accepted, want: int, most: int) -> DataFrame:
+    """The first ``want`` rows that are accepted among the first ``most`` in the source's order; Spark stops reading when it has them."""
+    return df.limit(most).filter(accepted).limit(want)
+
+
+def review_pool(reviews: DataFrame, keys: tuple[str, ...] = ("id", "reviewer")) -> DataFrame:
+    """(id, approved, labels): of reviews (id, reviewer, attempt, verdict, labels) the last attempt of each reviewer, approval by both of two, the labels that both gave."""
+    last = reviews.groupBy(*keys).agg(F.max_by(F.struct("verdict", "labels"), "attempt").alias("r"))
+    g = last.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("r.verdict") == "approve").alias("yes"), F.min_by("r.labels", "reviewer").alias("a"), F.max_by("r.labels", "reviewer").alias("b"))
+    both = (F.col("n") == 2) & (F.col("yes") == 2)
+    return g.select("id", both.alias("approved"), F.when(both, F.array_sort(F.array_intersect("a", "b"))).alias("labels"))
+
+
 def disjoint_rounds(df: DataFrame, key: str, order: str, elements: str, most_rounds: int = 200) -> DataFrame:
     """Keys accepted in (order, key) if they share no element with an accepted one, as a walk in that order accepts them.
 

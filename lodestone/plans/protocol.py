@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 from ..functions import json as J
 from ..operators import datasets as D
 from ..operators import rewards as W
+from ..operators import rollout as O
 from ..operators import selection as S
 from ..operators import stats
 from ..operators import synthesis as Y
 from ..operators import validators as V
 from ..session import table
 from ..tables import CORPUS, PARAGRAPHS, QUESTIONS, ROLLOUTS, STEPS, corpus, paragraphs, questions, rollouts, steps
+from .retrieval import _BASE as _BM25
 from .evaluation import _ARMS, _F1, _PAIRS, _SCORED, _arms, _pairs
 
 _STORED = {"v096": W.provenance(), "v098-answer-v1": W.provenance("v098-answer-v1"), "v102-oversearch-zero": W.provenance("v102-oversearch-zero", over_search=0.0), "unknown": '{"Mystery": {}}'}
@@ -196,7 +198,48 @@ def rl_collection_metrics(spark, sf):
     return one.crossJoin(F.broadcast(s.agg(F.round(F.count_if(whole) / F.greatest(F.count("*"), F.lit(1)), 6).alias("logprob_completeness"), F.round(F.avg(F.size("ids")), 6).alias("mean_tokens"))))
 
 
-QUERIES = {f.__name__: f for f in (reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
+def wavefront_rollouts(spark, sf):
+    """Episodes of all questions under the script, in waves."""
+    r = O.rollouts(questions(spark, sf), corpus(spark, sf), O.Scripted())
+    return r.select("qid", "reason", F.size("queries").cast("long").alias("searches"), "answer", F.array_join(F.get("results", F.lit(0)), ",").alias("first"))
+
+
+def review_pool(spark, sf):
+    """Lines of an order as reviews by two reviewers, later lines being retries: approvals and shared labels."""
+    line = table(spark, sf, "lineitem")
+    r = line.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") % 2).alias("reviewer"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("attempt"), F.when(F.col("l_quantity") > 10, "approve").otherwise("reject").alias("verdict"), F.array_distinct(F.array("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 3).cast("string"))).alias("labels"))
+    return S.review_pool(r).select("id", "approved", F.array_join("labels", ",").alias("labels"))
+
+
+def smallest_cohort(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.array_compact(F.array("lang", "source")).alias("labels"))
+    found = S.smallest_cohort(d, "doc_id", "labels", "sc", {"es": 8, "fr": 8, "de": 8}, range(20, 60, 4))
+    return found if found is not None else d.limit(0).select(F.lit(0).cast("long").alias("place"), "doc_id")
+
+
+def failure_decomposition(spark, sf):
+    """A frozen pool by reason, correctness and searches: counts, and shares of all and of the reason."""
+    g = rollouts(spark, sf).groupBy("reason", "correct", F.least("searches", F.lit(3)).alias("searches")).agg(F.count("*").alias("n"))
+    share = lambda *by: F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 6)
+    return g.withColumn("of_reason", share("reason")).withColumn("of_all", share(F.lit(1)))
+
+
+def engineering_acceptance(spark, sf):
+    """A ledger of orders against its cases: every rule with its violations."""
+    o = table(spark, sf, "orders")
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("calls"), F.count_distinct("l_linenumber").alias("places"))
+    j = o.join(n, "o_orderkey", "left")
+    return D.constraints(j, has_calls=F.col("calls") > 0, calls_within_budget=F.col("calls") <= 6, no_call_twice=F.col("calls") == F.col("places"), charged=F.col("o_totalprice") > 0, known_state=F.col("o_orderstatus").isin("F", "O", "P"))
+
+
+def ablation_manifest(spark, sf):
+    """Three arms of an experiment over the same tasks, each with a fingerprint of its settings."""
+    arms = [("base", 1.0, -0.2), ("no_over_search", 1.0, 0.0), ("half_exact", 0.5, -0.2)]
+    config = F.to_json(F.struct(F.col("arm"), F.col("exact"), F.col("over"), F.lit(42).alias("seed"), F.col("tasks")))
+    return spark.createDataFrame(arms, "arm string, exact double, over double").crossJoin(F.broadcast(questions(spark, sf).agg(F.count("*").alias("tasks")))).withColumn("fingerprint", F.sha2(config, 256))
+
+
+QUERIES = {f.__name__: f for f in (wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
@@ -207,6 +250,17 @@ def _pick(x: str, values) -> str:
 
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
 ORACLES = {
+    "wavefront_rollouts": f"""{_BM25}, f AS (SELECT qid, list(id ORDER BY rank) AS ids FROM ranked WHERE rank <= 3 GROUP BY qid),
+t AS (SELECT qid FROM questions)
+SELECT q.qid, CASE q.qid % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'repeated_action' WHEN 2 THEN 'invalid_action' ELSE 'max_steps' END AS reason, CASE q.qid % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 5 END::BIGINT AS searches,
+CASE WHEN q.qid % 4 = 0 THEN coalesce(ids[1], 'nothing') END AS answer, CASE WHEN q.qid % 4 <> 2 THEN coalesce(array_to_string(ids, ','), '') END AS first FROM questions q LEFT JOIN f ON f.qid = q.qid""",
+    "review_pool": """WITH r AS (SELECT l_orderkey AS id, l_linenumber % 2 AS w, arg_max({'v': l_quantity > 10, 'l': list_distinct([l_returnflag, l_linestatus, (l_suppkey % 3)::VARCHAR])}, (l_linenumber, l_partkey, l_suppkey, l_quantity)) AS r FROM lineitem GROUP BY ALL),
+g AS (SELECT id, count(*) = 2 AND bool_and(r.v) AS approved, list_intersect(arg_min(r.l, w), arg_max(r.l, w)) AS l FROM r GROUP BY id) SELECT id, approved, CASE WHEN approved THEN array_to_string(list_sort(l), ',') END AS labels FROM g""",
+    "failure_decomposition": f"{_BASE}, g AS (SELECT reason, correct, least(searches, 3)::BIGINT AS searches, count(*) AS n FROM rollouts GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY reason), 6) AS of_reason, round(n / sum(n) OVER (), 6) AS of_all FROM g",
+    "engineering_acceptance": """WITH n AS (SELECT l_orderkey, count(*) AS calls, count(DISTINCT l_linenumber) AS places FROM lineitem GROUP BY 1), j AS (SELECT * FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
+v AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(calls > 0, false)) AS has_calls, count(*) FILTER (WHERE NOT coalesce(calls <= 6, false)) AS calls_within_budget, count(*) FILTER (WHERE NOT coalesce(calls = places, false)) AS no_call_twice, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) AS charged, count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN ('F', 'O', 'P'), false)) AS known_state FROM j)
+SELECT rule, n AS rows, violations, violations = 0 AS passed FROM v UNPIVOT (violations FOR rule IN (has_calls, calls_within_budget, no_call_twice, charged, known_state))""",
+    "ablation_manifest": """SELECT arm, exact::DOUBLE AS exact, over::DOUBLE AS over, n AS tasks, sha256('{"arm":"' || arm || '","exact":' || e || ',"over":' || o || ',"seed":42,"tasks":' || n || '}') AS fingerprint FROM (SELECT count(*) AS n FROM benchmark), (VALUES ('base', 1.0, -0.2, '1.0', '-0.2'), ('no_over_search', 1.0, 0.0, '1.0', '0.0'), ('half_exact', 0.5, -0.2, '0.5', '-0.2')) a(arm, exact, over, e, o)""",
     "reward_versions": f"""WITH {_PAIRS}, {_SCORED}, f AS (SELECT s.*, text, {_NORM.format('said')} = {_NORM.format('gold')} AS exact, {_NORM.format('said')} AS ns, CASE WHEN array_to_string(b, ' ') IN ('yes', 'no') THEN CAST(a = b AS DOUBLE) ELSE {_F1} END AS f1 FROM s JOIN benchmark ON item_id = case_id),
 t AS (SELECT case_id, CASE WHEN exact THEN 1.0 ELSE 0 END + CASE WHEN case_id % 2 = 0 THEN 0.2 ELSE 0.1 END - 0.03 * (case_id % 3) - CASE WHEN case_id % 4 = 0 THEN 0.25 ELSE 0 END - CASE WHEN case_id % 3 = 0 AND NOT exact THEN 0.1 ELSE 0 END - 0.2 * (case_id % 2) AS rest,
   CASE WHEN ns <> '' AND case_id % 3 <> 0 AND contains({_NORM.format('text')}, ns) THEN 0.2 ELSE 0 END AS ev, CASE WHEN ns <> '' AND case_id % 4 <> 0 THEN 0.2 * f1 ELSE 0 END AS fs FROM f)

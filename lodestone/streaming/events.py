@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import write_report
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -59,6 +61,21 @@ def drained(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     return rows.drop("batch")
 
 
+def with_report(stream: DataFrame, path: str, by: str) -> None:
+    """Run an append stream over all that is there; after each batch ``report.json`` tells how far it came and counts the rows so far by a column.
+
+    A batch's counts replace those of a try before it, so a restart neither loses nor doubles any.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.groupBy(by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts/batch={n}")
+        sums = spark.read.parquet(f"{path}/counts").groupBy(by).agg(F.sum("n").alias("n")).collect()
+        write_report(spark, {"status": "running", "batches": n + 1, "rows": sum(r["n"] for r in sums), "counts": {str(r[by]): r["n"] for r in sorted(sums, key=lambda r: str(r[by]))}}, f"{path}/report.json")
+
+    run(stream, "append", put, path)
+
+
 def run(stream: DataFrame, mode: str, put: Callable[[DataFrame, int], None], path: str) -> None:
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

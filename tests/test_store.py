@@ -56,3 +56,30 @@ def test_digests_of_long_files(spark, tmp_path):
     for most in (1 << 30, 4_000):
         got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in readers.file_digests(spark, str(tmp_path), most).collect()}
         assert got == want
+
+
+def test_running_report(spark, tmp_path):
+    from lodestone.streaming import events as E
+
+    source = tmp_path / "in"
+    rows = lambda *r: spark.createDataFrame([(i, t) for i, t in r], "event_id long, event_type string").selectExpr("event_id", "current_timestamp() AS ts", "1L AS user_id", "event_type", "1.0D AS value", "'{}' AS props")
+    rows((1, "a"), (2, "b")).coalesce(1).write.parquet(str(source / "events1.parquet"))
+    stream = lambda: E.event_stream(spark, str(source), "part*.parquet").select("event_id", "event_type")
+    source2 = spark.readStream.schema(E.SCHEMA).option("recursiveFileLookup", True).parquet(str(source)).select("event_id", "event_type")
+    E.with_report(source2, str(tmp_path / "out"), "event_type")
+    rows((3, "a")).coalesce(1).write.parquet(str(source / "events2.parquet"))
+    E.with_report(source2, str(tmp_path / "out"), "event_type")
+    report = json.loads((tmp_path / "out/report.json").read_text())
+    assert report == {"status": "running", "batches": 2, "rows": 3, "counts": {"a": 2, "b": 1}} and stream().isStreaming
+
+
+def test_waves(spark):
+    from lodestone.operators import rollout as O
+
+    corpus = spark.createDataFrame([("1", "red fox", "the red fox runs far"), ("2", "blue whale", "a blue whale swims deep")], "id string, title string, text string")
+    tasks = spark.createDataFrame([(0, "red fox"), (1, "blue whale"), (2, "x"), (3, "fox"), (4, "nothing of it zzz")], "qid long, question string")
+    got = {r["qid"]: r for r in O.rollouts(tasks, corpus, O.Scripted(), max_steps=3).collect()}
+    assert [got[q]["reason"] for q in range(5)] == ["answer", "repeated_action", "invalid_action", "max_steps", "answer"]
+    assert got[0]["answer"] == "1" and got[4]["answer"] == "nothing" and got[3]["queries"] == ["fox 0", "fox 1", "fox 2"] and got[1]["results"] == [["2"]]
+    mended = O.rollouts(tasks.filter("qid = 1"), corpus, O.Scripted(), max_steps=3, repairs=1).first()
+    assert mended["reason"] == "repeated_action" and len(mended["queries"]) == 2
