@@ -355,7 +355,7 @@ def linked(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, chunk:
     links = checkpointed(_joined(members, sets, num, den, ["token", "part"]))
     found = checkpointed(components(links))
     # 4b. rarest-first groups by size that hold several components, all pairs of chunks
-    step = math.log(den / num) * (1 + 1e-9)  # of linked sets, the larger is in the class of the smaller or in the next one
+    step = max(math.log(den / num), 1e-3) * (1 + 1e-9)  # of linked sets, the larger is in the class of the smaller or in the next one
     labelled = sets.filter("path is not null").select("id", F.floor(F.log("n") / step).cast("int").alias("level"), "groups").join(others, "id", "left_anti")
     labelled = labelled.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "level", "groups")
     sided = F.inline(F.array(*[F.struct((F.col("level") - below).cast("int").alias("level"), F.lit(side).alias("side")) for below, side in ((0, 2), (1, 1))]))
