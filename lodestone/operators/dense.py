@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.structure import row_sums
+from ..scratch import written
+from ..sources.sinks import upsert
 from . import datasets as D
 from . import retrieval as R
 
@@ -145,3 +147,12 @@ def metadata(spark: SparkSession, path: str, mode: str) -> dict:
     """What a search in a mode rests on."""
     said = manifest(spark, path)
     return {"retriever": mode, "corpus": said["identity"]["corpus"], "index": said["digest"] if mode != "bm25-v2" else None, "candidates": R.CANDIDATES, "rrf_k": R.RRF_K if mode == "hybrid-rrf-v1" else None}
+
+
+def served(corpus: DataFrame, vectors: DataFrame, questions: DataFrame, encoder: Encoder, path: str, ledger: str, mode: str = "hybrid-rrf-v1", k: int = 3) -> DataFrame:
+    """The search's rows, written once, after a batch of the ledger has taken one row for each question: its digest, what it got, and what the search rested on."""
+    found = written(search(corpus, vectors, questions, encoder, mode, k))
+    got = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    said = json.dumps(metadata(corpus.sparkSession, path, mode), sort_keys=True)
+    upsert(questions.join(got, "qid", "left").select("qid", F.sha2("question", 256).alias("question_sha256"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"), F.lit(said).alias("metadata")), ledger)
+    return found

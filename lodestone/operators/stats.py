@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import md5_mod
+from ..scratch import written
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 
@@ -22,35 +24,70 @@ def rate(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
+def prefix_sums(df: DataFrame, name: str, value: Column, order: str, *by: str) -> DataFrame:
+    """The rows with ``name``, the sum of ``value`` over the rows of the same ``by`` that come before in a total order.
+
+    Rows are dealt out by ranges of (by, order) and stored; a range adds up its own rows, and what stands before a range
+    is a sum over ranges, so no key's rows meet in one task.
+    """
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")).alias(f"_by{n}") for n, c in enumerate(by)]
+    names = [f"_by{n}" for n in range(len(by))]
+    rows = df.select("*", *keys, value.alias("_v")).repartitionByRange(*names, order)
+    rows = written(rows.withColumn("_p", F.spark_partition_id()))
+    parts = rows.groupBy(*names, "_p").agg(F.sum("_v").alias("_t"))  # as many as there are ranges and keys
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*names, "_p", before.alias("_before"))
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy(*names, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(parts, [*names, "_p"]).withColumn(name, F.col("_before") + F.col("_own")).select(*df.columns, name)
+
+
+def running_counts(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, column, c, upto, n): each value of a group with its rows, the rows up to it, and the group's rows; nulls are left out."""
+    c = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
+    sums = prefix_sums(c, "upto", F.col("c"), column, *by).withColumn("upto", F.col("upto") + F.col("c"))
+    return _beside(sums, sums.groupBy(*by).agg(F.max("upto").alias("n")), by).select(*by, column, "c", "upto", "n")
+
+
+def _beside(df: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The rows with the columns of their group, null keys being keys too."""
+    groups = groups.withColumnsRenamed({x: f"_of_{x}" for x in by})
+    same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"_of_{x}")) for x in by], F.lit(True))
+    return df.join(groups, same, "left")
+
+
+def _at(column: str, place: Column) -> Column:
+    """The value at a place (from 0) of the group's sorted rows, over running counts."""
+    return F.min(F.when(F.col("upto") > place, F.col(column)))
+
+
+def _linear(column: str, q: float) -> Column:
+    place = (F.col("n") - 1) * q
+    part = F.max(place - F.floor(place))
+    return _at(column, F.floor(place)) * (1 - part) + _at(column, F.ceil(place)) * part
+
+
 def distribution(df: DataFrame, column: str, *by: str) -> DataFrame:
     """count, missing, sum, mean, least, greatest and exact linear percentiles of the finite values of each group."""
-    x = finite(F.col(column).cast("double"))
-    p = F.percentile(x, F.array(*[F.lit(q) for q in QUANTILES]))
-    aggs = [F.count(x).alias("count"), (F.count("*") - F.count(x)).alias("missing"), F.round(F.sum(x), 4).alias("sum"), F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), p.alias("p")]
-    found = df.groupBy(*by).agg(*aggs)
-    return found.select(*by, "count", "missing", "sum", "mean", "min", "max", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{int(q * 100)}") for i, q in enumerate(QUANTILES)])
+    rows = df.select(*by, finite(F.col(column).cast("double")).alias("x"))
+    found = rows.groupBy(*by).agg(F.count("x").alias("count"), (F.count("*") - F.count("x")).alias("missing"), F.round(F.sum("x"), 4).alias("sum"), F.round(F.avg("x"), 6).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    p = running_counts(rows, "x", *by).groupBy(*by).agg(*[F.round(_linear("x", q), 6).alias(f"p{int(q * 100)}") for q in QUANTILES])
+    names = ["count", "missing", "sum", "mean", "min", "max", *[f"p{int(q * 100)}" for q in QUANTILES]]
+    return _beside(found, p, by).select(*by, *names)
 
 
 def percentile_conventions(df: DataFrame, column: str, by: str, q: float = 0.95) -> DataFrame:
     """One percentile three ways: linear, by floor index of (n - 1) q, by nearest rank ceil(q n).
 
-    Equal values are counted first and the rest is found by running counts, so a group's rows never meet in one row.
+    Equal values are counted first and the rest is found by running counts, so a group's rows never meet in one row or task.
     """
-    c = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(by).orderBy(column)
-    c = c.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
     place = (F.col("n") - 1) * q
-    g = c.groupBy(by).agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), at(F.ceil(F.col("n") * q) - 1).alias("nearest_rank"), F.max(place - F.floor(place)).alias("part"))
-    return g.select(by, F.round(F.col("low") * (1 - F.col("part")) + F.col("high") * F.col("part"), 6).alias("linear"), F.col("low").alias("floor_index"), "nearest_rank")
+    g = running_counts(df, column, by).groupBy(by)
+    return g.agg(F.round(_linear(column, q), 6).alias("linear"), _at(column, F.floor(place)).alias("floor_index"), _at(column, F.ceil(F.col("n") * q) - 1).alias("nearest_rank"))
 
 
 def order_statistics(df: DataFrame, column: str, by: str) -> DataFrame:
     """(by, p50, p95): the value at (n - 1) div 2 and by nearest rank, over running counts of equal values."""
-    c = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("c"))
-    c = c.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(column)))
-    return c.groupBy(by).agg(at(F.floor((F.col("n") - 1) / 2)).alias("p50"), at(F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
+    return running_counts(df, column, by).groupBy(by).agg(_at(column, F.floor((F.col("n") - 1) / 2)).alias("p50"), _at(column, F.ceil(F.col("n") * 0.95) - 1).alias("p95"))
 
 
 def compared_probes(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Protocol checks as arrays of error codes: references, candidates, selections, reviews, training rows, frozen sets."""
+"""Protocol checks as arrays of error codes: references, candidates, selections, reviews, training rows, frozen sets.
+
+The codes, field names and bounds are fixed values of the protocol.
+"""
 
 from __future__ import annotations
 
@@ -127,6 +130,14 @@ def frozen_cases(cases: DataFrame, count: int = 120, conditions: tuple[str, ...]
     return cases.agg(F.count("*").alias("cases"), (F.count("*") == count).alias("size_right"), (F.array_sort(F.collect_set("condition")) == wanted).alias("conditions_right"), (F.count_distinct("case_id") == F.count("*")).alias("ids_unique"))
 
 
+def packet_faults(packets: DataFrame, records: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """(key, fault) of packets against their records, field by field in order: ok, record_missing, record_twice, packet_missing or ``<field>_differs``."""
+    r = records.groupBy(key).agg(F.count("*").alias("_n"), *[F.max(there).alias(f"_r{n}") for n, there in enumerate(fields.values())])
+    j = packets.withColumn("_p", F.lit(True)).join(r, key, "full_outer")
+    differs = [F.when(~F.col(here).eqNullSafe(F.col(f"_r{n}")), f"{here}_differs") for n, here in enumerate(fields)]
+    return j.select(key, F.coalesce(F.when(F.col("_p").isNull(), "packet_missing"), F.when(F.col("_n").isNull(), "record_missing"), F.when(F.col("_n") > 1, "record_twice"), *differs, F.lit("ok")).alias("fault"))
+
+
 def archive_errors(names: list[str], forbidden: tuple[str, ...] = FORBIDDEN) -> list[str]:
     """Of an archive's member names, before anything is unpacked: absolute or climbing paths, drives, sealed parts, names that meet without case."""
     errors, seen = [], set()

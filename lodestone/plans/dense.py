@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dense as V
 from ..operators import retrieval as R
-from ..scratch import scratch
+from ..scratch import _made, scratch
 from ..tables import CORPUS, QRELS, QUESTIONS, corpus, qrels, questions
 from .retrieval import _RECALL, _bm25, tok
 
@@ -19,6 +19,7 @@ def _index(spark, sf):
     c = corpus(spark, sf)
     path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
     V.build_index(c, path, ENCODER)
+    _made.append((spark, path))
     return c, path
 
 

@@ -239,7 +239,31 @@ def ablation_manifest(spark, sf):
     return spark.createDataFrame(arms, "arm string, exact double, over double").crossJoin(F.broadcast(questions(spark, sf).agg(F.count("*").alias("tasks")))).withColumn("fingerprint", F.sha2(config, 256))
 
 
-QUERIES = {f.__name__: f for f in (wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
+def training_ledger_metrics(spark, sf):
+    """A ledger of physical updates (orders) by shard (status): logical ones are the last of each customer; retries, mixed groups, histogram."""
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderkey")
+    last = o.groupBy("o_orderstatus", "o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("p"), F.count("*").alias("tries"), (F.min("o_orderpriority") != F.max("o_orderpriority")).alias("mixed"))
+    g = last.groupBy("o_orderstatus").agg(F.sum("tries").alias("physical"), F.count("*").alias("logical"), F.count_if(F.col("tries") > 1).alias("retried"), F.count_if("mixed").alias("mixed"))
+    h = last.groupBy("o_orderstatus", "p").agg(F.count("*").alias("c")).groupBy("o_orderstatus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: F.concat_ws("=", x["p"], x["c"].cast("string"))), ",").alias("histogram"))
+    return g.join(h, "o_orderstatus")
+
+
+def third_search(spark, sf):
+    """Rollouts of at least three searches by reason: how often the third found a document that the first two had not."""
+    s = steps(spark, sf).filter("action = 'search'").withColumn("n", F.row_number().over(Window.partitionBy("rollout_id").orderBy("step"))).filter("n <= 3")
+    g = s.groupBy("rollout_id").agg(F.collect_set(F.when(F.col("n") < 3, F.col("found"))).alias("had"), F.max(F.when(F.col("n") == 3, F.col("found"))).alias("third"), F.max("n").alias("n")).filter("n = 3")
+    new = F.col("third").isNotNull() & ~F.array_contains("had", F.col("third"))
+    return g.join(rollouts(spark, sf).select("rollout_id", "reason", "correct"), "rollout_id").groupBy("reason").agg(F.count("*").alias("n"), F.count_if(new).alias("new"), F.count_if(new & F.col("correct")).alias("new_and_correct"))
+
+
+def packet_record_check(spark, sf):
+    """Review packets (orders) against their records (a copy, in which some states, customers or rows differ): the first fault of each."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    r = o.filter("o_orderkey % 11 <> 0").select("o_orderkey", (F.col("o_custkey") + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).alias("customer"), F.when(F.col("o_orderkey") % 7 == 0, "?").otherwise(F.col("o_orderstatus")).alias("state"))
+    return V.packet_faults(o, r, "o_orderkey", {"o_custkey": "customer", "o_orderstatus": "state"}).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
@@ -250,6 +274,13 @@ def _pick(x: str, values) -> str:
 
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
 ORACLES = {
+    "training_ledger_metrics": """WITH l AS (SELECT o_orderstatus, o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p, count(*) AS tries, min(o_orderpriority) <> max(o_orderpriority) AS mixed FROM orders GROUP BY ALL),
+h AS (SELECT o_orderstatus, string_agg(p || '=' || c, ',' ORDER BY p) AS histogram FROM (SELECT o_orderstatus, p, count(*) AS c FROM l GROUP BY ALL) GROUP BY 1)
+SELECT l.o_orderstatus, CAST(sum(tries) AS BIGINT) AS physical, count(*) AS logical, count(*) FILTER (WHERE tries > 1) AS retried, count(*) FILTER (WHERE mixed) AS mixed, any_value(histogram) AS histogram FROM l JOIN h USING (o_orderstatus) GROUP BY 1""",
+    "third_search": f"""{_BASE}, s AS (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY step) AS n FROM steps WHERE action = 'search'),
+g AS (SELECT rollout_id, coalesce(list(found) FILTER (WHERE n < 3 AND found IS NOT NULL), []) AS had, max(found) FILTER (WHERE n = 3) AS third FROM s GROUP BY rollout_id HAVING max(n) >= 3),
+j AS (SELECT reason, correct, third IS NOT NULL AND NOT list_contains(had, third) AS new FROM g JOIN rollouts USING (rollout_id)) SELECT reason, count(*) AS n, count(*) FILTER (WHERE new) AS new, count(*) FILTER (WHERE new AND correct) AS new_and_correct FROM j GROUP BY reason""",
+    "packet_record_check": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'record_missing' WHEN o_orderkey % 5 = 0 THEN 'o_custkey_differs' WHEN o_orderkey % 7 = 0 THEN 'o_orderstatus_differs' ELSE 'ok' END AS fault, count(*) AS n FROM orders GROUP BY 1""",
     "wavefront_rollouts": f"""{_BM25}, f AS (SELECT qid, list(id ORDER BY rank) AS ids FROM ranked WHERE rank <= 3 GROUP BY qid),
 t AS (SELECT qid FROM questions)
 SELECT q.qid, CASE q.qid % 4 WHEN 0 THEN 'answer' WHEN 1 THEN 'repeated_action' WHEN 2 THEN 'invalid_action' ELSE 'max_steps' END AS reason, CASE q.qid % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 5 END::BIGINT AS searches,

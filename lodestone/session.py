@@ -23,9 +23,9 @@ def session(app: str = "lodestone", cores: str | int = "*", **conf: str) -> Spar
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan in at least as many parts as the session has cores: a table of few files or row groups is dealt out once, a large one is left."""
+    """A scan of a small table dealt out to all cores, if its splits would leave half of them idle; a larger one is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.stats import prefix_sums
 from ..scratch import written
 from .readers import guarded
 
@@ -108,13 +109,12 @@ def budget_states(calls: DataFrame, total: float, stage_caps: dict[str, float])
     cached: the key was completed before; pending or unknown: it was reserved before without an end; over_stage and
     over_total: the reservation would pass a cap; else accepted.
     """
-    before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    stage = Window.partitionBy("stage").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce("charged", "reserved")
     caps = F.create_map(*[F.lit(x) for pair in stage_caps.items() for x in pair])
+    sums = prefix_sums(prefix_sums(calls, "_spent", spent, "seq"), "_stage_spent", spent, "seq", "stage")
     verdict = (
         F.when(F.max((F.col("status") == "done").cast("int")).over(same) == 1, "cached").when(F.max((F.col("status") != "done").cast("int")).over(same) == 1, "pending")
-        .when(F.coalesce(F.sum(spent).over(stage), F.lit(0.0)) + F.col("reserved") > caps[F.col("stage")], "over_stage").when(F.coalesce(F.sum(spent).over(before), F.lit(0.0)) + F.col("reserved") > total, "over_total").otherwise("accepted")
+        .when(F.col("_stage_spent") + F.col("reserved") > caps[F.col("stage")], "over_stage").when(F.col("_spent") + F.col("reserved") > total, "over_total").otherwise("accepted")
     )
-    return calls.select("seq", "key", "stage", verdict.alias("verdict"))
+    return sums.select("seq", "key", "stage", verdict.alias("verdict"))

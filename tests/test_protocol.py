@@ -144,3 +144,40 @@ def test_first_feasible_like_all_subsets(spark):
         assert S.first_feasible(risks, count, need) == want
     df = spark.createDataFrame([("s", i, ["a"] if i % 3 == 0 else ["b", "b"]) for i in range(6)] + [("t", 9, ["a"])], "s string, i long, l array<string>")
     assert [x["i"] for x in S.risk_subsets(df, "s", "i", "i", "l", 3, {"a": 2, "b": 2}).orderBy("i").collect()] == [0, 1, 3]
+
+
+def test_smallest_cohort_and_bounded_scans(spark):
+    r = random.Random(8)
+    rows = [(i, r.sample(["a", "b", "c"], r.randrange(1, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, labels array<string>")
+    gates = {"a": 9, "b": 9, "c": 9}
+    chosen = S.smallest_cohort(df, "id", "labels", "s", gates, range(4, 40, 3))
+    own = dict(rows)
+    reached = lambda ids: all(sum(g in own[i] for i in ids) >= n for g, n in gates.items())
+    ids = [x["id"] for x in chosen.collect()]
+    assert reached(ids) and len(ids) == len(set(ids))
+    assert not any(reached([x["id"] for x in S.balanced(df, "id", "labels", "s", n, gates).collect()]) for n in range(4, len(ids), 3))
+    assert S.smallest_cohort(df, "id", "labels", "s", {"a": 61}, range(4, 40, 9)) is None
+    one = df.coalesce(1).orderBy("id")
+    assert [x["id"] for x in S.bounded_scan(one, F.array_contains("labels", "a"), 5, 20).orderBy("id").collect()] == [i for i, x in rows[:20] if "a" in x][:5]
+
+
+def test_text_queries_by_hand(spark):
+    import unicodedata
+
+    from lodestone.operators import datasets as D
+
+    texts = ["Ｆｕｌｌ width  Äpfel_und ß!", "full WIDTH äpfel und SS", None, "①②"]
+    got = {r["i"]: r["question_key"] for r in D.nfkc_key(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t").collect()}
+    plain = lambda x: " ".join("".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFKC", x or "").casefold()).split())
+    assert got == {i: plain(t) for i, t in enumerate(texts)} and got[0] == got[1]
+    body, quote = "the quick brown fox jumps over the lazy dog", "quikc brown fox jumps"
+    (found,) = D.quote_repairs(spark.createDataFrame([(1, quote, body)], "id long, quote string, body string")).collect()
+    best = max(range(len(body) - len(quote) + 1), key=lambda at: sum(a == b for a, b in zip(body[at : at + len(quote)], quote, strict=True)))
+    assert found["start"] == best and found["found"] == body[best : best + len(quote)] and 0.8 < found["ratio"] < 1
+
+
+def test_review_pools(spark):
+    rows = [(1, "x", 0, "reject", ["a"]), (1, "x", 1, "approve", ["a", "b"]), (1, "y", 0, "approve", ["b", "c"]), (2, "x", 0, "approve", ["a"]), (3, "x", 0, "approve", []), (3, "y", 0, "reject", ["a"])]
+    got = S.review_pool(spark.createDataFrame(rows, "id long, reviewer string, attempt int, verdict string, labels array<string>")).orderBy("id").collect()
+    assert [(r["approved"], r["labels"]) for r in got] == [(True, ["b"]), (False, None), (False, None)]
