@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.structure import with_offsets
 from ..operators import datasets as D
 from ..operators.retrieval import few
 from ..operators.selection import disjoint_rounds
@@ -245,8 +246,8 @@ def quote_repair(spark, sf):
 def interval_classification(spark, sf):
     """Words of an item against the character span [40, 80): inside, outside or straddling."""
     w = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
-    at = F.transform("w", lambda x, i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda s, y: s + F.length(y) + 1))
-    e = w.select("item_id", F.explode(F.zip_with("w", at, lambda x, a: F.struct(a.alias("a"), (a + F.length(x)).alias("b")))).alias("x"))
+    e = w.select("item_id", F.posexplode(with_offsets(F.col("w"))).alias("i", "p"))  # a space stands behind each word before
+    e = e.select("item_id", F.struct((F.col("p.start") + F.col("i")).alias("a"), (F.col("p.end") + F.col("i")).alias("b")).alias("x"))
     kind = F.when((F.col("x.a") >= 40) & (F.col("x.b") <= 80), "inside").when((F.col("x.b") <= 40) | (F.col("x.a") >= 80), "outside").otherwise("straddling")
     return e.groupBy("item_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ from ..functions import structure as X
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import retrieval as R
+from ..scratch import written
 from ..session import table
 from ..tables import CORPUS, QUESTIONS, ROLLOUTS, STEPS, corpus, questions, rollouts, steps
 from .evaluation import _F1, _common, _plain
@@ -90,8 +91,8 @@ def first_visible_step(spark, sf):
 def excerpt_windows(spark, sf):
     """The best window of 24 tokens of each question's best document."""
     c, q = corpus(spark, sf), questions(spark, sf)
-    best = R.bm25_search(c, q, 1, boost=False).select("qid", "id")
-    j = c.select("id", T.tokens(F.col("text")).alias("w")).join(F.broadcast(best), "id").join(q.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("q")), "qid")
+    best = written(R.bm25_search(c, q, 1, boost=False).select("qid", "id"))
+    j = c.select("id", T.tokens(F.col("text")).alias("w")).join(R.few(best), "id").join(q.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("q")), "qid")
     b = X.best_excerpt(F.col("w"), F.col("q"), 24)
     return j.select("qid", "id", b.alias("b")).select("qid", "id", F.col("b.distinct").cast("long").alias("distinct_terms"), F.col("b.all").cast("long").alias("all_terms"), (-F.col("b.at")).cast("long").alias("start"))
 
