@@ -130,6 +130,34 @@ def frozen_cases(cases: DataFrame, count: int = 120, conditions: tuple[str, ...]
     return cases.agg(F.count("*").alias("cases"), (F.count("*") == count).alias("size_right"), (F.array_sort(F.collect_set("condition")) == wanted).alias("conditions_right"), (F.count_distinct("case_id") == F.count("*")).alias("ids_unique"))
 
 
+#: Risk labels that a review may give.
+REVIEW_RISKS = ("relation", "time", "measurement", "scope")
+
+
+def stage_review_errors(r: Column, packet: Column) -> Column:
+    """Of a review (packet_sha256, approved, reason, risk_labels, missing_fact, citations: array<struct<stage, document_id, quote>>) of a packet (packet_sha256, action, docs: array<struct<stage, id, text>>).
+
+    An approved answer cites what was visible and nothing else; an approved search cites a document that it newly found.
+    """
+    docs, blank = packet["docs"], lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    legal = lambda c: ~blank(c["quote"]) & F.exists(docs, lambda d: (d["stage"] == c["stage"]) & (d["id"] == c["document_id"]) & F.contains(d["text"], c["quote"]))
+    good = F.filter(r["citations"], lambda c: F.coalesce(legal(c), F.lit(False)))
+    bad = F.transform(F.filter(r["citations"], lambda c: ~F.coalesce(legal(c), F.lit(False))), lambda _: F.lit("illegal_verbatim_citation"))
+    stages = F.array_distinct(F.transform(good, lambda c: c["stage"]))
+    seen = F.transform(F.filter(docs, lambda d: d["stage"] == "visible"), lambda d: d["id"])
+    new = F.exists(good, lambda c: (c["stage"] == "retrieved") & ~F.array_contains(seen, c["document_id"]))
+    always = _codes(F.when(~F.coalesce(r["packet_sha256"] == packet["packet_sha256"], F.lit(False)), "packet_sha256_mismatch"), F.when(r["approved"].isNull(), "missing_boolean_approval"), F.when(blank(r["reason"]), "missing_reason"))
+    risks = _codes(F.when(r["risk_labels"].isNull() | F.exists(r["risk_labels"], lambda x: ~F.coalesce(x.isin(*REVIEW_RISKS), F.lit(False))), "invalid_risk_labels"))
+    answer, search = packet["action"] == "answer", packet["action"] == "search"
+    last = _codes(
+        F.when(answer & (F.coalesce(F.array_join(stages, ","), F.lit("")) != "visible"), "answer_requires_visible_only_citations"), F.when(search & ~F.coalesce(new, F.lit(False)), "search_requires_new_top3_citation"),
+        F.when(search & blank(r["missing_fact"]), "search_requires_missing_fact"), F.when(~F.coalesce(answer | search, F.lit(False)), "unknown_action"),
+    )
+    none = r["citations"].isNull() | (F.size(r["citations"]) == 0)
+    approved = F.concat(risks, F.when(none, F.array(F.lit("missing_citations"))).otherwise(F.concat(bad, last)))
+    return F.when(F.coalesce(r["approved"], F.lit(False)), F.concat(always, approved)).otherwise(always)
+
+
 def packet_faults(packets: DataFrame, records: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, fault) of packets against their records, field by field in order: ok, record_missing, record_twice, packet_missing or ``<field>_differs``."""
     r = records.groupBy(key).agg(F.count("*").alias("_n"), *[F.max(there).alias(f"_r{n}") for n, there in enumerate(fields.values())])

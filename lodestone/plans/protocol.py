@@ -263,7 +263,19 @@ def packet_record_check(spark, sf):
     return V.packet_faults(o, r, "o_orderkey", {"o_custkey": "customer", "o_orderstatus": "state"}).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
+def stage_review_audit(spark, sf):
+    """Reviews of all items' packets, faulty by rule, against the stage-bound citation rules."""
+    n = F.col("item_id")
+    doc = lambda stage, i, text: F.struct(F.lit(stage).alias("stage"), F.lit(i).alias("id"), text.alias("text"))
+    packet = F.struct(F.md5("text").alias("packet_sha256"), F.when(n % 3 == 0, "answer").when(n % 3 == 1, "search").otherwise("run").alias("action"), F.array(doc("visible", "v", F.col("text")), doc("retrieved", "v", F.col("text")), doc("retrieved", "w", F.reverse("text"))).alias("docs"))
+    cite = lambda stage, i, quote: F.struct(F.lit(stage).alias("stage"), F.lit(i).alias("document_id"), quote.alias("quote"))
+    head = F.substring("text", 1, 9)
+    cites = F.when(n % 5 == 0, F.array(cite("visible", "v", head))).when(n % 5 == 1, F.array(cite("retrieved", "w", F.substring(F.reverse("text"), 1, 9)))).when(n % 5 == 2, F.array(cite("retrieved", "v", head), cite("visible", "w", head))).when(n % 5 == 3, F.array(cite("visible", "v", F.lit(" ")))).otherwise(F.array().cast("array<struct<stage:string,document_id:string,quote:string>>"))
+    review = F.struct(F.when(n % 7 == 0, "stale").otherwise(F.md5("text")).alias("packet_sha256"), F.when(n % 8 == 7, None).otherwise(n % 8 != 6).alias("approved"), F.when(n % 11 == 0, " ").otherwise("good").alias("reason"), F.when(n % 4 == 1, F.array(F.lit("mood"))).otherwise(F.array(F.lit("time"))).alias("risk_labels"), F.when(n % 2 == 0, "date").alias("missing_fact"), cites.alias("citations"))
+    return table(spark, sf, "benchmark").select("item_id", review.alias("r"), packet.alias("p")).select("item_id", F.array_join(V.stage_review_errors(F.col("r"), F.col("p")), ",").alias("errors"))
+
+
+QUERIES = {f.__name__: f for f in (stage_review_audit, training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
@@ -274,6 +286,11 @@ def _pick(x: str, values) -> str:
 
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
 ORACLES = {
+    "stage_review_audit": """WITH b AS (SELECT item_id AS n, item_id % 8 < 6 AS ok, item_id % 5 AS c FROM benchmark)
+SELECT n AS item_id, concat_ws(',', CASE WHEN n % 7 = 0 THEN 'packet_sha256_mismatch' END, CASE WHEN n % 8 = 7 THEN 'missing_boolean_approval' END, CASE WHEN n % 11 = 0 THEN 'missing_reason' END,
+CASE WHEN ok AND n % 4 = 1 THEN 'invalid_risk_labels' END, CASE WHEN ok AND c = 4 THEN 'missing_citations' END, CASE WHEN ok AND c IN (2, 3) THEN 'illegal_verbatim_citation' END,
+CASE WHEN ok AND c <> 4 AND n % 3 = 0 AND c <> 0 THEN 'answer_requires_visible_only_citations' END, CASE WHEN ok AND c <> 4 AND n % 3 = 1 AND c <> 1 THEN 'search_requires_new_top3_citation' END,
+CASE WHEN ok AND c <> 4 AND n % 3 = 1 AND n % 2 = 1 THEN 'search_requires_missing_fact' END, CASE WHEN ok AND c <> 4 AND n % 3 = 2 THEN 'unknown_action' END) AS errors FROM b""",
     "training_ledger_metrics": """WITH l AS (SELECT o_orderstatus, o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS p, count(*) AS tries, min(o_orderpriority) <> max(o_orderpriority) AS mixed FROM orders GROUP BY ALL),
 h AS (SELECT o_orderstatus, string_agg(p || '=' || c, ',' ORDER BY p) AS histogram FROM (SELECT o_orderstatus, p, count(*) AS c FROM l GROUP BY ALL) GROUP BY 1)
 SELECT l.o_orderstatus, CAST(sum(tries) AS BIGINT) AS physical, count(*) AS logical, count(*) FILTER (WHERE tries > 1) AS retried, count(*) FILTER (WHERE mixed) AS mixed, any_value(histogram) AS histogram FROM l JOIN h USING (o_orderstatus) GROUP BY 1""",
