@@ -12,7 +12,7 @@ one shuffle of the texts and one of the parts that neighbours take; the order of
 
 Defined cases: a null text is an empty one; a text without words has an empty fingerprint, like another one by 1 and any
 other by 0; a text of fewer than three letters is one k-mer; equal texts have equal fingerprints.  In the order of
-ids nulls stand last; rows of one id follow by digest, and rows that repeat id and text are one document there, each
+ids nulls stand last; rows of one id follow by a digest of id and text, and rows that repeat id and text are one document there, each
 of them with its results; the only document is next to itself; an empty table gives no rows; no other column is read.
 """
 
@@ -106,40 +106,38 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """The frame's rows, range-sorted by (doc_id, digest), with their place from 0: by partition offsets."""
-    in_order = checkpointed(rows.orderBy(F.col("doc_id").asc_nulls_last(), "digest").withColumn("_at", F.monotonically_increasing_id()))
+    """(key, n_chars, place, total): the rows range-sorted by (doc_id, key), numbered from 0 by partition offsets."""
+    in_order = checkpointed(rows.orderBy(F.col("doc_id").asc_nulls_last(), "key").withColumn("_at", F.monotonically_increasing_id()))
     counts = in_order.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()  # one row for each partition
     offsets, total = {}, 0
     for row in sorted(counts, key=lambda r: r["p"]):
         offsets[row["p"]] = total
         total += row["count"]
     if not total:
-        return in_order.select("doc_id", "digest", "n_chars", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total"))
+        return in_order.select("key", "n_chars", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total"))
     start = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
     place = start[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return in_order.select("doc_id", "digest", "n_chars", place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
-
-
-def _fields(text: Column) -> list[Column]:
-    text = F.coalesce(text, F.lit(""))
-    return [text.alias("text"), F.md5(text).alias("digest"), F.length(text).cast("long").alias("n_chars")]
+    return in_order.select("key", "n_chars", place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, print, edited, edited_print, next_print): each document, its text edited by its successor's, and their fingerprints."""
-    fields = docs.select("doc_id", *_fields(F.col("text")))
-    order = checkpointed(_places(fields.select("doc_id", "digest", "n_chars").distinct()))
-    # a row for each document: its own place and size, and its predecessor's, which takes the head of its text
-    after = order.select(((F.col("place") + 1) % F.col("total")).alias("place"), F.col("place").alias("before"), F.col("n_chars").alias("n_before"))
-    wanted = checkpointed(order.select("doc_id", "digest", "place").join(after, "place"))
-    # both sides below read the same columns of it, so that its shuffle is made once
-    fine = fingerprinted(fields.drop("n_chars"), "text", "print")
-    same = (F.col("w.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("w.digest") == F.col("f.digest"))
-    placed = fine.alias("f").join(wanted.hint("shuffle_hash").alias("w"), same).select("f.doc_id", "text", F.length("text").cast("long").alias("n_chars"), "print", "place", "before", "n_before")
-    own = placed.select("place", "doc_id", "n_chars", F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")).alias("head"), "print")
-    given = placed.select(F.col("before").alias("place"), F.substring("text", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("tail"), F.col("print").alias("next_print"))
-    given = given.groupBy("place").agg(F.first(F.struct("tail", "next_print")).alias("g")).select("place", "g.*")
-    met = own.join(given, "place").select("doc_id", "n_chars", "print", F.concat("head", "tail").alias("edited"), "next_print")
+    """(doc_id, n_chars, print, edited, edited_print, next_print): each document, its text edited by its successor's, and their fingerprints.
+
+    Documents meet under a digest of id and text, by which the texts are shuffled once; only the heads that go to
+    predecessors are shuffled again."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))).alias("key"))
+    order = checkpointed(_places(keyed.select("doc_id", "key", F.length("text").cast("long").alias("n_chars")).distinct()))
+    # for each document its predecessor, which takes the head of its text
+    before = order.select(((F.col("place") + 1) % F.col("total")).alias("place"), F.col("key").alias("before"), F.col("n_chars").alias("n_before"))
+    wanted = checkpointed(order.select("key", "place").join(before, "place").drop("place"))
+    # both sides below read the same columns, so that the shuffle is made once
+    placed = fingerprinted(keyed, "text", "print").join(wanted.hint("shuffle_hash"), "key")
+    n = F.length("text").cast("long")
+    own = placed.select("key", "doc_id", n.alias("n_chars"), F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")).alias("head"), "print")
+    given = placed.select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("tail"), F.col("print").alias("next_print"))
+    given = given.groupBy("key").agg(F.first(F.struct("tail", "next_print")).alias("g")).select("key", "g.*")
+    met = own.join(given, "key").select("doc_id", "n_chars", "print", F.concat("head", "tail").alias("edited"), "next_print")
     return fingerprinted(met, "edited", "edited_print")
 
 

@@ -49,7 +49,7 @@ def as_text(cells):
 
 
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(f"{'null' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest()))
     once = list(dict.fromkeys(rows))
     follows = dict(zip(once, once[1:] + once[:1], strict=True))
     out = []
