@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, dense, details, evaluation, protocol, retrieval, sources, trajectory
+from . import context, datasets, dense, details, evaluation, hops, protocol, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol)
+FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol, hops, context)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
