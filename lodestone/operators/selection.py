@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,49 +98,119 @@ def disjoint_rounds(df: DataFrame, key: str, order: str, elements: str, most_rou
     raise RuntimeError("the selection did not end")
 
 
-def quota_disjoint(df: DataFrame, shard: str, order: str, key: str, category: str, elements: str, quotas: dict[str, int], banned: frozenset = frozenset()) -> DataFrame:
+def quota_disjoint(df: DataFrame, shard: str, order: str, key: str, category: str, elements: str, quotas: dict[str, int], banned: frozenset = frozenset(), most_rounds: int = 1000) -> DataFrame:
     """(shard, place, key): rows in order whose category still has room and whose elements are new to the shard and not banned.
 
-    Whether a row fits depends on all that its shard accepted, so a shard is one task; what it holds is bounded by the quotas.
-    """
-
-    def accept(part: pd.DataFrame) -> pd.DataFrame:
-        room, used, out = dict(quotas), set(banned), []
-        for k, c, own in part.sort_values([order, key])[[key, category, elements]].itertuples(index=False):
-            if room.get(c, 0) and used.isdisjoint(own):
-                room[c] -= 1
-                used.update(own)
-                out.append((part[shard].iloc[0], len(out) + 1, k))
-        return pd.DataFrame(out, columns=[shard, "place", key])
-
-    kinds = dict(df.dtypes)
-    return df.select(*dict.fromkeys([shard, order, key, category, elements])).groupBy(shard).applyInPandas(accept, f"{shard} {kinds[shard]}, place long, {key} {kinds[key]}")
+    The walk's answer by rounds.  A row is sure of its room if it is among the first of its category's open and accepted
+    rows, as many as the quota is; it is accepted once it is also the first open row for each of its elements.  Rows that
+    share an element with an accepted one go, and so do a category's rows when its first ones are all accepted.  The
+    first open row of a shard is decided in every round, most rounds decide many; of a group of any size only the first
+    rows of a quota meet in a task.  Keys are unique; a category without a quota has none."""
+    room = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
+    usable = ~F.arrays_overlap("e", F.array(*[F.lit(x) for x in banned])) if banned else F.lit(True)
+    rows = df.filter(F.col(category).isin([c for c, n in quotas.items() if n > 0])).select(F.col(shard).alias("s"), F.struct(F.col(order).alias("by"), F.col(key).alias("key")).alias("o"), F.col(category).alias("c"), F.array_distinct(elements).alias("e")).filter(usable)
+    left, taken = checkpointed(rows.withColumn("room", room[F.col("c")])), None
+    place = F.row_number().over(Window.partitionBy("s", "c").orderBy("o"))
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        pool = left.select("s", "c", "o", "room", F.lit(0).alias("in"))
+        pool = pool if taken is None else pool.unionByName(taken.select("s", "c", "o", "room", F.lit(1).alias("in")))
+        head = checkpointed(pool.withColumn("n", place).filter(F.col("n") <= max(quotas.values())).filter(F.col("n") <= F.col("room")))
+        closed = head.groupBy("s", "c").agg(F.sum("in").alias("in"), F.first("room").alias("room")).filter(F.col("in") == F.col("room")).select("s", "c")
+        open_ = left.join(F.broadcast(closed), ["s", "c"], "left_anti") if taken is not None else left
+        rivals = open_.select("s", "o", F.explode("e").alias("x")).groupBy("s", "x").agg(F.min("o").alias("m"))
+        sure = open_.join(head.filter(F.col("in") == 0).select("s", "o"), ["s", "o"], "left_semi")
+        beaten = sure.select("s", "o", F.explode("e").alias("x")).join(rivals, ["s", "x"]).filter("m <> o").select("s", "o")
+        won = checkpointed(sure.join(beaten, ["s", "o"], "left_anti"))
+        taken = won if taken is None else taken.unionByName(won)
+        used = won.select("s", F.explode("e").alias("x")).distinct()
+        lost = open_.select("s", "o", F.explode("e").alias("x")).join(used, ["s", "x"], "left_semi").select("s", "o").unionByName(won.select("s", "o")).distinct()
+        left = checkpointed(open_.join(lost, ["s", "o"], "left_anti"))
+    else:
+        raise RuntimeError("the selection did not end")
+    taken = left if taken is None else taken
+    return taken.select(F.col("s").alias(shard), F.row_number().over(Window.partitionBy("s").orderBy("o")).cast("long").alias("place"), F.col("o.key").alias(key))
+
+
+def replayed(df: DataFrame, key: str, order: str, elements: str, want: int, most: int, digest: str | None = None) -> DataFrame:
+    """(place, key): a sealed set made again by its own walk: of the first ``most`` rows in order those of at least two
+    elements that share none with an accepted row, up to ``want``.
+
+    An error if there are fewer, or if the SHA-256 of the keys, one a line, is not the given one."""
+    scanned = df.orderBy(order, key).limit(most)
+    fit = disjoint_rounds(checkpointed(scanned.filter(F.size(F.array_distinct(elements)) >= 2).select(key, order, elements)), key, order, elements)
+    first = checkpointed(df.join(fit, key, "left_semi").select(order, key).orderBy(order, key).limit(want).withColumn("place", F.row_number().over(Window.orderBy(order, key)).cast("long")))  # want rows
+    count, own = first.agg(F.count("*"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(key).cast("string").alias("k")))), lambda x: x["k"]), "\n"), 256)).first()
+    if count != want:
+        raise ValueError(f"sealed_set_has_{count}_rows_of_{want}")
+    if digest is not None and own != digest:
+        raise ValueError("sealed_set_digest_mismatch")
+    return first.select("place", key, F.lit(own).alias("digest"))
+
+
+def _reachable(groups: dict[tuple[int, ...], int], count: int, need: tuple[int, ...]) -> bool:
+    """Whether ``count`` rows of signature groups (signature: rows) reach the need: the least rows for each open need, group by group."""
+    if sum(groups.values()) < count:
+        return False
+    least = {need: 0}
+    for signature, rows in groups.items():
+        if not any(signature):
+            continue
+        for open_, used in list(least.items()):
+            for n in range(1, min(rows, count - used) + 1):
+                open_ = tuple(max(0, a - b) for a, b in zip(open_, signature, strict=True))
+                if used + n < least.get(open_, count + 1):
+                    least[open_] = used + n
+    return least.get((0,) * len(need), count + 1) <= count
 
 
 def first_feasible(risks: list[dict[str, int]], count: int, need: dict[str, int]) -> list[int] | None:
-    """The first ``count`` places, in the order of their places, whose risk counts together reach what is needed; None if none do."""
-    names = tuple(need)
+    """The first ``count`` places, in the order of their places, whose risk counts together reach what is needed; None if none do.
 
-    @cache
-    def best(at: int, left: int, open_: tuple[int, ...]) -> tuple[int, ...] | None:
-        if not left:
-            return () if not any(open_) else None
-        if len(risks) - at < left:
-            return None
-        rest = best(at + 1, left - 1, tuple(max(0, n - risks[at].get(r, 0)) for r, n in zip(names, open_, strict=True)))
-        return (at, *rest) if rest is not None else best(at + 1, left, open_)
-
-    found = best(0, count, tuple(need.values()))
-    return None if found is None else list(found)
+    A place is taken as soon as what lies behind it can still reach the rest.  That depends on how many rows of each
+    signature are left, and not on which: no recursion, and after a refusal the signature is passed over until a row
+    is taken, as what lies behind only shrinks."""
+    names = tuple(need)
+    signatures = [tuple(min(r.get(n, 0), need[n]) for n in names) for r in risks]
+    behind: dict[tuple[int, ...], int] = {}
+    for s in signatures:
+        behind[s] = behind.get(s, 0) + 1
+    open_, found, refused = tuple(need.values()), [], set()
+    if not _reachable(behind, count, open_):
+        return None
+    for at, s in enumerate(signatures):
+        if len(found) == count:
+            break
+        behind[s] -= 1
+        if s in refused:
+            continue
+        rest = tuple(max(0, a - b) for a, b in zip(open_, s, strict=True))
+        if _reachable(behind, count - len(found) - 1, rest):
+            found.append(at)
+            open_, refused = rest, set()
+        else:
+            refused.add(s)
+    return found
 
 
 def risk_subsets(df: DataFrame, shard: str, order: str, key: str, labels: str, count: int, need: dict[str, int]) -> DataFrame:
-    """(shard, key) of each shard's first feasible set of ``count`` rows; a shard without one gives no rows.  A shard is a short candidate list."""
+    """(shard, key) of each shard's first feasible set of ``count`` rows; a shard without one gives no rows.
+
+    Of rows with one signature (how often they have each needed label) a first set takes the first ones, so only
+    ``count`` of each signature meet in a shard's task, whatever the shard's size."""
+    per = F.array(*[F.least(F.size(F.filter(labels, _is(name))), F.lit(n)) for name, n in need.items()])
+    rows = df.select(F.col(shard), F.col(order).alias("_o"), F.col(key).alias("_k"), F.coalesce(per, F.array_repeat(F.lit(0), len(need))).alias("_s"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(shard, "_s").orderBy("_o", "_k"))).filter(F.col("_n") <= count)
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([order, key])
-        found = first_feasible([pd.Series(list(x)).value_counts().to_dict() for x in part[labels]], count, need)
-        return part.iloc[found or []][[shard, key]]
+        part = part.sort_values(["_o", "_k"])
+        found = first_feasible([dict(zip(need, x, strict=True)) for x in part["_s"]], count, need)
+        return part.iloc[found or []][[shard, "_k"]].rename(columns={"_k": key})
 
     kinds = dict(df.dtypes)
-    return df.select(*dict.fromkeys([shard, order, key, labels])).groupBy(shard).applyInPandas(choose, f"{shard} {kinds[shard]}, {key} {kinds[key]}")
+    return rows.groupBy(shard).applyInPandas(choose, f"{shard} {kinds[shard]}, {key} {kinds[key]}")
+
+
+def _is(name: str):
+    return lambda x: x == name

@@ -204,7 +204,8 @@ _ASKED = f"asked AS (SELECT qid, ([{', '.join(repr(x) for x in _ASK)}])[qid % {l
 def risk_tags(spark, sf):
     q = F.lower("question")
     tags = F.array_compact(F.array(*[F.when(F.regexp_like(q, F.lit(rf"(^|[^a-z])({p})([^a-z]|$)")), F.lit(k)) for k, p in RISKS.items()]))
-    return _asked(spark, sf).select("qid", F.array_join(F.when(F.size(tags) == 0, F.array(F.lit("relation"))).otherwise(tags), ",").alias("tags"))
+    tags = F.when(F.array_contains(tags, "relation"), tags).otherwise(F.array_append(tags, F.lit("relation")))
+    return _asked(spark, sf).select("qid", F.array_join(tags, ",").alias("tags"))
 
 
 def wording_screen(spark, sf):
@@ -350,7 +351,7 @@ p AS (SELECT shard, seq, states, n, 0::BIGINT AS batch, states AS used FROM g WH
   UNION ALL SELECT g.shard, g.seq, g.states, g.n, CASE WHEN p.used + g.states > 20 THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.used + g.states > 20 THEN g.states ELSE p.used + g.states END FROM p JOIN g ON g.shard = p.shard AND g.n = p.n + 1)
 SELECT shard, seq, states, batch FROM p""",
     "question_ngrams": f"WITH {QUESTIONS}, t AS (SELECT qid, {tok('question')} AS t FROM questions) SELECT DISTINCT qid, array_to_string(t[i : i + n - 1], ' ') AS ngram FROM (SELECT qid, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, (SELECT unnest([2, 3, 4]) AS n))",
-    "risk_tags": f"WITH {QUESTIONS}, {_ASKED}, q AS (SELECT qid, lower(question) AS q FROM asked), t AS (SELECT qid, list_filter([" + ", ".join(f"CASE WHEN {_word(p)} THEN '{k}' END" for k, p in RISKS.items()) + "], lambda x: x IS NOT NULL) AS t FROM q) SELECT qid, CASE WHEN len(t) = 0 THEN 'relation' ELSE array_to_string(t, ',') END AS tags FROM t",
+    "risk_tags": f"WITH {QUESTIONS}, {_ASKED}, q AS (SELECT qid, lower(question) AS q FROM asked), t AS (SELECT qid, list_filter([" + ", ".join(f"CASE WHEN {_word(p)} THEN '{k}' END" for k, p in RISKS.items()) + "], lambda x: x IS NOT NULL) AS t FROM q) SELECT qid, array_to_string(CASE WHEN list_contains(t, 'relation') THEN t ELSE list_append(t, 'relation') END, ',') AS tags FROM t",
     "wording_screen": f"""WITH {QUESTIONS}, {_ASKED}, q AS (SELECT qid, lower(trim(question)) AS q FROM asked) SELECT qid, CASE WHEN length(q) < 24 OR NOT ends_with(q, '?') OR length(regexp_replace(q, '[^?]', '', 'g')) <> 1 THEN 'malformed_question'
 WHEN {_word(PRONOUNS)} THEN 'unresolved_pronoun_screen' WHEN {_word(NOW)} THEN 'unanchored_time_screen' END AS issue FROM q""",
     "question_category": f"""WITH {QUESTIONS}, {_ASKED}, q AS (SELECT lower(question) AS q FROM asked) SELECT CASE {' '.join(f"WHEN {_word(p)} THEN '{k}'" for k, p in CATEGORIES.items())} ELSE 'unclassified_common_attribute' END AS category, count(*) AS n FROM q GROUP BY 1""",

@@ -157,6 +157,13 @@ def quota_disjoint_pools(spark, sf):
     return S.quota_disjoint(o.join(line, "o_orderkey"), "o_orderstatus", "o_orderkey", "o_orderkey", "o_orderpriority", "suppliers", quotas)
 
 
+def sealed_set_replay(spark, sf):
+    """The first hundred orders of at least two suppliers that share none, made again among the first 5,000."""
+    line = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_distinct(F.collect_list("l_partkey")).alias("parts"))
+    o = table(spark, sf, "orders").select("o_orderkey").join(line, "o_orderkey")
+    return S.replayed(o.withColumn("place_in", F.col("o_orderkey")), "o_orderkey", "place_in", "parts", 100, 5000)
+
+
 def risk_subset(spark, sf):
     """Per nation, the first six of its suppliers whose labels (by key) reach two of each kind."""
     s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", F.array_compact(F.array(F.when(F.col("s_suppkey") % 2 == 0, F.lit("even")), F.when(F.col("s_suppkey") % 3 == 0, F.lit("third")))).alias("labels"))
@@ -275,7 +282,7 @@ def stage_review_audit(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", review.alias("r"), packet.alias("p")).select("item_id", F.array_join(V.stage_review_errors(F.col("r"), F.col("p")), ",").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (stage_review_audit, training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
+QUERIES = {f.__name__: f for f in (sealed_set_replay, stage_review_audit, training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
@@ -285,7 +292,20 @@ def _pick(x: str, values) -> str:
 
 
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
+_POOLS = """WITH RECURSIVE l AS (SELECT l_orderkey AS k, list(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1), r AS (SELECT o_orderstatus AS s, o_orderpriority AS c, k, e, row_number() OVER (PARTITION BY o_orderstatus ORDER BY k) AS n FROM orders JOIN l ON k = o_orderkey),
+walk AS (SELECT s, 0::BIGINT AS n, 0::BIGINT AS k, false AS ok, []::BIGINT[] AS used, []::VARCHAR[] AS cats FROM (SELECT DISTINCT s FROM r) UNION ALL
+SELECT w.s, r.n, r.k, len(list_filter(w.cats, lambda x: x = r.c)) < 3 AND NOT list_has_any(w.used, r.e), CASE WHEN len(list_filter(w.cats, lambda x: x = r.c)) < 3 AND NOT list_has_any(w.used, r.e) THEN list_concat(w.used, r.e) ELSE w.used END,
+  CASE WHEN len(list_filter(w.cats, lambda x: x = r.c)) < 3 AND NOT list_has_any(w.used, r.e) THEN list_append(w.cats, r.c) ELSE w.cats END FROM walk w JOIN r ON r.s = w.s AND r.n = w.n + 1 WHERE len(w.cats) < 15)
+SELECT s AS o_orderstatus, row_number() OVER (PARTITION BY s ORDER BY n) AS place, k AS o_orderkey FROM walk WHERE ok"""
+_SEALED = """WITH RECURSIVE r AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS e, row_number() OVER (ORDER BY l_orderkey) AS n FROM lineitem GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS n, 0::BIGINT AS k, false AS ok, []::BIGINT[] AS used, 0 AS have UNION ALL
+SELECT r.n, r.k, len(r.e) >= 2 AND NOT list_has_any(w.used, r.e), CASE WHEN len(r.e) >= 2 AND NOT list_has_any(w.used, r.e) THEN list_concat(w.used, r.e) ELSE w.used END, w.have + CASE WHEN len(r.e) >= 2 AND NOT list_has_any(w.used, r.e) THEN 1 ELSE 0 END
+FROM walk w JOIN r ON r.n = w.n + 1 WHERE w.have < 100 AND w.n < 5000)
+SELECT row_number() OVER (ORDER BY n) AS place, k AS o_orderkey, (SELECT sha256(string_agg(k::VARCHAR, chr(10) ORDER BY n)) FROM walk WHERE ok) AS digest FROM walk WHERE ok"""
+
 ORACLES = {
+    "quota_disjoint_pools": _POOLS,
+    "sealed_set_replay": _SEALED,
     "stage_review_audit": """WITH b AS (SELECT item_id AS n, item_id % 8 < 6 AS ok, item_id % 5 AS c FROM benchmark)
 SELECT n AS item_id, concat_ws(',', CASE WHEN n % 7 = 0 THEN 'packet_sha256_mismatch' END, CASE WHEN n % 8 = 7 THEN 'missing_boolean_approval' END, CASE WHEN n % 11 = 0 THEN 'missing_reason' END,
 CASE WHEN ok AND n % 4 = 1 THEN 'invalid_risk_labels' END, CASE WHEN ok AND c = 4 THEN 'missing_citations' END, CASE WHEN ok AND c IN (2, 3) THEN 'illegal_verbatim_citation' END,
