@@ -106,7 +106,7 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """(key, n_chars, place, total): the rows range-sorted by (doc_id, key), numbered from 0 by partition offsets."""
+    """(key, doc_id, n_chars, place, total): the rows range-sorted by (doc_id, key), numbered from 0 by partition offsets."""
     in_order = checkpointed(rows.orderBy(F.col("doc_id").asc_nulls_last(), "key").withColumn("_at", F.monotonically_increasing_id()))
     counts = in_order.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()  # one row for each partition
     offsets, total = {}, 0
@@ -114,10 +114,10 @@ def _places(rows: DataFrame) -> DataFrame:
         offsets[row["p"]] = total
         total += row["count"]
     if not total:
-        return in_order.select("key", "n_chars", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total"))
+        return in_order.select("key", "doc_id", "n_chars", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total"))
     start = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
     place = start[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return in_order.select("key", "n_chars", place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
+    return in_order.select("key", "doc_id", "n_chars", place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -130,9 +130,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = checkpointed(_places(keyed.select("doc_id", "key", F.length("text").cast("long").alias("n_chars")).distinct()))
     # for each document its predecessor, which takes the head of its text
     before = order.select(((F.col("place") + 1) % F.col("total")).alias("place"), F.col("key").alias("before"), F.col("n_chars").alias("n_before"))
-    wanted = checkpointed(order.select("key", "place").join(before, "place").drop("place"))
-    # both sides below read the same columns, so that the shuffle is made once
-    placed = fingerprinted(keyed, "text", "print").join(wanted.hint("shuffle_hash"), "key")
+    wanted = checkpointed(order.select("key", "doc_id", "place").join(before, "place").drop("place"))
+    # both sides below read the same columns of the texts (the id comes from the narrow side), so that their shuffle is made once
+    placed = fingerprinted(keyed.select("key", "text"), "text", "print").join(wanted.hint("shuffle_hash"), "key")
     n = F.length("text").cast("long")
     own = placed.select("key", "doc_id", n.alias("n_chars"), F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")).alias("head"), "print")
     given = placed.select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("n_before") / 2).cast("int")).alias("tail"), F.col("print").alias("next_print"))
