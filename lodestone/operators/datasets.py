@@ -253,17 +253,20 @@ def packed(df: DataFrame, shard: str, order: str, size: str, limit: int) -> Data
 
 
 def quote_repairs(df: DataFrame) -> DataFrame:
-    """(id, quote, body) -> the body's span that the longest common substring anchors, of the quote's length, and their similarity."""
+    """(id, quote, body) -> the body's span that the longest common substring anchors, of the quote's length, and their similarity; a null quote or body has none."""
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, q, t in zip(b["id"], b["quote"], b["body"], strict=True):
+                if q is None or t is None:
+                    out.append((i, None, None, None))
+                    continue
                 m = SequenceMatcher(None, q, t, autojunk=False).find_longest_match()
                 at = max(0, min(m.b - m.a, len(t) - len(q)))
                 found = t[at : at + len(q)]
                 out.append((i, at, found, round(SequenceMatcher(None, q, found, autojunk=False).ratio(), 4)))
-            yield pd.DataFrame(out, columns=["id", "start", "found", "ratio"])
+            yield pd.DataFrame(out, columns=["id", "start", "found", "ratio"]).astype({"start": "Int64"})
 
     return df.select("id", "quote", "body").mapInPandas(repair, "id long, start long, found string, ratio double")
 

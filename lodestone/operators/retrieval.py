@@ -276,34 +276,38 @@ def keyword_search(corpus: DataFrame, questions: DataFrame, k: int = 3) -> DataF
 
 
 def holding(docs: DataFrame, passages: DataFrame, most: int = 20_000) -> DataFrame:
-    """(qid, id) of documents (id, body) that hold a passage (qid, passage) verbatim: one automaton of up to ``most`` passages over each text, else a search for each."""
-    stated = passages.filter("passage is not null").select("qid", "passage")
-    block = stated.limit(most + 1).collect()
-    if len(block) > most:
-        return docs.join(stated, F.contains("body", "passage")).select("qid", "id")
-    held: dict[str, list] = {}
-    for qid, passage in block:
-        held.setdefault(passage, []).append(qid)
-    everywhere = held.pop("", [])
+    """(qid, id) of documents (id, body) that hold a passage (qid, passage) verbatim: one automaton of a block of passages over each text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+    Passages come in blocks of ``most``, however many there are; nothing but the pairs found is made or moved."""
+    stated = passages.filter("passage is not null")
+    (q_kind, q_name), (i_kind, i_name) = _kind(stated, "qid"), _kind(docs, "id")
+    schema = f"qid {q_name}, id {i_name}"
 
-        found = ahocorasick.Automaton()
-        for passage, qids in held.items():
-            found.add_word(passage, qids)
-        found.make_automaton()
-        for batch in batches:
-            rows = []
-            for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                if body is not None:
-                    own = set(everywhere).union(*(q for _, q in found.iter(body))) if held else everywhere
-                    rows += [(q, i) for q in own]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], kinds[1])], names=["qid", "id"])
+    def search(block: list) -> DataFrame:
+        held: dict[str, list] = {}
+        for qid, passage in block:
+            held.setdefault(passage, []).append(qid)
+        everywhere = held.pop("", [])
 
-    (q_kind, q_name), (i_kind, i_name) = _kind(stated, "qid"), _kind(docs, "id")
-    kinds = (q_kind, i_kind)
-    return docs.select("id", "body").mapInArrow(run, f"qid {q_name}, id {i_name}")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for passage, qids in held.items():
+                found.add_word(passage, qids)
+            found.make_automaton()
+            for batch in batches:
+                rows = []
+                for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                    if body is not None:
+                        own = set(everywhere).union(*(q for _, q in found.iter(body))) if held else everywhere
+                        rows += [(q, i) for q in own]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], q_kind), pa.array([r[1] for r in rows], i_kind)], names=["qid", "id"])
+
+        return docs.select("id", "body").mapInArrow(run, schema)
+
+    found = in_blocks(stated, F.col("passage"), search, most)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block_rows: int = BLOCK) -> DataFrame:

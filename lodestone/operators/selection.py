@@ -64,6 +64,69 @@ def smallest_cohort(df: DataFrame, key: str, labels: str, seed: str, gates: dict
     return None
 
 
+def deficit_cohort(df: DataFrame, key: str, source: str, kind: str, labels: str, seed: str, sizes: range, n_sources: int, least_share: dict[str, int], most_share: dict[str, int], least_labels: dict[str, int]) -> DataFrame:
+    """(place, key): the smallest cohort, of the sizes tried in order, that meets every gate; no rows if none does.
+
+    The first sources by hash each give one row, then rows fill the size; each time the row is taken whose kind and labels
+    are lacking most, ties by hash.  Gates: ``least_share`` and ``most_share`` of kinds in percent, ``least_labels`` rows
+    of a label.  A row's lack depends on its kind and its gated labels alone, so of a source and such a signature only the
+    first row by hash can be taken for the source, and of a signature only as many as the largest cohort fill it: these
+    rows meet in one task, bounded by signatures, sources and sizes whatever the table."""
+    gated = F.array_sort(F.array_intersect(F.coalesce(labels, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in least_labels])))
+    rows = df.filter(F.col(source).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("s"), F.coalesce(F.col(kind), F.lit("")).alias("c"), gated.alias("l"), hash_order(f"{seed}-pick", F.col(key)).alias("pick"), hash_order(f"{seed}-fill", F.col(key)).alias("fill"))
+    firsts = rows.groupBy("s").count().select("s", hash_order(f"{seed}-source", F.col("s")).alias("h")).orderBy("h", "s").limit(n_sources)
+    most = max(sizes, default=0)
+    of_sources = rows.join(F.broadcast(firsts), "s").withColumn("n", F.row_number().over(Window.partitionBy("s", "c", "l").orderBy(F.desc("pick"), F.desc("k")))).filter("n = 1").withColumn("part", F.lit(0))
+    filling = rows.withColumn("n", F.row_number().over(Window.partitionBy("c", "l").orderBy(F.desc("fill"), F.desc("k")))).filter(F.col("n") <= most + n_sources).withColumn("h", F.lit("")).withColumn("part", F.lit(1))
+    bounded = of_sources.select("part", "h", "s", "k", "c", "l", "pick", "fill").unionByName(filling.select("part", "h", "s", "k", "c", "l", "pick", "fill"))
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part["l"] = [tuple(x) for x in part["l"]]
+        heads = part[part["part"] == 0].sort_values(["h", "s"])
+        wanted = [list(g[["pick", "k", "c", "l", "s"]].itertuples(index=False)) for _, g in heads.groupby(["h", "s"], sort=True)]
+        pools = {(c, l): list(g.sort_values(["fill", "k"], ascending=False)[["fill", "k", "s"]].itertuples(index=False)) for (c, l), g in part[part["part"] == 1].groupby(["c", "l"])}
+        if len(wanted) < n_sources:
+            return pd.DataFrame({"place": [], "k": []})
+        for size in sizes:
+            floor = {c: -(-size * p // 100) for c, p in least_share.items()}
+            kinds, have, taken = dict.fromkeys(floor, 0), dict.fromkeys(least_labels, 0), {}
+            every: dict = {}
+
+            def lack(c, l, kinds=kinds, have=have, floor=floor):
+                return (c in floor and kinds[c] < floor[c]) + sum(have[x] < least_labels[x] for x in l)
+
+            def take(k, c, l, kinds=kinds, have=have, taken=taken, every=every):
+                taken[k] = len(taken) + 1
+                every[c] = every.get(c, 0) + 1
+                if c in kinds:
+                    kinds[c] += 1
+                for x in l:
+                    have[x] += 1
+
+            for options in wanted:
+                best = max(options, key=lambda r: (lack(r.c, r.l), r.pick, r.k))
+                take(best.k, best.c, best.l)
+            if len(taken) > size:
+                continue
+            at = dict.fromkeys(pools, 0)
+            while len(taken) < size:
+                for s, rows_ in pools.items():
+                    while at[s] < len(rows_) and rows_[at[s]].k in taken:
+                        at[s] += 1
+                ready = [(lack(*s), pools[s][at[s]].fill, pools[s][at[s]].k, s) for s in pools if at[s] < len(pools[s])]
+                if not ready:
+                    break
+                _, _, k, s = max(ready)
+                take(k, *s)
+            met = len(taken) == size and all(100 * every.get(c, 0) >= p * size for c, p in least_share.items()) and all(100 * every.get(c, 0) <= p * size for c, p in most_share.items()) and all(have[x] >= n for x, n in least_labels.items())
+            if met:
+                return pd.DataFrame([(n, k) for k, n in taken.items()], columns=["place", "k"])
+        return pd.DataFrame({"place": [], "k": []})
+
+    kind_of_key = dict(df.dtypes)[key]
+    return bounded.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda part: choose(part), f"place long, k {kind_of_key}").withColumnRenamed("k", key)
+
+
 def bounded_scan(df: DataFrame, accepted, want: int, most: int) -> DataFrame:
     """The first ``want`` rows that are accepted among the first ``most`` in the source's order; Spark stops reading when it has them."""
     return df.limit(most).filter(accepted).limit(want)

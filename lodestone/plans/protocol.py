@@ -224,6 +224,13 @@ def smallest_cohort(spark, sf):
     return found if found is not None else d.limit(0).select(F.lit(0).cast("long").alias("place"), "doc_id")
 
 
+def deficit_cohort(spark, sf):
+    """The smallest cohort of orders with 50 customers, enough open and closed ones, few pending, and each priority."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.array("o_orderpriority").alias("labels"))
+    gates = {p: 15 for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}
+    return S.deficit_cohort(o, "o_orderkey", "o_custkey", "o_orderstatus", "labels", "dc", range(60, 121), 50, {"F": 30, "O": 30}, {"P": 20}, gates)
+
+
 def failure_decomposition(spark, sf):
     """A frozen pool by reason, correctness and searches: counts, and shares of all and of the reason."""
     g = rollouts(spark, sf).groupBy("reason", "correct", F.least("searches", F.lit(3)).alias("searches")).agg(F.count("*").alias("n"))
@@ -282,7 +289,7 @@ def stage_review_audit(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", review.alias("r"), packet.alias("p")).select("item_id", F.array_join(V.stage_review_errors(F.col("r"), F.col("p")), ",").alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (sealed_set_replay, stage_review_audit, training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
+QUERIES = {f.__name__: f for f in (deficit_cohort, sealed_set_replay, stage_review_audit, training_ledger_metrics, third_search, packet_record_check, wavefront_rollouts, review_pool, smallest_cohort, failure_decomposition, engineering_acceptance, ablation_manifest, reward_versions, nested_actions, title_keys, candidate_validation, policy_decisions, training_row_audit, generated_splits, frozen_case_check, probe_comparison, error_migration, pair_run_aggregate, context_usage, state_weights, label_intersection, uniform_sample, balanced_choice, quota_disjoint_pools, risk_subset, nonempty_search, temporal_citations, paragraph_ids, rl_collection_metrics)}
 
 _NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 

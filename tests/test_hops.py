@@ -208,3 +208,54 @@ def test_exposed_at_any_depth(spark):
     got = {tuple(x) for x in C.exposed(spark.createDataFrame(rows, "source long, raw string")).collect()}
     assert got == {(1, "id", a), (1, "question", "why so"), (1, "id", b), (6, "question", "in")}
     assert C.exposed(spark.createDataFrame([], "source long, raw string")).collect() == []
+
+
+@pytest.mark.parametrize("most", [1, 2, 20_000])
+def test_passages_in_blocks(spark, most):
+    from lodestone.operators import retrieval as R
+
+    docs = [("a", "one two three"), ("b", None), ("c", ""), ("d", "two")]
+    passages = [(1, "two"), (2, "two three"), (3, ""), (4, None), (5, "two"), (6, "absent")]
+    got = R.holding(spark.createDataFrame(docs, "id string, body string"), spark.createDataFrame(passages, "qid long, passage string"), most)
+    assert sorted((x["qid"], x["id"]) for x in got.collect()) == sorted((q, i) for q, p in passages for i, b in docs if p is not None and b is not None and p in b)
+    assert R.holding(spark.createDataFrame(docs, "id string, body string"), spark.createDataFrame([], "qid long, passage string"), most).collect() == []
+
+
+def test_null_quotes(spark):
+    from lodestone.operators import datasets as D
+
+    got = D.quote_repairs(spark.createDataFrame([(1, None, "x"), (2, "q", None), (3, "bc", "abcd")], "id long, quote string, body string")).orderBy("id").collect()
+    assert [tuple(x) for x in got] == [(1, None, None, None), (2, None, None, None), (3, 1, "bc", 1.0)]
+
+
+def cohort(rows, sizes, n_sources, least_share, most_share, least_labels):
+    """The cohort by its own walk over all rows."""
+    h = lambda part, x: hashlib.sha256(f"t-{part}:{x}".encode()).hexdigest()
+    for size in sizes:
+        floor = {c: math.ceil(size * p / 100) for c, p in least_share.items()}
+        taken, kinds, have = [], Counter(), Counter()
+        lack = lambda r: (r[2] in floor and kinds[r[2]] < floor[r[2]]) + sum(have[x] < least_labels[x] for x in set(r[3]) & least_labels.keys())  # noqa: B023, E731
+        sources = sorted({r[1] for r in rows}, key=lambda s: h("source", s))[:n_sources]
+        for s in sources:
+            taken.append(max((r for r in rows if r[1] == s), key=lambda r: (lack(r), h("pick", r[0]))))
+            kinds[taken[-1][2]] += 1
+            have.update(set(taken[-1][3]))
+        if len(sources) < n_sources or len(taken) > size:
+            continue
+        while len(taken) < size and len(taken) < len(rows):
+            taken.append(max((r for r in rows if r not in taken), key=lambda r: (lack(r), h("fill", r[0]))))
+            kinds[taken[-1][2]] += 1
+            have.update(set(taken[-1][3]))
+        if len(taken) == size and all(kinds[c] / size >= p / 100 for c, p in least_share.items()) and all(kinds[c] / size <= p / 100 for c, p in most_share.items()) and all(have[x] >= n for x, n in least_labels.items()):
+            return [r[0] for r in taken]
+    return []
+
+
+@pytest.mark.parametrize("sizes, gates", [(range(10, 40), {"a": 9, "b": 12, "c": 5}), (range(20, 21), {"a": 5}), (range(5, 8), {}), (range(10, 30), {"a": 400})])
+def test_cohort_like_its_walk(spark, sizes, gates):
+    r = random.Random(11)
+    rows = [(i, r.randrange(60), r.choice(["x", "x", "y", "z"]), r.sample("abcd", r.randrange(3))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, s long, c string, l array<string>")
+    got = [x["i"] for x in S.deficit_cohort(df, "i", "s", "c", "l", "t", sizes, 10, {"x": 30, "y": 25}, {"z": 30}, gates).orderBy("place").collect()]
+    assert got == cohort(rows, sizes, 10, {"x": 30, "y": 25}, {"z": 30}, gates)
+    assert bool(got) == (gates != {"a": 400} and sizes.stop > 10)
