@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import structure as X
 from ..functions import text as T
 from ..scratch import written
 
@@ -156,3 +159,82 @@ def exposed(records: DataFrame, pattern: str = r"^(?:[a-z]+[-:])?([0-9a-f]{24})$
         level = opened.filter(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")).select("source", "v", "key")
         if level.isEmpty():
             return out.distinct()
+
+
+def byte_pairs(path: str) -> Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]:
+    """A tokenizer for ``token_spans``: the vocabulary file is read here and sent to the tasks, which give each token's characters."""
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+
+    def make():
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(definition)
+        own.encode_special_tokens = True  # their strings in a text are text
+        return lambda texts: [e.offsets for e in own.encode_batch(texts, add_special_tokens=False)]
+
+    return make
+
+
+def rendered(messages: DataFrame, shown: DataFrame) -> DataFrame:
+    """(case, text, docs: array of (at, rank, id, start, end)): a case's messages as one input, and where in it each document's escaped body stands.
+
+    A tool message is a JSON object of its documents; all pieces of the input are made by expressions and placed by a
+    running sum, so nothing is searched for: a body that stands there twice, or reads like JSON, is no matter."""
+    quoted = lambda x: F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("v")))  # noqa: E731  {"v":"..."}
+    inner = lambda j: F.substring(j, F.lit(7), F.length(j) - 8)
+    none = F.lit(None).cast("struct<rank:int,id:string>")
+    piece = lambda text, doc: F.struct(text.alias("text"), doc.alias("doc"))
+    texts = messages.select("case", "at", F.array(piece(F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.coalesce("content", F.lit("")), F.lit("\n")), none)).alias("pieces"))
+    docs = shown.groupBy("case", "at").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), inner(quoted(F.col("text"))).alias("body")))).alias("d"))
+    opening = lambda d, i: F.concat(F.when(i == 0, '<|tool|>\n{"result":[').otherwise(","), F.lit('{"id":"'), inner(quoted(d["id"])), F.lit('","text":"'))
+    each = F.flatten(F.transform("d", lambda d, i: F.array(piece(opening(d, i), none), piece(d["body"], F.struct(d["rank"].alias("rank"), d["id"].alias("id"))), piece(F.lit('"}'), none))))
+    tools = docs.select("case", "at", F.concat(each, F.array(piece(F.lit("]}\n"), none))).alias("pieces"))
+    parts = texts.unionByName(tools).groupBy("case").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("m"))
+    flat = parts.select("case", F.flatten(F.transform("m", lambda m: F.transform(m["pieces"], lambda p: F.struct(m["at"].alias("at"), p["text"].alias("text"), p["doc"].alias("doc"))))).alias("p"))
+    placed = flat.select("case", "p", X.with_offsets(F.transform("p", lambda p: p["text"])).alias("o"))
+    spans = F.filter(F.zip_with("p", "o", lambda p, o: F.struct(p["at"].alias("at"), p["doc"]["rank"].alias("rank"), p["doc"]["id"].alias("id"), o["start"].alias("start"), o["end"].alias("end"), p["doc"].isNotNull().alias("is"))), lambda x: x["is"])
+    return placed.select("case", F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"), F.transform(spans, lambda s: s.dropFields("is")).alias("docs"))
+
+
+def token_spans(inputs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]) -> DataFrame:
+    """(case, tokens, at, rank, id, start, end, first, last, body) of ``rendered``'s documents: the tokens that touch a body, the last one behind; 0, 0 for none.
+
+    Each input is tokenised once, whole; a body's tokens are found by bisection of the tokens' ends and starts."""
+    case = inputs.schema["case"].dataType.simpleString()
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offsets_of = tokenizer()
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            counts, spans = [], []
+            for offsets, own in zip(offsets_of(texts), batch.column("spans").to_pylist(), strict=True):
+                starts, ends = np.array(offsets, dtype=np.int64).reshape(-1, 2).T
+                counts.append(len(starts))
+                both = [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))) if b > a else (0, 0) for a, b in ((s["start"], s["end"]) for s in own)]
+                spans.append([{"first": f, "last": n} if f < n else {"first": 0, "last": 0} for f, n in both])
+            yield pa.RecordBatch.from_arrays([batch.column("case"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["case", "tokens", "spans"])
+
+    stored = written(inputs)
+    found = stored.select("case", "text", F.transform("docs", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"))).alias("spans")).mapInArrow(mapped, f"case {case}, tokens long, spans array<struct<first:long,last:long>>")
+    each = stored.join(found, "case").select("case", "text", "tokens", F.explode(F.arrays_zip("docs", "spans")).alias("z"))
+    body = F.substring("text", (F.col("z.docs.start") + 1).cast("int"), (F.col("z.docs.end") - F.col("z.docs.start")).cast("int"))
+    return each.select("case", "tokens", "z.docs.*", "z.spans.*", body.alias("body"))
+
+
+def user_rewards(steps: DataFrame, key: str, order: str, functions: dict[str, Callable]) -> DataFrame:
+    """(key, one column for each function, total): rewards that a user wrote, each called with a trajectory's steps in order as a pandas frame.
+
+    A trajectory's steps meet in one task, which is what such a function is about; the shipped rewards
+    (``operators.rewards``) are expressions and need no such meeting.  A null or missing reward counts as nothing."""
+    kinds = dict(steps.dtypes)
+    names = list(functions)
+
+    def scored(part):
+        import pandas as pd
+
+        part = part.sort_values(order, kind="stable").reset_index(drop=True)
+        own = [functions[n](part) for n in names]
+        return pd.DataFrame([[part[key].iloc[0], *[None if x is None else float(x) for x in own], float(sum(x for x in own if x is not None))]], columns=[key, *names, "total"])
+
+    return steps.groupBy(key).applyInPandas(scored, ", ".join([f"`{key}` {kinds[key]}", *[f"`{n}` double" for n in names], "total double"]))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..operators import context as C
 from ..scratch import written
 from ..session import table
+from ..tables import STEPS, steps
 
 MOST = 150
 
@@ -81,7 +82,23 @@ def exposed_anywhere(spark, sf):
     return C.exposed(records(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (context_budgets, last_visible_documents, exposed_anywhere)}
+def document_token_spans(spark, sf, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.json"):
+    """Tokens of each shown document's body in its whole input, and whether the body reads back as the document's text."""
+    messages, shown = (written(x) for x in messages_and_documents(spark, sf))
+    found = C.token_spans(C.rendered(messages, shown), C.byte_pairs(vocabulary))
+    text = F.from_json(F.concat(F.lit('{"v":"'), "body", F.lit('"}')), "v string")["v"]
+    return found.join(shown.withColumnRenamed("text", "own"), ["case", "at", "rank", "id"]).select("case", "at", "rank", "id", "tokens", "start", "end", "first", "last", (text == F.col("own")).alias("same"))
+
+
+def user_rewards(spark, sf):
+    """Two rewards as a user writes them, over every trajectory: a cost for each search, and a bonus for an answer behind a find."""
+    cost = lambda t: -0.03 * int((t["action"] == "search").sum())
+    bonus = lambda t: 0.5 if t["action"].iloc[-1] == "answer" and t["found"].iloc[:-1].notna().any() else None
+    scored = C.user_rewards(steps(spark, sf).select("rollout_id", "step", "action", "found"), "rollout_id", "step", {"search_cost": cost, "found_answer": bonus})
+    return scored.select("rollout_id", F.round("search_cost", 6).alias("search_cost"), "found_answer", F.round("total", 6).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (document_token_spans, user_rewards, context_budgets, last_visible_documents, exposed_anywhere)}
 
 _N = lambda x: f"coalesce(len(regexp_extract_all({x}, '[^ \t\n]+')), 0)"
 _BODY = lambda cap: "text" if cap is None else f"CASE WHEN length(text) <= {cap} THEN text ELSE regexp_extract(substr(text, 1, {cap}), '^((?s:.*)[.!?])(?:\\s|$)', 1) END"
@@ -127,6 +144,8 @@ r AS (SELECT DISTINCT "case", way, CASE way WHEN 1 THEN 'nonlegacy_presentation_
 p AS (SELECT t."case", id, turn, [text[1 : length(text) // 3], text[length(text) // 2 + 1 : length(text)]] AS x FROM t JOIN r USING ("case") WHERE reason LIKE 'saved%' AND {_CHANGE} UNION ALL SELECT t."case", id, turn, [text] FROM t JOIN r USING ("case") WHERE reason LIKE 'explicit%' AND turn < place),
 d AS (SELECT "case", id, id || ':' || array_to_string(flatten(list(x ORDER BY turn)), chr(31)) AS s FROM p GROUP BY 1, 2), l AS (SELECT "case", count(*) AS n, md5(string_agg(s, chr(30) ORDER BY id)) AS digest FROM d GROUP BY 1)
 SELECT r."case", reason, CASE WHEN reason LIKE 'saved%' OR reason LIKE 'explicit%' THEN coalesce(n, 0) END AS documents, CASE WHEN reason LIKE 'saved%' OR reason LIKE 'explicit%' THEN coalesce(digest, md5('')) END AS digest FROM r LEFT JOIN l ON l."case" = r."case\"""",
+    "user_rewards": f"""WITH {STEPS}, r AS (SELECT rollout_id, round(-0.03 * count(*) FILTER (WHERE action = 'search'), 6)::DOUBLE AS search_cost, arg_max(action, step) = 'answer' AS answered, max(step) AS last, min(step) FILTER (WHERE found IS NOT NULL) AS first FROM steps GROUP BY 1)
+SELECT rollout_id, search_cost, CASE WHEN answered AND first < last THEN 0.5::DOUBLE END AS found_answer, round(search_cost + CASE WHEN answered AND first < last THEN 0.5 ELSE 0 END, 6)::DOUBLE AS total FROM r""",
     "exposed_anywhere": """WITH p AS (SELECT conv_id, turn // 2 AS pair, list({'question': CASE WHEN role = 'user' THEN text END, 'qid': 'case-' || substr(md5(conv_id || ':' || turn), 1, 24), 'id': turn, 'meta': {'refs': [{'source_id': upper(substr(md5(role), 1, 24)), 'note': text}]}} ORDER BY turn) AS turns FROM conversations GROUP BY ALL),
 j AS (SELECT conv_id, to_json({'task_id': 'x' || substr(md5(conv_id::VARCHAR), 1, 24), 'pairs': list({'pair': pair, 'turns': turns})}) AS raw FROM p WHERE conv_id % 11 <> 10 GROUP BY conv_id),
 e AS (SELECT conv_id AS source, t.key, json_extract_string(t.value, '$') AS v FROM j, json_tree(j.raw) AS t WHERE t.type = 'VARCHAR')

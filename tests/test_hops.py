@@ -259,3 +259,38 @@ def test_cohort_like_its_walk(spark, sizes, gates):
     got = [x["i"] for x in S.deficit_cohort(df, "i", "s", "c", "l", "t", sizes, 10, {"x": 30, "y": 25}, {"z": 30}, gates).orderBy("place").collect()]
     assert got == cohort(rows, sizes, 10, {"x": 30, "y": 25}, {"z": 30}, gates)
     assert bool(got) == (gates != {"a": 400} and sizes.stop > 10)
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def test_token_spans_read_back(spark):
+    """Bodies with quotes, backslashes, line ends, JSON of their own and repeated texts; tokens by the plain overlap rule."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    bodies = ['say "hi" \\ there', "line\nend\ttab", '"text":"fake"},{"id":"x', "", "é😀 naïve", "say \"hi\" \\ there", " lead", None]
+    messages = spark.createDataFrame([(1, 0, "system", "Read <|endoftext|> this."), (1, 9, "user", None), (2, 0, "user", "none shown")], "case long, at long, role string, content string")
+    shown = spark.createDataFrame([(1, 2 + i // 3, i % 3, f'd"{i}', b) for i, b in enumerate(bodies)], "case long, at long, rank int, id string, text string")
+    inputs = C.rendered(messages, shown)
+    text = {x["case"]: x["text"] for x in inputs.collect()}
+    got = C.token_spans(inputs, C.byte_pairs(VOCABULARY)).orderBy("start").collect()
+    own = Tokenizer.from_file(VOCABULARY)
+    own.encode_special_tokens = True
+    offsets = own.encode(text[1], add_special_tokens=False).offsets
+    assert text[1].startswith("<|system|>\nRead") and len(got) == len(bodies)
+    tool = text[1].split("<|tool|>\n")[1]
+    assert [d["text"] for d in json.loads(tool)["result"]] == bodies[:3]
+    for i, x in enumerate(got):
+        body = text[1][x["start"] : x["end"]]
+        assert x["body"] == body and json.loads(f'"{body}"') == (bodies[i] or "") and x["id"] == f'd"{i}'
+        touching = [n for n, (a, b) in enumerate(offsets) if a < x["end"] and b > x["start"]] if body else []
+        assert (x["first"], x["last"]) == ((touching[0], touching[-1] + 1) if touching else (0, 0))
+        assert x["tokens"] == len(offsets)
+
+
+def test_user_rewards(spark):
+    df = spark.createDataFrame([("a", 2, 5.0), ("a", 1, 1.0), ("b", 1, None)], "k string, step long, v double")
+    got = {x["k"]: (x["first"], x["none"], x["total"]) for x in C.user_rewards(df, "k", "step", {"first": lambda t: t["v"].iloc[0] if t["v"].notna().any() else 7, "none": lambda t: None}).collect()}
+    assert got == {"a": (1.0, None, 1.0), "b": (7.0, None, 7.0)}
