@@ -12,7 +12,7 @@ from ..scratch import written
 from ..session import table
 from ..tables import STEPS, steps
 
-MOST = 150
+MOST = 300
 
 
 def _turns(spark, sf):

@@ -9,6 +9,7 @@ from ..functions import structure as X
 from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import retrieval as R
+from ..operators.stats import prefix_sums
 from ..scratch import written
 from ..session import table
 from ..tables import CORPUS, QUESTIONS, ROLLOUTS, STEPS, corpus, questions, rollouts, steps
@@ -287,9 +288,8 @@ def stratified_clusters(spark, sf):
 
 def review_batches(spark, sf):
     """Batches of ten by source, in hash order."""
-    d = table(spark, sf, "documents").select("source", "doc_id")
-    n = F.row_number().over(Window.partitionBy("source").orderBy(D.hash_order("rb", F.col("doc_id")), "doc_id"))
-    return d.withColumn("batch", F.floor((n - 1) / 10)).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    d = table(spark, sf, "documents").select("source", "doc_id", D.hash_order("rb", F.col("doc_id")).alias("h"))
+    return prefix_sums(d, "n", F.lit(1), "h", "source").withColumn("batch", F.floor(F.col("n") / 10)).groupBy("source", "batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
 
 
 def support_documents(spark, sf):

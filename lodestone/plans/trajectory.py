@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import trajectory as J
+from ..scratch import written
 from ..session import table
 from ..tables import ROLLOUTS, STEPS, rollouts, steps
 
@@ -63,8 +64,10 @@ def reward_component_counts(spark, sf):
 
 def reward_counterfactual(spark, sf):
     """Two reward versions over the same rollouts: order inversions within groups between wrong and right answers, and margins."""
-    f = _facts(spark, sf)
-    both = J.reward_parts(f).select("group_id", "rollout_id", "correct", F.round("total", 6).alias("old")).join(J.reward_parts(f, over=0.0).select("rollout_id", F.round("total", 6).alias("new")), "rollout_id")
+    # both totals are columns of one row, stored once for the three sums below
+    old = J.reward_parts(_facts(spark, sf)).withColumn("old", F.round("total", 6)).drop(*PARTS, "total")
+    both = written(J.reward_parts(old, over=0.0).select("group_id", "rollout_id", "correct", "old", F.round("total", 6).alias("new")))
+
     def inversions(total: str, name: str):
         """Pairs of a right answer and a wrong one above it, by running counts of equal totals: no pair is made."""
         c = both.groupBy("group_id", total).agg(F.count_if("correct").alias("good"), F.count_if(~F.col("correct")).alias("bad"))
