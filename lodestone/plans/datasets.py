@@ -55,10 +55,13 @@ def _turns(spark, sf):
 
 
 def lineage_join(spark, sf):
-    """Turns joined to a replayed copy by the canonical digest of what was said and by whom; all matches kept."""
-    t = _turns(spark, sf).withColumn("digest", D.canonical(("role", F.col("role")), ("text", F.col("text"))))
-    copy = t.filter("conv_id % 3 = 0").select("digest", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("copy_id"))
-    return t.filter("turn = 0").join(copy, "digest").groupBy("conv_id").agg(F.count("*").alias("matches"), F.array_join(F.array_sort(F.collect_list("copy_id")), ",").alias("copies"))
+    """Every turn joined to its copies anywhere, by the canonical digest of what was said and by whom: copies are counted for
+    each digest and named by their first, so a digest that many turns share makes one row, and no pairs."""
+    t = _turns(spark, sf).select("conv_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), D.canonical(("role", F.col("role")), ("text", F.col("text"))).alias("digest"))
+    own = t.groupBy("conv_id", "digest").agg(F.count("*").alias("c"))
+    copies = t.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    repeated = F.col("n") > 1
+    return own.join(copies, "digest").groupBy("conv_id").agg(F.sum(F.col("c") * (F.col("n") - 1)).alias("matches"), F.coalesce(F.sum(F.when(repeated, F.col("c"))), F.lit(0)).alias("repeated"), F.min(F.when(repeated, F.col("first"))).alias("first_copy"))
 
 
 def prefix_link_pairs(spark, sf):
@@ -308,7 +311,8 @@ ORACLES = {
 SELECT a.split AS "left", b.split AS "right", count(*) AS shared FROM s a JOIN s b ON a.line = b.line AND a.split < b.split GROUP BY ALL""",
     "exact_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents GROUP BY text",
     "normalized_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY array_to_string({tok('text')}, ' ')",
-    "lineage_join": "SELECT a.conv_id, count(*) AS matches, string_agg(b.conv_id || '/' || b.turn, ',' ORDER BY b.conv_id || '/' || b.turn) AS copies FROM conversations a JOIN conversations b ON a.role = b.role AND a.text = b.text AND a.turn = 0 AND b.conv_id % 3 = 0 GROUP BY a.conv_id",
+    "lineage_join": """WITH t AS (SELECT conv_id, conv_id || '/' || turn AS id, role, text FROM conversations), c AS (SELECT role, text, count(*) AS n, min(id) AS first FROM t GROUP BY ALL)
+SELECT conv_id, CAST(sum(n - 1) AS BIGINT) AS matches, count(*) FILTER (WHERE n > 1) AS repeated, min(first) FILTER (WHERE n > 1) AS first_copy FROM t JOIN c ON t.role IS NOT DISTINCT FROM c.role AND t.text IS NOT DISTINCT FROM c.text GROUP BY conv_id""",
     "prefix_link_pairs": """WITH l AS (SELECT * FROM (SELECT conv_id, turn AS id, role, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM conversations) WHERE role = 'assistant')
 SELECT a.conv_id, a.id AS prefix_id, b.id AS full_id, len(a.m)::BIGINT AS n FROM l a JOIN l b ON a.conv_id = b.conv_id AND len(a.m) < len(b.m) AND b.m[1:len(a.m)] = a.m""",
     "manifest_left_join": """WITH g AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS k, min(o_orderstatus) AS a FROM orders GROUP BY 1)
