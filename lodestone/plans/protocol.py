@@ -158,10 +158,10 @@ def quota_disjoint_pools(spark, sf):
 
 
 def sealed_set_replay(spark, sf):
-    """The first hundred orders of at least two suppliers that share none, made again among the first 5,000."""
+    """The first forty orders of at least two parts that share none, made again among the first 5,000."""
     line = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_distinct(F.collect_list("l_partkey")).alias("parts"))
     o = table(spark, sf, "orders").select("o_orderkey").join(line, "o_orderkey")
-    return S.replayed(o.withColumn("place_in", F.col("o_orderkey")), "o_orderkey", "place_in", "parts", 100, 5000)
+    return S.replayed(o.withColumn("place_in", F.col("o_orderkey")), "o_orderkey", "place_in", "parts", 40, 5000)
 
 
 def risk_subset(spark, sf):
@@ -307,7 +307,7 @@ SELECT s AS o_orderstatus, row_number() OVER (PARTITION BY s ORDER BY n) AS plac
 _SEALED = """WITH RECURSIVE r AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS e, row_number() OVER (ORDER BY l_orderkey) AS n FROM lineitem GROUP BY 1),
 walk AS (SELECT 0::BIGINT AS n, 0::BIGINT AS k, false AS ok, []::BIGINT[] AS used, 0 AS have UNION ALL
 SELECT r.n, r.k, len(r.e) >= 2 AND NOT list_has_any(w.used, r.e), CASE WHEN len(r.e) >= 2 AND NOT list_has_any(w.used, r.e) THEN list_concat(w.used, r.e) ELSE w.used END, w.have + CASE WHEN len(r.e) >= 2 AND NOT list_has_any(w.used, r.e) THEN 1 ELSE 0 END
-FROM walk w JOIN r ON r.n = w.n + 1 WHERE w.have < 100 AND w.n < 5000)
+FROM walk w JOIN r ON r.n = w.n + 1 WHERE w.have < 40 AND w.n < 5000)
 SELECT row_number() OVER (ORDER BY n) AS place, k AS o_orderkey, (SELECT sha256(string_agg(k::VARCHAR, chr(10) ORDER BY n)) FROM walk WHERE ok) AS digest FROM walk WHERE ok"""
 
 ORACLES = {
