@@ -66,6 +66,15 @@ def runs(text: str, cut: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _beside(line: list[int], long: set[int]) -> dict[int, int | None]:
+    """For each unit of a line the long unit passed last before it."""
+    out, last = {}, None
+    for i in line:
+        out[i] = last
+        last = i if i in long else last
+    return out
+
+
 def removed(text: str, gone: set[int]) -> list[tuple[int, int]]:
     """Character ranges that go: the units of these numbers, and short units of a line between or beside such long units.
 
@@ -83,9 +92,10 @@ def removed(text: str, gone: set[int]) -> list[tuple[int, int]]:
     for line in lines:
         if not gone.intersection(line):
             continue
-        long = [i for i in line if digest(text[slice(*cut[i])]) is not None]
+        long = {i for i in line if digest(text[slice(*cut[i])]) is not None}
+        before, after = _beside(line, long), _beside(line[::-1], long)
         for i in line:
-            beside = [j for j in (next((j for j in reversed(long) if j < i), None), next((j for j in long if j > i), None)) if j is not None]
+            beside = [j for j in (before[i], after[i]) if j is not None]
             if i in gone or i not in long and beside and all(j in gone for j in beside):
                 if out and out[-1][1] == cut[i][0]:
                     out[-1] = (out[-1][0], cut[i][1])
