@@ -62,7 +62,7 @@ class Searcher:
         for k, (notice, _) in enumerate(self.notices):
             n = edits(notice)
             self.errors.append(n)
-            self.patterns.append(regex.compile(rf"(?<= )(?:{regex.escape(notice)}){{e<={n}}}(?= )", regex.BESTMATCH) if n else None)
+            self.patterns.append([regex.compile(rf"(?<= )(?:{regex.escape(notice)}){{e<={m}}}(?= )") for m in range(1, n + 1)])
             for offset, piece in pieces(notice, n):
                 at.setdefault(piece, []).append((k, offset))
         for piece, uses in at.items():
@@ -87,18 +87,22 @@ class Searcher:
         for k, places in windows.items():
             notice = self.notices[k][0]
             for a, b in places:
-                if not self.errors[k]:
+                rest, at = [], text.find(f" {notice} ", a, b)
+                while at >= 0:
+                    found.append((k, at + 1, at + 1 + len(notice), 0))
+                    rest.append((a, at + 1))
+                    a = at + 1 + len(notice)
                     at = text.find(f" {notice} ", a, b)
-                    while at >= 0:
-                        found.append((k, at + 1, at + 1 + len(notice), 0))
-                        at = text.find(f" {notice} ", at + 1, b)
-                    continue
-                rest = [(a, b)]
-                while rest:  # the best match first, then what lies before and behind it
-                    a, b = rest.pop()
-                    if m := self.patterns[k].search(text, a, b):
-                        found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                        rest += [(m.end(), b), (a, m.start())]
+                rest.append((a, b))
+                for pattern in self.patterns[k]:  # fewer edits first; what lies between the matches is searched with one more
+                    left = []
+                    for a, b in rest:
+                        for m in pattern.finditer(text, a, b):
+                            found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                            left.append((a, m.start()))
+                            a = m.end()
+                        left.append((a, b))
+                    rest = left
         return sorted(found)
 
 
