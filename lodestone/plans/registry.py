@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import context, datasets, dense, details, evaluation, hops, protocol, retrieval, sources, trajectory
+from . import articles, context, datasets, dense, details, evaluation, hops, protocol, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol, hops, context)
+FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol, hops, context, articles)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
