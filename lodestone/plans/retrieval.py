@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import excerpts as E
 from ..operators import retrieval as R
 from ..scratch import written
 from ..session import table
@@ -68,6 +69,15 @@ def page_paragraph_two_stage(spark, sf):
     return R.page_then_paragraph(corpus(spark, sf), paragraphs(spark, sf), questions(spark, sf))
 
 
+def page_excerpts(spark, sf):
+    """Excerpts of each question's best pages, in words; the budgets are an eighth of the fixed ones, as the table's paragraphs are short."""
+    q = questions(spark, sf)
+    asked = q.unionByName(corpus(spark, sf).filter("id % 100 = 0").select((F.col("id").cast("long") + 1_000_000).alias("qid"), F.concat(F.lit("about "), "title").alias("question")))
+    found = E.page_excerpts(corpus(spark, sf), paragraphs(spark, sf), asked, lead=48, body=36, intro=12)
+    places = F.array_join(F.transform("segments", lambda s: F.concat(s["paragraph_index"].cast("string"), F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return found.select("qid", "rank", "id", "page_score", "paragraph_index", places.alias("segments"), "text")
+
+
 def keyword_topk(spark, sf):
     return R.keyword_search(corpus(spark, sf), questions(spark, sf))
 
@@ -126,7 +136,7 @@ _RECALL = """rec AS (SELECT q.qid, count(*) AS n_relevant, round(count(*) FILTER
   count(*) FILTER (WHERE rank <= 3) = count(*) AS all_3, count(*) FILTER (WHERE rank <= 10) = count(*) AS all_10 FROM qrels q LEFT JOIN ranked r ON q.qid = r.qid AND q.id = r.id GROUP BY q.qid)"""
 _BASE = f"WITH {CORPUS}, {QUESTIONS}, {_bm25('corpus', 'id', False)}, {_RANKED}"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_title_boost, bm25_paragraph_distinct, page_paragraph_two_stage, keyword_topk, dense_max_per_doc, rrf_fusion, retrieval_recall_at_k, retriever_comparison, rerank_window_max, linked_title_hop, replay_top3)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_title_boost, bm25_paragraph_distinct, page_paragraph_two_stage, page_excerpts, keyword_topk, dense_max_per_doc, rrf_fusion, retrieval_recall_at_k, retriever_comparison, rerank_window_max, linked_title_hop, replay_top3)}
 ORACLES = {
     "bm25_topk": f"{_BASE} SELECT * FROM ranked WHERE rank <= 3",
     "bm25_title_boost": f"WITH {CORPUS}, {_TITLED}, {_bm25('corpus', 'id', True)}, {_RANKED} SELECT * FROM ranked WHERE rank <= 3",
@@ -137,6 +147,18 @@ SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r DESC,
 inner_ AS (SELECT * FROM (WITH {_bm25('paragraphs', 'id, paragraph_index', False, 0)} SELECT * FROM scored)),
 j AS (SELECT i.*, p.rank, p.score AS page_score, row_number() OVER (PARTITION BY qid, id ORDER BY round(i.score, 9) DESC, paragraph_index) AS n FROM inner_ i JOIN pages_ p USING (qid, id))
 SELECT qid, rank, id, page_score, paragraph_index, round(score, 6) AS body_score FROM j WHERE n = 1""",
+    "page_excerpts": f"""WITH {CORPUS}, {_TITLED}, {PARAGRAPHS}, {_bm25('corpus', 'id', True)}, pages_ AS (SELECT * FROM {_TOP} WHERE rank <= 3),
+el AS (SELECT id, paragraph_index, NULL AS title, text FROM paragraphs WHERE len({tok('text')}) > 0 AND array_to_string({tok('text')}, ' ') NOT IN ('bibliography', 'references', 'external links', 'see also', 'notes', 'further reading')),
+inner_ AS (SELECT * FROM (WITH {_bm25('el', 'id, paragraph_index', False, 0)} SELECT * FROM scored)),
+best AS (SELECT * FROM (SELECT i.*, row_number() OVER (PARTITION BY qid, id ORDER BY round(i.score, 9) DESC, paragraph_index) AS n FROM inner_ i SEMI JOIN pages_ p USING (qid, id)) WHERE n = 1),
+j AS (SELECT p.*, l.lead, b.paragraph_index AS best FROM pages_ p JOIN (SELECT id, min(paragraph_index) AS lead FROM el GROUP BY id) l USING (id) LEFT JOIN best b USING (qid, id)),
+seg AS (SELECT qid, id, 0 AS n, lead AS pl, CASE WHEN best IS NULL THEN 48 WHEN best = lead THEN 36 ELSE 12 END AS lim FROM j UNION ALL SELECT qid, id, 1, best, 36 FROM j WHERE best <> lead),
+w AS (SELECT s.*, regexp_extract_all(e.text, '[ \t]*[^ \t]+') AS pc, list_distinct({tok('question')}) AS q FROM seg s JOIN el e ON e.id = s.id AND e.paragraph_index = s.pl JOIN questions USING (qid)),
+h AS (SELECT *, list_transform(pc, lambda x: list_filter({tok('x')}, lambda y: list_contains(q, y))) AS hits FROM w),
+c AS (SELECT qid, id, n, i, row_number() OVER (PARTITION BY qid, id, n ORDER BY len(list_distinct(flatten(hits[i:i + lim - 1]))) DESC, len(flatten(hits[i:i + lim - 1])) DESC, i) AS r FROM (SELECT *, unnest(range(1, greatest(1, len(pc) - lim + 1) + 1)) AS i FROM h)),
+o AS (SELECT qid, id, n, pl, length(array_to_string(pc[1:i - 1], '')) + length(pc[i]) - length(ltrim(pc[i], ' ' || chr(9))) AS a, ltrim(array_to_string(pc[i:i + lim - 1], ''), ' ' || chr(9)) AS own FROM h JOIN c USING (qid, id, n) WHERE r = 1),
+t AS (SELECT qid, id, string_agg(pl || ':' || a || '-' || (a + length(own)), ',' ORDER BY n) AS segments, string_agg(own, chr(10) ORDER BY n) AS text FROM o GROUP BY qid, id)
+SELECT qid, rank, id, score AS page_score, coalesce(best, lead) AS paragraph_index, segments, text FROM j JOIN t USING (qid, id)""",
     "keyword_topk": f"WITH {CORPUS}, {QUESTIONS}, {_KEYWORD} SELECT * FROM kwr WHERE rank <= 3",
     "dense_max_per_doc": """WITH p AS (SELECT q.vec_id AS qid, x.label::VARCHAR AS id, max(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS score
 FROM embeddings q, embeddings x WHERE q.vec_id % 100 = 0 GROUP BY ALL)
