@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import articles, context, datasets, dense, details, evaluation, hops, protocol, reports, retrieval, sources, trajectory
+from . import acceptance, articles, context, datasets, dense, details, evaluation, hops, protocol, reports, retrieval, sources, trajectory
 
-FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol, hops, context, articles, reports)
+FAMILIES = (retrieval, dense, trajectory, evaluation, datasets, details, sources, protocol, hops, context, articles, reports, acceptance)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in FAMILIES:
