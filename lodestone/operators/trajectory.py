@@ -111,3 +111,60 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The last row of each key in a total order: ``insert or replace`` over an append-only table."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def zero_variance_causes(rollouts: DataFrame, fewest: int = 2, most_invalid: float = 0.1) -> DataFrame:
+    """(cause, groups, groups_flat, median_actions, invalid_rate, decision): why groups' rewards don't vary, and what follows.
+
+    rollouts: group_id, reward, correct, invalid, signature (of its actions), coverage.  The decision is the same in all rows: larger groups, if
+    the median flat group has at most ``fewest`` different signatures and at most ``most_invalid`` of all rollouts are invalid.  A group is
+    one row of partial sums; the median is taken over counts of numbers of signatures.
+    """
+    g = rollouts.groupBy("group_id").agg(
+        F.count("*").alias("n"), F.count_if("correct").alias("right"), F.count_if("invalid").alias("bad"), F.count_distinct("signature").alias("kinds"),
+        (F.min("coverage").eqNullSafe(F.max("coverage"))).alias("same_coverage"), (F.min("reward") == F.max("reward")).alias("flat"),
+    )
+    cause = (
+        F.when(F.col("kinds") <= fewest, "low_action_diversity").when((F.col("right") == 0) & F.col("same_coverage"), "diverse_actions_all_wrong_same_support_reward")
+        .when(F.col("right") == F.col("n"), "diverse_actions_all_correct").otherwise("diverse_actions_flat_composite_reward")
+    )
+    counts = g.groupBy("flat", F.when(F.col("flat"), cause).alias("cause"), "kinds").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    whole = Window.partitionBy(F.lit(1))  # over counts by cause and number of signatures
+    rows = counts.withColumn("invalid_rate", F.sum("bad").over(whole) / F.sum("n").over(whole)).filter("flat")
+    total, upto = F.sum("c").over(whole), F.sum("c").over(whole.orderBy("kinds").rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_t", total).withColumn("_u", upto)
+    at = lambda place: F.min(F.when(F.col("_u") > place, F.col("kinds"))).over(whole)
+    rows = rows.withColumn("median_actions", (at(F.floor((F.col("_t") - 1) / 2)) + at(F.ceil((F.col("_t") - 1) / 2))) / 2)
+    decision = F.when((F.col("median_actions") <= fewest) & (F.col("invalid_rate") <= most_invalid), "group_size_8").otherwise("no_sampling_change")
+    return rows.withColumn("decision", decision).groupBy("cause").agg(F.sum("c").alias("groups"), F.max("_t").alias("groups_flat"), F.max("median_actions").alias("median_actions"), F.round(F.max("invalid_rate"), 6).alias("invalid_rate"), F.max("decision").alias("decision"))
+
+
+#: The gate's least tasks that the change touches, groups it changes, and groups that vary in each run; what it gives back for a tag.
+LEAST_TASKS, LEAST_CHANGED, LEAST_VARIED, GIVEN_BACK = 3, 6, 15, 0.2
+
+
+def over_search_gate(rollouts: DataFrame, bonus: float = GIVEN_BACK) -> DataFrame:
+    """(run, groups_changed, groups_varied, inversions, tasks, tasks_correct, passed) of each run, and of all (run null), if each tag's cost is given back.
+
+    rollouts: run, group_id, task_id, reward, correct, tags.  Centred advantages change where the tags of a group differ.  Inversions are pairs of
+    a correct rollout below a wrong one of its group, counted by prefix sums over equal rewards, so no pairs are made.
+    """
+    from .stats import prefix_sums
+
+    new = F.round(F.col("reward") + bonus * F.col("tags"), 9)
+    r = rollouts.withColumn("new", new)
+    own = r.groupBy("run", "group_id").agg((F.min("tags") != F.max("tags")).alias("changed"), (F.min("new") != F.max("new")).alias("varied"))
+    levels = r.groupBy("run", "group_id", "new").agg(F.count_if("correct").alias("right"), F.count_if(~F.col("correct")).alias("wrong"))
+    below = prefix_sums(levels, "below", F.col("wrong"), "new", "run", "group_id")
+    wrong = levels.groupBy("run", "group_id").agg(F.sum("wrong").alias("all_wrong"))
+    inversions = below.join(wrong, ["run", "group_id"]).groupBy("run", "group_id").agg(F.sum(F.col("right") * (F.col("all_wrong") - F.col("below") - F.col("wrong"))).alias("inversions"))
+    groups = own.join(inversions, ["run", "group_id"]).groupBy("run").agg(F.count_if("changed").alias("groups_changed"), F.count_if("varied").alias("groups_varied"), F.sum("inversions").alias("inversions"))
+    touched = r.filter("tags > 0").groupBy("run", "task_id").agg(F.max(F.col("correct").cast("int")).alias("right"))
+    tasks = touched.groupBy("run").agg(F.count("*").alias("tasks"), F.sum("right").alias("tasks_correct"))
+    runs = groups.join(tasks, "run", "left").fillna(0, ["tasks", "tasks_correct"])
+    each = runs.withColumn("passed", F.col("groups_varied") >= LEAST_VARIED)
+    every = touched.groupBy("task_id").agg(F.max("right").alias("right")).agg(F.lit(None).cast(r.schema["run"].dataType).alias("run"), F.count("*").alias("tasks"), F.coalesce(F.sum("right"), F.lit(0)).alias("tasks_correct"))
+    sums = each.agg(F.lit(None).cast(r.schema["run"].dataType).alias("run"), F.sum("groups_changed").alias("groups_changed"), F.sum("groups_varied").alias("groups_varied"), F.sum("inversions").alias("inversions"), F.min("passed").alias("passed"))
+    total = sums.join(every, sums["run"].eqNullSafe(every["run"])).drop(every["run"])
+    gate = F.col("passed") & (F.col("tasks") >= LEAST_TASKS) & (F.col("tasks_correct") >= LEAST_TASKS) & (F.col("groups_changed") >= LEAST_CHANGED) & (F.col("inversions") == 0)
+    return each.unionByName(total.withColumn("passed", gate))

@@ -26,6 +26,25 @@ def zero_variance_groups(spark, sf):
     return J.signal_class(J.group_stats(r)).groupBy("signal").agg(F.count("*").alias("groups"), F.round(F.avg("std"), 6).alias("mean_std"))
 
 
+def _monthly(spark, sf):
+    """Rollouts with their group (a user's days of one number in the month), actions in order, wanted documents found, and over-search tags."""
+    tagged = J.over_search(steps(spark, sf), F.array(F.lit(1), F.lit(4)))
+    own = tagged.groupBy("rollout_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "action"))), lambda x: x["action"]), ">").alias("signature"), F.count_distinct(F.when(F.col("found").isin(1, 4), F.col("found"))).alias("coverage"), F.count_if("over_search").alias("tags"))
+    day = F.expr("substring_index(rollout_id, '-', -1)").cast("int").cast("string")
+    return rollouts(spark, sf).join(own, "rollout_id").withColumn("task_id", F.col("group_id")).withColumn("group_id", F.concat_ws("-", F.col("group_id").cast("string"), day))
+
+
+def zero_variance_causes(spark, sf):
+    """Groups (a user's rollouts of equally many searches) whose rewards don't vary, by cause, and the decision on the group's size."""
+    r = _monthly(spark, sf).withColumn("group_id", F.concat_ws("-", F.col("task_id").cast("string"), F.col("searches").cast("string")))
+    return J.zero_variance_causes(r.select("group_id", F.round("reward", 9).alias("reward"), "correct", (F.col("reason") == "invalid_action").alias("invalid"), "signature", "coverage"))
+
+
+def over_search_gate(spark, sf):
+    """What giving back the cost of searches behind complete evidence would change, in three runs."""
+    return J.over_search_gate(_monthly(spark, sf).withColumn("run", F.col("task_id") % 3))
+
+
 def repeat_actions(spark, sf):
     return J.repeats(steps(spark, sf)).select("rollout_id", "step", "query", "repeated", "queries_so_far")
 
@@ -137,7 +156,7 @@ def diagnosis_rows(spark, sf):
     return f.join(first, "rollout_id", "left").join(rep, "rollout_id", "left").select("rollout_id", "reason", "coverage", "first_evidence", F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats"))
 
 
-QUERIES = {f.__name__: f for f in (group_advantage, zero_variance_groups, repeat_actions, oversearch_tags, termination_grouping_sets, reward_components, reward_component_counts, reward_counterfactual, coverage_buckets, movement_matrix, error_taxonomy, action_signatures, trajectory_export, last_record_per_key, update_elapsed_lag, diagnosis_rows)}
+QUERIES = {f.__name__: f for f in (group_advantage, zero_variance_groups, zero_variance_causes, over_search_gate, repeat_actions, oversearch_tags, termination_grouping_sets, reward_components, reward_component_counts, reward_counterfactual, coverage_buckets, movement_matrix, error_taxonomy, action_signatures, trajectory_export, last_record_per_key, update_elapsed_lag, diagnosis_rows)}
 
 _BASE = f"WITH {STEPS}, {ROLLOUTS}"
 _OVER = """ov AS (SELECT *, coalesce(had_1 AND had_4, false) AS evidence_before, coalesce(had_1 AND had_4, false) AND action = 'search' AS over_search FROM
@@ -157,11 +176,24 @@ def _parts(over: str = "-0.2") -> str:
 _ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in PARTS)
 _HALVES = """h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, half ORDER BY rollout_id DESC) AS rn FROM (SELECT *, group_id::VARCHAR || ':' || (day % 15)::VARCHAR AS case_id, CASE WHEN day > 15 THEN 1 ELSE 0 END AS half FROM (SELECT *, right(rollout_id, 2)::INTEGER AS day FROM rollouts))) WHERE rn = 1),
 base AS (SELECT case_id, reason = 'answer' AS legal, correct, reward, searches FROM h WHERE half = 0), cand AS (SELECT case_id, reason = 'answer' AS legal, correct, reward, searches FROM h WHERE half = 1)"""
+_MONTHLY = f"""{_OVER}, mo AS (SELECT rollout_id, string_agg(action, '>' ORDER BY step) AS signature, count(DISTINCT found) FILTER (WHERE found IN (1, 4)) AS coverage, count(*) FILTER (WHERE over_search) AS tags FROM ov GROUP BY rollout_id),
+m AS (SELECT r.*, signature, coverage, tags, r.group_id || '-' || split_part(r.rollout_id, '-', 3)::INTEGER AS gid FROM rollouts r JOIN mo USING (rollout_id))"""
 ORACLES = {
     "group_advantage": f"""{_BASE}, g AS (SELECT *, avg(reward) OVER w AS m, coalesce(stddev_pop(reward) OVER w, 0) AS s FROM rollouts WINDOW w AS (PARTITION BY group_id))
 SELECT group_id, rollout_id, round(reward, 6) AS reward, round(CASE WHEN s >= 1e-8 AND reason <> 'invalid_action' THEN (reward - m) / (s + 1e-8) ELSE 0 END, 6) AS advantage FROM g""",
     "zero_variance_groups": f"""{_BASE}, g AS (SELECT group_id || '-' || split_part(rollout_id, '-', 3)::INTEGER AS gid, count(*) AS n, coalesce(stddev_pop(reward), 0) AS s, avg(correct::INT) AS a FROM rollouts GROUP BY gid)
 SELECT CASE WHEN n < 2 THEN 'single' WHEN s < 1e-8 AND a = 1 THEN 'all_correct' WHEN s < 1e-8 AND a = 0 THEN 'all_wrong_equal' WHEN s < 1e-8 THEN 'equal_mixed' WHEN a IN (0, 1) THEN 'cost_only' ELSE 'mixed_outcome' END AS signal, count(*) AS groups, round(avg(s), 6) AS mean_std FROM g GROUP BY 1""",
+    "zero_variance_causes": f"""{_BASE}, {_MONTHLY}, g AS (SELECT gid, count(*) AS n, count(*) FILTER (WHERE correct) AS ok, count(*) FILTER (WHERE reason = 'invalid_action') AS bad, count(DISTINCT signature) AS kinds, count(DISTINCT coverage) AS cov, min(round(reward, 9)) = max(round(reward, 9)) AS flat FROM (SELECT * EXCLUDE (gid), group_id || '-' || searches AS gid FROM m) GROUP BY gid),
+t AS (SELECT count(*) AS groups_flat, median(kinds) AS median_actions FROM g WHERE flat), i AS (SELECT sum(bad) / sum(n) AS invalid_rate FROM g)
+SELECT CASE WHEN kinds <= 2 THEN 'low_action_diversity' WHEN ok = 0 AND cov = 1 THEN 'diverse_actions_all_wrong_same_support_reward' WHEN ok = n THEN 'diverse_actions_all_correct' ELSE 'diverse_actions_flat_composite_reward' END AS cause, count(*) AS groups, min(groups_flat) AS groups_flat, min(median_actions)::DOUBLE AS median_actions,
+round(min(invalid_rate), 6) AS invalid_rate, CASE WHEN min(median_actions) <= 2 AND min(invalid_rate) <= 0.1 THEN 'group_size_8' ELSE 'no_sampling_change' END AS decision FROM g, t, i WHERE flat GROUP BY 1""",
+    "over_search_gate": f"""{_BASE}, {_MONTHLY}, n AS (SELECT *, group_id % 3 AS run, round(reward + 0.2::DOUBLE * tags, 9) AS new FROM m),
+g AS (SELECT run, gid, min(tags) <> max(tags) AS changed, min(new) <> max(new) AS varied FROM n GROUP BY run, gid), v AS (SELECT a.run, count(*) AS inversions FROM n a JOIN n b ON a.gid = b.gid AND a.correct AND NOT b.correct AND a.new < b.new GROUP BY a.run),
+k AS (SELECT run, count(DISTINCT group_id) AS tasks, count(DISTINCT group_id) FILTER (WHERE correct) AS tasks_correct FROM n WHERE tags > 0 GROUP BY run),
+e AS (SELECT run, groups_changed, groups_varied, coalesce(inversions, 0) AS inversions, coalesce(tasks, 0) AS tasks, coalesce(tasks_correct, 0) AS tasks_correct FROM (SELECT run, count(*) FILTER (WHERE changed) AS groups_changed, count(*) FILTER (WHERE varied) AS groups_varied FROM g GROUP BY run) LEFT JOIN v USING (run) LEFT JOIN k USING (run)),
+a AS (SELECT count(DISTINCT group_id) AS tasks, count(DISTINCT group_id) FILTER (WHERE correct) AS tasks_correct FROM n WHERE tags > 0)
+SELECT run, groups_changed, groups_varied, inversions, tasks, tasks_correct, groups_varied >= 15 AS passed FROM e UNION ALL
+SELECT NULL, CAST(sum(groups_changed) AS BIGINT), CAST(sum(groups_varied) AS BIGINT), CAST(sum(inversions) AS BIGINT), min(a.tasks), min(a.tasks_correct), min(groups_varied) >= 15 AND min(a.tasks) >= 3 AND min(a.tasks_correct) >= 3 AND sum(groups_changed) >= 6 AND sum(inversions) = 0 FROM e, a""",
     "repeat_actions": f"""WITH {STEPS}, s AS (SELECT *, row_number() OVER (PARTITION BY rollout_id, query ORDER BY step) > 1 AS repeated FROM steps WHERE action = 'search')
 SELECT rollout_id, step, query, repeated, CAST(sum(CASE WHEN repeated THEN 0 ELSE 1 END) OVER (PARTITION BY rollout_id ORDER BY step) AS BIGINT) AS queries_so_far FROM s""",
     "oversearch_tags": f"WITH {STEPS}, {_OVER} SELECT group_id, count(*) FILTER (WHERE evidence_before) AS evidence_steps, count(*) FILTER (WHERE over_search) AS over_search_steps FROM ov GROUP BY group_id",
