@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..scratch import written
-from .retrieval import bm25_rows, bm25_search, few
+from .retrieval import bm25_rows, bm25_search, few, parts
 
 #: Tokens of the first paragraph alone, of the best one, and of the first one before it.
 LEAD, BODY, INTRO = 384, 288, 96
@@ -57,10 +57,11 @@ def excerpts(rows: DataFrame, tokenizer: Offsets = words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets_of, token, stop = tokenizer(), re.compile(T.TOKEN), frozenset(T.STOPWORDS)
         terms = lambda x: [t for t in token.findall(x.lower().replace("ß", "ss")) if t not in stop and (len(t) > 1 or ord(t) > 127)]
-        for batch in batches:
-            texts, found = [x or "" for x in batch.column("text").to_pylist()], []
-            for text, offsets, asked, limit in zip(texts, offsets_of(texts), batch.column("asked").to_pylist(), batch.column("limit").to_pylist(), strict=True):
-                spans = [(a, b) for a, b in offsets if b > a]
+        for batch in parts(batches):
+            found = []
+            for text, asked, limit in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), batch.column("limit").to_pylist(), strict=True):
+                text = text or ""
+                spans = [(a, b) for a, b in offsets_of([text])[0] if b > a]  # one text's at a time
                 if not spans:
                     found.append((0, 0))
                     continue
