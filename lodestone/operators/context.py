@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import structure as X
 from ..functions import text as T
 from ..scratch import written
+from .retrieval import parts
 
 
 class Step(NamedTuple):
@@ -205,10 +206,10 @@ def token_spans(inputs: DataFrame, tokenizer: Callable[[], Callable[[list[str]],
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets_of = tokenizer()
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+        for batch in parts(batches):
             counts, spans = [], []
-            for offsets, own in zip(offsets_of(texts), batch.column("spans").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text"), batch.column("spans"), strict=True):
+                own, (offsets,) = own.as_py(), offsets_of([text.as_py() or ""])  # one input's tokens at a time
                 starts, ends = np.array(offsets, dtype=np.int64).reshape(-1, 2).T
                 counts.append(len(starts))
                 both = [(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))) if b > a else (0, 0) for a, b in ((s["start"], s["end"]) for s in own)]
