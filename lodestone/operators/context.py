@@ -227,15 +227,57 @@ def user_rewards(steps: DataFrame, key: str, order: str, functions: dict[str, Ca
     """(key, one column for each function, total): rewards that a user wrote, each called with a trajectory's steps in order as a pandas frame.
 
     A trajectory's steps meet in one task, which is what such a function is about; the shipped rewards
-    (``operators.rewards``) are expressions and need no such meeting.  A null or missing reward counts as nothing."""
+    (``operators.rewards``) are expressions and need no such meeting.  A null or missing reward counts as nothing.
+
+    Spark sorts and numbers the steps, and a batch of many trajectories becomes one pandas frame, which is cut where a number
+    is 1.  A column of whole numbers or booleans comes twice, the second time without nulls, so that a trajectory without
+    nulls has the column's own kind whatever others have."""
     kinds = dict(steps.dtypes)
-    names = list(functions)
+    names, columns = list(functions), steps.columns
+    exact = {c: f"_exact_{n}" for n, c in enumerate(columns) if kinds[c] in ("tinyint", "smallint", "int", "bigint", "boolean")}
+    numbered = steps.select(
+        "*", *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast(kinds[c])).alias(x) for c, x in exact.items()],
+        F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(F.col(f"`{order}`").asc_nulls_last())).alias("_number"),
+    )
 
-    def scored(part):
+    def scored(frames):
         import pandas as pd
 
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        own = [functions[n](part) for n in names]
-        return pd.DataFrame([[part[key].iloc[0], *[None if x is None else float(x) for x in own], float(sum(x for x in own if x is not None))]], columns=[key, *names, "total"])
-
-    return steps.groupBy(key).applyInPandas(scored, ", ".join([f"`{key}` {kinds[key]}", *[f"`{n}` double" for n in names], "total double"]))
+        def rows(frame):
+            at = (frame["_number"].to_numpy() == 1).nonzero()[0]
+            at = at if len(at) else np.zeros(1, np.int64)
+            plain = frame[columns]
+            nulls = {c: np.logical_or.reduceat(plain[c].isna().to_numpy(), at).tolist() for c, x in exact.items() if plain[c].dtype != frame[x].dtype}
+            full = plain.assign(**{c: frame[exact[c]] for c in nulls})
+            found = []
+            for n, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(frame)], strict=True)):
+                lacking = [c for c in nulls if nulls[c][n]]
+                part = (plain if len(lacking) == len(nulls) else full).iloc[a:b]
+                part.index = pd.RangeIndex(b - a)
+                if 0 < len(lacking) < len(nulls):
+                    part = part.assign(**{c: plain[c].to_numpy()[a:b] for c in lacking})
+                own = [functions[n](part) for n in names]
+                found.append([part[key].iloc[0], *[None if x is None else float(x) for x in own], float(sum(x for x in own if x is not None))])
+            out = pd.DataFrame(found, columns=[key, *names, "total"])
+            if key in exact:
+                out[key] = pd.Series([None if x[0] != x[0] else x[0] for x in found], dtype=object)
+            return out
+
+        joined = lambda pieces: pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
+        held = []  # pieces of the trajectory that may go on in the next frame
+        for frame in frames:
+            starts = (frame["_number"].to_numpy() == 1).nonzero()[0]
+            if not len(starts):
+                held.append(frame)
+                continue
+            if held and starts[0]:
+                held.append(frame.iloc[: starts[0]])
+            if held:
+                yield rows(joined(held))
+            if starts[-1] > starts[0]:
+                yield rows(frame.iloc[starts[0] : starts[-1]])
+            held = [frame.iloc[starts[-1] :]]
+        if held:
+            yield rows(joined(held))
+
+    return numbered.mapInPandas(scored, ", ".join([f"`{key}` {kinds[key]}", *[f"`{n}` double" for n in names], "total double"]))
