@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..scratch import written
@@ -20,6 +19,8 @@ from .retrieval import bm25_rows, bm25_search, few, parts
 LEAD, BODY, INTRO = 384, 288, 96
 #: Normalised paragraphs that head a section.
 HEADINGS = ("bibliography", "references", "external links", "see also", "notes", "further reading")
+#: Narrow rows (a paragraph taken) up to which they are broadcast to the paragraphs.
+PLACES = 400_000
 
 Offsets = Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]
 
@@ -82,22 +83,20 @@ def page_excerpts(corpus: DataFrame, paragraphs: DataFrame, questions: DataFrame
     ``intro`` tokens of the first stand before ``body`` of the best.  segments: array of (paragraph_index, start, end), characters
     of each paragraph; their texts joined by a line end make up ``text``.  Pages whose text is blank are dropped, their ranks stay free.
 
-    Only the paragraphs of pages found are shuffled, each with its question.
+    Own scores are made for the pages found alone.  Only the paragraphs taken are shuffled, each with its question.
     """
+    questions = written(questions)  # read again by each search, one partition after another
     pages = written(bm25_search(corpus, questions, k).withColumnRenamed("score", "page_score"))
-    norm = T.token_norm(F.col("text"))
-    eligible = paragraphs.filter((norm != "") & ~norm.isin(*HEADINGS)).select("id", "paragraph_index", F.lit(None).cast("string").alias("title"), "text")
-    scored = bm25_rows(eligible, questions, ("id", "paragraph_index"), 0, pages, title_weight=0)
-    near = Window.partitionBy("qid", "id").orderBy(F.desc(F.round("score", 9)), "paragraph_index")
-    best = scored.filter("score > 0").join(few(pages.select("qid", "id")), ["qid", "id"]).withColumn("r", F.row_number().over(near)).filter("r = 1").select("qid", "id", F.col("paragraph_index").alias("best"))
-    held = written(eligible.join(few(pages.select("id").distinct()), "id", "left_semi").select("id", "paragraph_index", "text"))
-    firsts = held.groupBy("id").agg(F.min("paragraph_index").alias("lead"))
-    j = pages.join(firsts, "id").join(best, ["qid", "id"], "left")
+    eligible = paragraphs.select("id", "paragraph_index", F.lit(None).cast("string").alias("title"), "text")
+    scored = bm25_rows(eligible, questions, ("id", "paragraph_index"), 0, pages, title_weight=0, without=HEADINGS)
+    first = F.min(F.when(F.col("score") > 0, F.struct((-F.round("score", 9)).alias("s"), "paragraph_index")))
+    own = scored.groupBy("qid", "id").agg(F.min("paragraph_index").alias("lead"), first.alias("b"))
+    j = pages.join(own.select("qid", "id", "lead", F.col("b.paragraph_index").alias("best")), ["qid", "id"])
     part = lambda n, at, limit: F.struct(F.lit(n).alias("n"), at.alias("paragraph_index"), F.lit(limit).alias("limit"))
     parts = F.when(F.col("best").isNull(), F.array(part(0, F.col("lead"), lead))).when(F.col("best") == F.col("lead"), F.array(part(0, F.col("best"), body))).otherwise(F.array(part(0, F.col("lead"), intro), part(1, F.col("best"), body)))
-    wanted = j.select("qid", "rank", "id", "page_score", F.coalesce("best", "lead").alias("chosen"), F.explode(parts).alias("p")).select("qid", "rank", "id", "page_score", "chosen", "p.*")
+    wanted = written(j.select("qid", "rank", "id", "page_score", F.coalesce("best", "lead").alias("chosen"), F.explode(parts).alias("p")).select("qid", "rank", "id", "page_score", "chosen", "p.*"))
     asked = questions.select("qid", F.array_distinct(T.tokens(F.col("question"))).alias("asked"))
-    cut = excerpts(wanted.join(held, ["id", "paragraph_index"]).join(asked, "qid"), tokenizer)
+    cut = excerpts(paragraphs.select("id", "paragraph_index", "text").join(few(wanted, PLACES), ["id", "paragraph_index"]).join(asked, "qid"), tokenizer)
     own = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     piece = F.struct("n", F.struct("paragraph_index", "start", "end").alias("segment"), own.alias("own"))
     found = cut.groupBy("qid", "rank", "id", "page_score", "chosen").agg(F.array_sort(F.collect_list(piece)).alias("s"))
